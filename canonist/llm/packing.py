@@ -105,7 +105,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), pack_ids([end_id])
         for batch in batches:
-            for some in (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000)):
+            for some in (batch.slice(i, 4000) for i in range(0, batch.num_rows, 4000)):
                 rows = []
                 for doc_id, data in zip(some.column(0).to_pylist(), encode.many(some.column(1)), strict=True):
                     data += end

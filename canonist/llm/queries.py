@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, dedup, packing
+from . import ann, chat, decontam, dedup, html, lines, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -59,3 +59,34 @@ its as (select r, count(distinct item_id) n, string_agg(distinct item_id::varcha
 select doc_id, len(w)::bigint n_words, coalesce(hit.n, 0)::bigint n_hit, coalesce(its.n, 0)::bigint n_items, sha256(coalesce(l, '')) items_sha256, coalesce(hit.n, 0) > 0 contaminated
 from ws left join hit using (r) left join its using (r)""",
 }
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__cut").alias("n_cut"), "text")
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__score").alias("score"), F.col("__keep").alias("kept"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: F.crc32(doc_id.cast("string")) % 4 != 2)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    told = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    kinds = F.transform("found", lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == kind)).cast("long").alias(f"n_{kind}") for kind, *_ in secrets.RULES]  # noqa: B023
+    return out.select("doc_id", *counts, F.sha2(told, 256).alias("base_sha256"), told.alias("spans"))
+
+
+QUERIES |= {f.__name__: f for f in (op6_line_dedup, op7_main_text, op8_quality, op9_toxicity, op10_secrets)}
