@@ -36,7 +36,7 @@ _known: dict[str, int] = {}
 def _word_hashes(words: list[str]) -> np.ndarray:
     if len(_known) > WORDS_KEPT:
         _known.clear()
-    for w in set(words) - _known.keys():
+    for w in {w for w in words if w not in _known}:
         _known[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
