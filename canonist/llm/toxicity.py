@@ -24,14 +24,15 @@ from .common import stored
 #: Labelled rows of either label, at most, that anything is learned from.
 SAMPLE = 4_000
 LEXICON = 6_000
-TOKEN = re.compile(r"[^\W\d_]+|\S")
 WORD = re.compile(r"[^\W\d_]{2,}")
 #: Second-person pronouns of the languages at hand.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú usted ustedes vosotros vos ti tus".split())
-DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$*!]+[^\W\d_]+)+|(?<!\w)(?:[^\W\d_][.\-_* ]){3,}[^\W\d_](?!\w)")
+DISGUISED = re.compile(r"[^\W\d_](?:[0-9@$*!]+[^\W\d_])|\b(?:[^\W\d_][.\-_*]){3,}[^\W\d_]\b")
 #: Digits and signs read as the letters that they stand for.
 PLAIN = str.maketrans("013457@$!", "oieastasi")
-FEATURES = 16
+STRONG = 2.5
+TOKENS_KEPT = 400_000
+UPPER, LOWER, WIDE = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(128, 256))
 TREES, DEPTH, RATE, STEPS = 80, 3, 0.15, 32
 
 
@@ -41,34 +42,49 @@ def units(text: str) -> list[str]:
     return list(words | {f"{w[:k]}~" for w in words for k in (4, 5, 6) if len(w) > k})
 
 
-def described(text: str, lexicon: dict[str, float]) -> list[float]:
-    """The dense features of a whole text."""
-    tokens = text.lower().split()
-    words = [WORD.findall(t) for t in tokens]
-    n, size = max(1, len(tokens)), max(1, len(text))
-    weights, known = [], {}
-    for found in words:
-        best = 0.0
-        for w in found:
-            if (x := known.get(w)) is None:
-                x = known[w] = (lexicon.get(w, 0.0), max((lexicon.get(f"{w[:k]}~", 0.0) for k in (4, 5, 6) if len(w) > k), default=0.0))
-            best = max(best, *x)
-        weights.append(best)
-    whole, begun = [x for x, _ in known.values() if x], [y for _, y in known.values() if y]
-    strong = [i for i, x in enumerate(weights) if x >= 2.5]
-    second = [i for i, t in enumerate(words) if any(w in SECOND for w in t)]
-    near = 0
-    if strong and second:
-        at = np.asarray(second)
-        near = sum(bool((np.abs(at - i) <= 4).any()) for i in strong)
-    top = sorted((max(x) for x in known.values()), reverse=True)[:5]
-    letters = sum(map(str.isalpha, text)) or 1
-    masks = DISGUISED.findall(text)
-    hidden = sum(any(lexicon.get(w, 0) >= 2.5 for w in WORD.findall(re.sub(r"[.\-_* ]", "", m.lower()).translate(PLAIN))) for m in masks)
-    return [
-        sum(weights) / n, len(strong) / n, len(strong), len(whole), len(begun), max([0.0, *whole]), max([0.0, *begun]), sum(top) / 5,
-        sum(x for x in top[:3]) / 3, near / n, near, sum(map(str.isupper, text)) / letters, (text.count("!") + text.count("?")) / size, (size - letters - text.count(" ")) / size, len(masks) / n + hidden, np.log1p(n),
-    ]
+class Described:
+    """The dense features of whole texts. What a token tells is remembered, up to a bound."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.known = lexicon, {}
+
+    def token(self, token: str) -> tuple[float, float, float, bool, bool, bool]:
+        """Best weight, weight as a word, weight as a beginning, second person, in disguise, hiding a word of the lexicon."""
+        weight = lambda w: self.lexicon.get(w, 0.0)
+        words = WORD.findall(token)
+        whole = max(map(weight, words), default=0.0)
+        begun = max((weight(f"{w[:k]}~") for w in words for k in (4, 5, 6) if len(w) > k), default=0.0)
+        masked = bool(DISGUISED.search(token))
+        hides = masked and any(weight(w) >= STRONG for w in WORD.findall(re.sub(r"[.\-_*]", "", token).translate(PLAIN)))
+        return max(whole, begun), whole, begun, any(w in SECOND for w in words), masked, hides
+
+    def __call__(self, text: str) -> list[float]:
+        if len(self.known) > TOKENS_KEPT:
+            self.known.clear()
+        tokens, known = text.lower().split(), self.known
+        for t in {t for t in tokens if t not in known}:
+            known[t] = self.token(t)
+        told = list(map(known.__getitem__, tokens))
+        n, size = max(1, len(tokens)), max(1, len(text))
+        hits = [i for i, x in enumerate(told) if x[0]]
+        strong = [i for i in hits if told[i][0] >= STRONG]
+        different = {tokens[i]: told[i] for i in hits}.values()
+        whole, begun = [x[1] for x in different if x[1]], [x[2] for x in different if x[2]]
+        top = sorted((x[0] for x in different), reverse=True)[:5]
+        near = 0
+        if strong:
+            second = np.asarray([i for i, x in enumerate(told) if x[3]])
+            near = sum(bool((np.abs(second - i) <= 4).any()) for i in strong)
+        raw = text.encode("utf-8", "surrogatepass")
+        wide = (len(raw) - len(raw.translate(None, delete=WIDE))) // 2
+        upper, lower = len(raw) - len(raw.translate(None, delete=UPPER)), len(raw) - len(raw.translate(None, delete=LOWER))
+        letters = max(1, upper + lower + wide)
+        marks = raw.count(b"!") + raw.count(b"?")
+        masked = sum(x[4] for x in told)
+        return [
+            sum(told[i][0] for i in hits) / n, len(strong) / n, len(strong), len(whole), len(begun), max([0.0, *whole]), max([0.0, *begun]), sum(top) / 5,
+            sum(top[:3]) / 3, near / n, near, upper / letters, marks / size, max(0, size - letters - raw.count(b" ")) / size, masked / n + sum(x[5] for x in told), np.log1p(n),
+        ]
 
 
 class Trees:
@@ -152,8 +168,9 @@ def learned(documents: DataFrame, labels: DataFrame, usable: Callable[[Column],
     lexicon = dict(per.filter("a >= 3").withColumn("odds", odds).filter("odds >= 1.5").orderBy(F.desc("odds"), "unit").limit(LEXICON).select("unit", "odds").collect())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        describe = Described(lexicon)
         for batch in batches:
-            batch["x"] = [described(t, lexicon) for t in batch.pop("text")]
+            batch["x"] = list(map(describe, batch.pop("text")))
             yield batch
 
     rows = texts.select("text", "toxic", "calibrates", "doc_id").mapInPandas(run, f"toxic int, calibrates boolean, doc_id {dict(texts.dtypes)['doc_id']}, x array<double>").orderBy("doc_id").limit(4 * sample).collect()
@@ -171,12 +188,13 @@ def score(documents: DataFrame, labels: DataFrame, usable: Callable[[Column], Co
     model = learned(documents, labels, usable, sample)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon, trees, (at, level) = model or ({}, None, (None, None))
+        describe = Described(lexicon)
         for batch in texts:
             if model is None or not len(batch):
                 yield pd.Series(np.zeros(len(batch)))
                 continue
-            lexicon, trees, (at, level) = model
-            raw = trees.raw(np.asarray([described(t or "", lexicon) for t in batch]))
+            raw = trees.raw(np.asarray([describe(t or "") for t in batch]))
             # a little of the raw score keeps the order within a step
             yield pd.Series(0.998 * np.interp(raw, at, level) + 0.002 / (1 + np.exp(-np.clip(raw, -60, 60))))
 
