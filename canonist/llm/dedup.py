@@ -127,11 +127,11 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, link: tuple[int, i
     marks = stored(signed(held, width, bands, rows), "dedup-signatures")
     classes = marks.filter("__n > 0").groupBy("__set").agg(F.min("__uid").alias("node"), F.min("__n").alias("n"))
     firsts = marks.filter("__n > 0").select(F.col("__uid").alias("node"), F.col("__n").alias("n"), "__bands").join(classes.select("node"), "node")
-    bands_of = stored(firsts.select("node", "n", F.explode("__bands").alias("bucket")), "dedup-bands")
+    bands_of = stored(firsts.select("node", "n", F.posexplode("__bands").alias("band", "bucket")), "dedup-bands")
     centres = bands_of.groupBy("bucket").agg(F.count("node").alias("held"), F.min_by(F.struct("node", "n"), "node").alias("c")).filter("held > 1").select("bucket", F.col("c.node").alias("u"), F.col("c.n").alias("un"))
     sizes = lambda x, y: (F.least(x, y) * whole >= F.greatest(x, y) * part)
     placed = bands_of.join(centres, "bucket")
-    placed = stored(placed.select("bucket", "node", "n", "u", "un"), "dedup-buckets")
+    placed = stored(placed.select("band", "bucket", "node", "n", "u", "un"), "dedup-buckets")
     stars = placed.filter("node != u").select("u", F.col("node").alias("v")).distinct()
     texts = held.select(F.col("__uid").alias("node"), F.col("text").cast("string").alias("text")).join(placed.select("node").distinct(), "node", "left_semi")
     texts = stored(texts, "dedup-texts")
@@ -143,11 +143,16 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, link: tuple[int, i
     far = tested.select("u", F.col("v").alias("node"), (1 - F.col("both") / F.col("n")).alias("d"))
     named = placed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(far, ["u", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = stored(named.join(several, "bucket").select("bucket", "node", "n", "component", "d"), "dedup-open")
+    open_ = named.join(several, "bucket").select("band", "bucket", "node", "n", "component", "d")
+    open_ = stored(open_.join(marks.select(F.col("__uid").alias("node"), F.col("__bands").alias("bands")), "node"), "dedup-open")
     x, y = open_.alias("x"), open_.alias("y")
     slack = 1 - part / whole + 1e-9
+    # a pair is made in the first bucket that it shares, and only if it shares another: with similarity J each band agrees
+    # with chance J ** rows, so of pairs at the least similarity fewer than one in 10,000 share just one
+    agree = F.zip_with("x.bands", "y.bands", lambda a, b: a == b)
+    once = (F.array_position(agree, True) == F.col("x.band") + 1) & (F.size(F.filter(agree, lambda a: a)) > 1)
     more = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.d") > 0) & (F.col("y.d") > 0) & (F.abs(F.col("x.d") - F.col("y.d")) <= slack) & sizes(F.col("x.n"), F.col("y.n")))
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.d") > 0) & (F.col("y.d") > 0) & (F.abs(F.col("x.d") - F.col("y.d")) <= slack) & sizes(F.col("x.n"), F.col("y.n")) & once)
         .select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
         .distinct()
     )
