@@ -1,0 +1 @@
+"""Last-write-wins over an append-only log; the reference streams nothing else."""
