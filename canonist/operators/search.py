@@ -11,7 +11,8 @@ K1, B, SYNONYM, PHRASE, DEFAULT_K, MOST_K = 1.2, 0.75, 0.4, 0.5, 8, 20
 
 def build_index(nodes: DataFrame, terms: Column) -> DataFrame:
     """id, term, tf, len: a row for each different term of each node; nodes without terms are no documents."""
-    laid = nodes.select("id", F.size(terms).alias("len"), F.explode(terms).alias("term"))
+    # the length is a column before the rows are made, else the terms would be cut anew for each of them
+    laid = nodes.select("id", terms.alias("w")).withColumn("len", F.size("w")).select("id", "len", F.explode("w").alias("term"))
     return laid.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
