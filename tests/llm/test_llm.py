@@ -155,9 +155,9 @@ def test_quality_keeps_good_and_drops_poor(spark):
     rng = random.Random(0)
     good = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(60)) + f" {i}." for i in range(150)]
     poor = ["NOISE!! LOUD!! " * 30 + str(i) for i in range(15)] + ["same " * 80 + str(i) for i in range(15)]
-    rows = list(enumerate(good + poor)) + [(900, None), (901, "")]
+    rows = list(enumerate(good + poor, 1000)) + [(900, None), (901, "")]
     got = {r.doc_id: r["__keep"] for r in quality.classify(docs(spark, rows)).collect()}
-    assert all(got[i] for i in range(150)) and not any(got[i] for i in range(150, 180)) and got[900] and got[901]
+    assert all(got[i] for i in range(1000, 1150)) and not any(got[i] for i in range(1150, 1180)) and got[900] and got[901]
     assert quality.classify(docs(spark, [])).count() == 0
 
 
