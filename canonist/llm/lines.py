@@ -114,7 +114,8 @@ def dedup_lines(documents: DataFrame, seed_words: int = SEED_WORDS, block_words:
     """All columns of documents, text without the deleted lines, and __lines (before) and __cut (how many went)."""
     held = stored(documents.withColumn("__uid", F.monotonically_increasing_id()), "line-documents")
     cuts = stored(deletions(held.select("doc_id", "text", "__uid"), seed_words, block_words), "line-cuts")
-    out = held.join(cuts, "__uid", "left")
+    # the same plan at every size: the cuts grow with the documents, so they are never broadcast
+    out = held.join(cuts.hint("merge"), "__uid", "left")
     lines = F.split("text", "\n")
     left = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("cut", i)), "\n"))
     out = out.withColumn("__lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("text", left).withColumn("__cut", F.coalesce(F.size("cut"), F.lit(0)))
