@@ -4,8 +4,10 @@ Under each random permutation a document keeps both the least and the greatest h
 permutations give a signature of the same length, whose share of equal values is an unbiased estimate of the Jaccard
 similarity with less variance. Bands of the signature are bucket keys. Equal shingle sets are one class from the start.
 Within a bucket each class is held against the bucket's least one (a star, never all pairs); what stars leave in different
-components is then compared pair by pair, but for pairs that cannot be similar by their sizes or by the triangle
-inequality of the Jaccard distance to the bucket's least class. Every link is confirmed on the full sets.
+components is then compared pair by pair, but for pairs that cannot be similar by their sizes, by the triangle inequality of the Jaccard
+distance to the bucket's least class, or by their sketches: one bit of each minimum and maximum under 1024 more permutations,
+made for these classes alone. A pair at exactly the least similarity is lost by its sketches with a chance below 1 in 10,000.
+Every link is confirmed on the full sets.
 
 Defined cases: a null or wordless text has no shingles and is linked with nothing, not even with its like; equal texts are
 linked; equal rows are each a row of the result; a null doc_id never is a component's name unless all its members' are null.
@@ -13,12 +15,15 @@ linked; equal rows are each a row of the result; a null doc_id never is a compon
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -30,6 +35,8 @@ BANDS, ROWS = 28, 6
 SPACE = " \t\n\v\f\r"
 UPPER = {i: i + 32 for i in range(65, 91)}
 WORDS_KEPT = 500_000
+SKETCH, COARSE = 32, 8  # longs of a sketch; those looked at first
+MISS = 5e-5  # chance to lose a pair at the least similarity, for each of the two looks
 _known: dict[str, int] = {}
 
 
@@ -99,6 +106,38 @@ def signed(documents: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: i
     return documents.select("__uid", F.col("text").cast("string").alias("text")).mapInPandas(run, "__uid long, __n long, __set binary, __bands array<long>")
 
 
+def sketch_of(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One bit of the minimum and one of the maximum under each permutation, packed into longs."""
+    low, high = np.full(len(a), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(a), np.uint64)
+    for at in range(0, len(shingles), 1024):
+        hashed = shingles[at : at + 1024] * a[:, None] + b[:, None]
+        low, high = np.minimum(low, hashed.min(axis=1)), np.maximum(high, hashed.max(axis=1))
+    bits = (_mixed(np.concatenate([low, high])) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits.reshape(2, len(a)).T.ravel()).view(np.int64)
+
+
+def sketches(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """node, sketch for every row of texts (node, text)."""
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(0, 2**63, (2, SKETCH * 32), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "sketch": [sketch_of(shingle_set(t, width), a, b) for t in batch["text"]]})
+
+    return texts.select("node", "text").mapInPandas(run, "node long, sketch array<long>")
+
+
+def most_differing(bits: int, similarity: float, miss: float = MISS) -> int:
+    """Least k such that sketches at this similarity differ in more than k bits with a chance below miss: equal values have
+    equal bits and others do by half, so a bit differs with chance (1 - similarity) / 2."""
+    p, chance, k = (1 - similarity) / 2, 0.0, -1
+    while 1 - chance > miss and k < bits:
+        k += 1
+        chance += math.exp(math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log1p(-p)) if p else 1.0
+    return k
+
+
 def similarities(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """pairs u, v with both (size of the intersection) and n (of the union) of the full shingle sets. texts: node, text."""
 
@@ -120,6 +159,11 @@ def similarities(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> Data
     return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInPandas(run, "u long, v long, both long, n long")
 
 
+def differing(longs: int) -> Column:
+    """How many bits of the first longs of the sketches of x and y differ."""
+    return reduce(add, [F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(longs)])
+
+
 def near_duplicates(documents: DataFrame, width: int = WIDTH, link: tuple[int, int] = LINK, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """All rows and columns of documents, and __n, __component (least doc_id reachable), __keep (the one row that stays)."""
     part, whole = link
@@ -144,15 +188,17 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, link: tuple[int, i
     named = placed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(far, ["u", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     open_ = named.join(several, "bucket").select("band", "bucket", "node", "n", "component", "d")
-    open_ = stored(open_.join(marks.select(F.col("__uid").alias("node"), F.col("__bands").alias("bands")), "node"), "dedup-open")
+    open_ = stored(open_, "dedup-open")
+    left_over = open_.select("node").distinct()
+    facts = marks.select(F.col("__uid").alias("node"), F.col("__bands").alias("bands")).join(left_over, "node", "left_semi").join(sketches(texts.join(left_over, "node", "left_semi"), width), "node")
+    open_ = open_.join(stored(facts, "dedup-sketches"), "node")
     x, y = open_.alias("x"), open_.alias("y")
     slack = 1 - part / whole + 1e-9
-    # a pair is made in the first bucket that it shares, and only if it shares another: with similarity J each band agrees
-    # with chance J ** rows, so of pairs at the least similarity fewer than one in 10,000 share just one
-    agree = F.zip_with("x.bands", "y.bands", lambda a, b: a == b)
-    once = (F.array_position(agree, True) == F.col("x.band") + 1) & (F.size(F.filter(agree, lambda a: a)) > 1)
+    # a pair is made in the first bucket that it shares
+    once = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
+    alike = [differing(n) <= most_differing(64 * n, part / whole) for n in (COARSE, SKETCH)]
     more = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.d") > 0) & (F.col("y.d") > 0) & (F.abs(F.col("x.d") - F.col("y.d")) <= slack) & sizes(F.col("x.n"), F.col("y.n")) & once)
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.d") > 0) & (F.col("y.d") > 0) & (F.abs(F.col("x.d") - F.col("y.d")) <= slack) & sizes(F.col("x.n"), F.col("y.n")) & alike[0] & alike[1] & once)
         .select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
         .distinct()
     )

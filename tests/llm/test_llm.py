@@ -187,3 +187,18 @@ def test_secrets_and_ledger(spark):
     assert ledger.count() == 3
     again, new = secrets.scan(rows.unionByName(docs(spark, [(9, "hex " + "0f" * 12)])), ledger)
     assert new.count() == 1 and sorted(len(r.found) for r in again.collect()) == [0, 1, 1, 3, 3]
+
+
+def test_sketches_differ_as_the_similarity_says():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 2**63, (2, dedup.SKETCH * 32), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    count = lambda x, y: int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+    bits = 64 * dedup.SKETCH
+    for shared in (85, 500):
+        both, x, y = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (shared * 17, shared, shared * 2))
+        u, v = dedup.sketch_of(np.concatenate([both, x]), a, b), dedup.sketch_of(np.concatenate([both, y]), a, b)
+        assert abs(count(u, v) - bits * 0.075) < 60  # similarity 0.85
+        assert count(u, v) <= dedup.most_differing(bits, 0.85)
+        assert count(u, dedup.sketch_of(y, a, b)) > dedup.most_differing(bits, 0.8)
+    assert dedup.most_differing(bits, 1.0) == 0
+    assert dedup.most_differing(512, 0.85) < dedup.most_differing(512, 0.8) < 512
