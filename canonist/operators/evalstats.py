@@ -93,3 +93,11 @@ def within_budget(plan: DataFrame, cap: float) -> DataFrame:
     order = Window.partitionBy("key").orderBy("seq")
     summed = plan.withColumn("spent", F.sum("estimate").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return summed.withColumn("over", F.max((F.col("spent") > cap).cast("int")).over(order)).filter("over = 0").drop("over")
+
+
+def project_cost(runs: DataFrame, prices: DataFrame) -> DataFrame:
+    """target, arm (null: all of these), cost of the same calls by another model: mean tokens times its prices, and the mean fee
+    as it was, times the calls. runs: arm, tokens_in, tokens_out, fee; prices (a price list): target, price_in, price_out."""
+    mean = runs.groupBy("arm").agg(F.count("*").alias("calls"), F.avg("tokens_in").alias("i"), F.avg("tokens_out").alias("o"), F.avg("fee").alias("fee"))
+    priced = mean.join(F.broadcast(prices)).withColumn("cost", F.col("calls") * (F.col("i") * F.col("price_in") + F.col("o") * F.col("price_out") + F.col("fee")))
+    return priced.rollup("target", "arm").agg((F.floor(F.sum("cost") * 100 + 0.5) / 100).alias("cost")).filter("target is not null")

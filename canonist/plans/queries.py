@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diff, evalstats, rules, search, tree, verify, versions
+from ..operators import diff, eligibility, evalstats, rules, search, tree, verify, versions, worddiff
 from ..sources import io
 from . import derive
 from .derive import LOG_SQL, NODES_SQL, RESOLVED_SQL, table
@@ -285,3 +285,60 @@ def text_dates(spark, sf_dir):
 @query(r"""select doc_id, list_filter(list_transform(string_split_regex(text, '\s+'), lambda x: lower(regexp_replace(x, '^[\s.,;:!?()\[\]"''…-]+|[\s.,;:!?()\[\]"''…-]+$', '', 'g'))), lambda x: x <> '').len()::int n_tokens from documents where text is not null""")
 def text_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query(rf"""with {NODES_SQL} select a.id, '' deleted, 'amended' inserted, case when regexp_matches(a.text, '\S') then 2 else 1 end::int n_runs
+from nodes a join nodes b on a.id = b.id where a.version = 'v1' and b.version = 'v2' and a.hash <> b.hash""")
+def diff_words(spark, sf_dir):
+    """What was deleted and inserted in each changed node."""
+    runs = worddiff.word_diffs(worddiff.changed_texts(*_versions(spark, sf_dir)))
+    of = lambda op: F.array_join(F.transform(F.filter("runs", lambda r: r["op"] == op), lambda r: r["text"]), " ")
+    return runs.select("id", of("delete").alias("deleted"), of("insert").alias("inserted"), F.size("runs").alias("n_runs"))
+
+
+@query("""with c as (select case when user_id % 3 = 0 then 'b' else 'a' end arm, event_id % 1000 ti, user_id % 500 tout, value / 100 fee from events),
+m as (select arm, count(*) n, avg(ti) i, avg(tout) o, avg(fee) fee from c group by arm), p as (select * from (values ('large', 0.003, 0.015), ('small', 0.0005, 0.002)) v(target, pi, po))
+select target, arm, floor(sum(n * (i * pi + o * po + fee)) * 100 + 0.5) / 100 as cost from m, p group by rollup (target, arm) having target is not null""")
+def eval_projection(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    calls = e.select(F.when(F.col("user_id") % 3 == 0, "b").otherwise("a").alias("arm"), (F.col("event_id") % 1000).alias("tokens_in"), (F.col("user_id") % 500).alias("tokens_out"), (F.col("value") / 100).alias("fee"))
+    prices = spark.createDataFrame([("large", 0.003, 0.015), ("small", 0.0005, 0.002)], "target string, price_in double, price_out double")
+    return evalstats.project_cost(calls, prices)
+
+
+OBLIGATIONS = [
+    {"id": "records", "effective": "2025-02-02"},
+    {"id": "audit", "roles": ["BUILDING", "MACHINERY"], "applies_if": {"eq": ["big", True]}, "effective": "2026-08-02", "not_before": "2026-12-02"},
+    {"id": "notice", "roles": ["AUTOMOBILE"], "applies_if": {"in": ["nation", [1, 2, 3, 4, 5]]}},
+    {"id": "register", "applies_if": {"all": [{"eq": ["listed", True]}, {"not": {"eq": ["big", True]}}]}, "effective": "2027-08-02"},
+]
+DERIVED = {"listed": {"any": [{"in": ["nation", [0, 5, 10]]}, {"has": ["roles", "HOUSEHOLD"]}]}}
+PROFILES_SQL = """profiles_ as (select c_custkey profile_id, c_mktsegment seg, c_nationkey nation, case when c_custkey % 4 = 0 then null else c_acctbal > 5000 end big,
+  c_nationkey in (0, 5, 10) or c_mktsegment = 'HOUSEHOLD' listed, ['2026-01-01', '2026-12-02', '2027-01-01'][c_custkey % 3 + 1] as_of from customer),
+met_o as (select profile_id, as_of, 'records' id, '2025-02-02' effective from profiles_ union all
+  select profile_id, as_of, 'audit', '2026-12-02' from profiles_ where seg in ('BUILDING', 'MACHINERY') and big union all
+  select profile_id, as_of, 'notice', null from profiles_ where seg = 'AUTOMOBILE' and nation between 1 and 5 union all
+  select profile_id, as_of, 'register', '2027-08-02' from profiles_ where listed and big is not true),
+found_ as (select *, case when effective is null then 'depends' when effective <= as_of then 'applicable' else 'upcoming' end status, greatest(0, effective::date - as_of::date)::int as days from met_o)"""
+
+
+def _profiles(spark, sf_dir):
+    c = F.col("c_custkey")
+    as_of = F.get(F.array(F.lit("2026-01-01"), F.lit("2026-12-02"), F.lit("2027-01-01")), (c % 3).cast("int"))
+    return table(spark, sf_dir, "customer").select(c.alias("profile_id"), F.array("c_mktsegment").alias("roles"), F.col("c_nationkey").alias("nation"), F.when(c % 4 != 0, F.col("c_acctbal") > 5000).alias("big"), as_of.alias("as_of"))
+
+
+@query(f"""with {PROFILES_SQL} select profile_id, as_of, id, effective, status, case when effective is not null then days end as days,
+row_number() over (partition by profile_id order by case status when 'applicable' then 1 when 'upcoming' then 2 else 3 end, effective nulls last, id)::int nth from found_""")
+def obligations_ranked(spark, sf_dir):
+    return eligibility.ranked(eligibility.obligations_of(eligibility.with_derived(_profiles(spark, sf_dir), DERIVED), OBLIGATIONS))
+
+
+@query(f"with {PROFILES_SQL} select profile_id, effective, string_agg(id, ',' order by id) ids from found_ where effective >= as_of group by profile_id, effective")
+def obligations_timeline(spark, sf_dir):
+    return eligibility.timeline(eligibility.obligations_of(eligibility.with_derived(_profiles(spark, sf_dir), DERIVED), OBLIGATIONS))
+
+
+@query(f"with {PROFILES_SQL} select profile_id, 'big' field from profiles_ where big is null and (listed or seg in ('BUILDING', 'MACHINERY'))")
+def obligations_open_questions(spark, sf_dir):
+    return eligibility.open_questions(_profiles(spark, sf_dir), OBLIGATIONS, {"big": [True, False]}, DERIVED)

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["quotes_exact", "tree_subtree_text", "diff_nodes", "diff_rollup", "rules_state", "version_lookup", "eval_cells", "text_dates"]
+SOME = ["quotes_exact", "tree_subtree_text", "diff_nodes", "diff_rollup", "rules_state", "version_lookup", "eval_cells", "text_dates", "diff_words", "eval_projection", "obligations_ranked", "obligations_timeline", "obligations_open_questions"]
 
 
 def rows(columns, values):

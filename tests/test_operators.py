@@ -97,3 +97,41 @@ def test_last_line_wins_and_majority(spark):
     assert got == {"c": (False, True, False), "d": (False, False, True)}
     total = evalstats.cells(runs).filter("model = 'm' and arm = 'a'").first()
     assert (total.cost, total.runs, total.errors) == (5.0, 4, 1)
+
+
+def test_word_diff_rebuilds_both_sides_and_keeps_the_most():
+    import random
+
+    from canonist.operators.worddiff import word_diff
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 9)) for _ in range(2))
+        runs = word_diff(a, b)
+        side = lambda skip: [w for op, t in runs if op != skip for w in t.split()]  # noqa: B023, E731
+        assert side("insert") == a and side("delete") == b
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert sum(len(t.split()) for op, t in runs if op == "equal") == best[len(a)][len(b)]
+        assert all(x[0] != y[0] for x, y in zip(runs, runs[1:]))
+    assert word_diff(["a", "b", "c"], ["a", "x", "c"]) == [("equal", "a"), ("delete", "b"), ("insert", "x"), ("equal", "c")]
+    assert word_diff(["a", "b"], ["c", "d"], most=1) == [("delete", "a b"), ("insert", "c d")]
+
+
+def test_obligations_on_null_fields_and_cycles(spark):
+    import pytest
+
+    from canonist.operators import eligibility as E
+
+    p = spark.createDataFrame([(1, None, None, "2026-01-01"), (2, ["x"], True, "2026-01-01"), (None, [], None, "2026-01-01")], "profile_id long, roles array<string>, big boolean, as_of string")
+    rules_ = [{"id": "r", "roles": ["x"], "effective": "2026-02-01"}, {"id": "n", "applies_if": {"not": {"eq": ["big", True]}}}]
+    got = sorted((r.profile_id or 0, r.id, r.status, r.days) for r in E.obligations_of(p, rules_).collect())
+    assert got == [(0, "n", "depends", None), (1, "n", "depends", None), (2, "r", "upcoming", 31)]
+    assert [r.profile_id for r in E.open_questions(p.filter("profile_id = 1"), rules_, {"big": [True, False]}).collect()] == [1]
+    with pytest.raises(ValueError):
+        E.with_derived(p, {"a": {"eq": ["b", True]}, "b": {"eq": ["a", True]}})
+    with pytest.raises(ValueError):
+        E.condition({"like": ["a", "b"]})
+    assert E.obligations_of(p.filter("false"), rules_).count() == 0
