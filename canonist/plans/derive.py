@@ -41,14 +41,21 @@ closure_ as (select version, id, id ancestor, 0 distance from nodes
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A default, a rule on every other source but for every fifth document, and one on every seventh document."""
+    """A default, a rule on every other source but for every fifth document, and one on every seventh document. A rule has as
+    many rows as nodes that it names."""
     old = nodes(spark, sf_dir).filter("version = 'v1' and type != 'line'").select("id", "type", F.expr("try_cast(substr(split_part(id, '.', 2), 2) as bigint)").alias("d"), F.expr("cast(substr(split_part(id, '.', 1), 4) as bigint)").alias("s"))
-    listed = old.groupBy().agg(F.collect_list(F.when((F.col("type") == "source") & (F.col("s") % 2 == 0), F.col("id"))).alias("even"), F.collect_list(F.when((F.col("type") == "document") & (F.col("d") % 5 == 0), F.col("id"))).alias("fifth"), F.collect_list(F.when((F.col("type") == "document") & (F.col("d") % 7 == 0), F.col("id"))).alias("seventh"))
-    none = "cast(array() as array<string>)"
-    rule = lambda name, pos, default, date, scope, out, later: F.struct(F.lit(name).alias("rule_id"), F.lit(pos).alias("pos"), F.lit(default).alias("is_default"), F.lit(date).alias("applies_from"), scope.alias("scope"), out.alias("except"), later.alias("later_dates"))
+    none, own = F.expr("cast(array() as array<string>)"), F.array("id")
     later = F.array(F.lit("2027-12-02"), F.lit("2028-08-02"))
-    made = F.array(rule("default", 0, True, "2030-01-01", F.expr(none), F.expr(none), F.expr(none)), rule("source", 1, False, "2025-01-01", F.col("even"), F.col("fifth"), F.expr(none)), rule("document", 2, False, "2026-01-01", F.col("seventh"), F.expr(none), later))
-    return listed.select(F.inline(made))
+
+    def rule(rows: DataFrame, name: str, pos: int, date: str, scope, out, later=none) -> DataFrame:
+        return rows.select(F.lit(name).alias("rule_id"), F.lit(pos).alias("pos"), F.lit(pos == 0).alias("is_default"), F.lit(date).alias("applies_from"), scope.alias("scope"), out.alias("except"), later.alias("later_dates"))
+
+    document = F.col("type") == "document"
+    default = rule(spark.range(1), "default", 0, "2030-01-01", none, none)
+    sources = rule(old.filter((F.col("type") == "source") & (F.col("s") % 2 == 0)), "source", 1, "2025-01-01", own, none)
+    fifths = rule(old.filter(document & (F.col("d") % 5 == 0)), "source", 1, "2025-01-01", none, own)
+    sevenths = rule(old.filter(document & (F.col("d") % 7 == 0)), "document", 2, "2026-01-01", own, none, later)
+    return default.unionByName(sources).unionByName(fifths).unionByName(sevenths)
 
 
 RESOLVED_SQL = r"""met_ as (select version, id, 'source' rule_id, 1 pos, distance from closure_ where instr(ancestor, '.') = 0 and try_cast(substr(ancestor, 4) as bigint) % 2 = 0
