@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through the hashes of their shared lines, and of two lines in a row: each later document
-is paired with the earliest one that holds such a line, so a line that a third of all documents share makes one pair for
-each of them, not one for every two. Rare lines tell most and very short ones nothing, so only lines of `seed_words` words
-seed a pair. Each pair is aligned with patience diff; aligned blocks of at least `block_words` words go from the later one.
+Documents that overlap are found through hashes of runs of lines: the shortest run from each line on, and the shortest up to
+each line, that reaches `block_words` words. Every line of a block that two documents share lies in such a run inside the block,
+so a later document is paired with the earliest one that holds each of its runs, and a run that a third of all documents
+share makes one pair for each of them, not one for every two. Each pair is aligned with patience diff; aligned blocks of at
+least `block_words` words go from the later one. An alignment keeps one rising chain: blocks that cross it (moved or
+repeated) are then looked up by their runs and go too.
 
 Defined cases: earlier means smaller doc_id (null last), then earlier row; a null or empty text has no lines and stays as
 it is; lines that differ in white space only are equal; blank lines don't interrupt a block; a document of which nothing
@@ -12,17 +14,20 @@ but blank lines is left by deletion is dropped; all other rows keep all columns
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-SEED_WORDS = 5
 BLOCK_WORDS = 20
 
 
@@ -63,6 +68,23 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(x: list[tuple], least: int) -> set[tuple[int, int]]:
+    """(from, to) of the shortest runs of lines in a row from each line on, and up to each line, that reach least words."""
+    upto, out, at = [0, *accumulate(w for *_, w in x)], set(), 0
+    while at < len(x):
+        end = at + 1
+        while end < len(x) and x[end][0] == x[end - 1][0] + 1:
+            end += 1
+        for k in range(at, end):
+            to, back = bisect_left(upto, upto[k] + least, k + 1, end + 1), bisect_right(upto, upto[k + 1] - least, at, k + 1) - 1
+            if to <= end:
+                out.add((k, to))
+            if back >= at:
+                out.add((back, k + 1))
+        at = end
+    return out
+
+
 def blocks(a: list[tuple], b: list[tuple], least: int) -> list[int]:
     """Line numbers of a to delete. a, b: (nth, line, hash, words) of the lines that either shares with any document."""
     both, cut, run, words = patience([x[2] for x in a], [x[2] for x in b]), [], [], 0
@@ -77,10 +99,15 @@ def blocks(a: list[tuple], b: list[tuple], least: int) -> list[int]:
             run.append(a[i][1])
             words += a[i][3]
         last = now
-    return cut
+    gone = set(cut)
+    held = {tuple(x[2] for x in b[i:j]) for i, j in runs(b, least)}
+    for i, j in runs(a, least):  # what crosses the chain
+        if not gone.issuperset(x[1] for x in a[i:j]) and tuple(x[2] for x in a[i:j]) in held:
+            cut += [x[1] for x in a[i:j]]
+    return sorted({*cut})
 
 
-def deletions(held: DataFrame, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def deletions(held: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """__uid, cut (line numbers from 0 to delete) of the rows of held (doc_id, text, __uid) that lose lines."""
     plain = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     told = F.filter(F.transform(plain, lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("words"))), lambda x: x["words"] > 0)
@@ -89,14 +116,21 @@ def deletions(held: DataFrame, seed_words: int = SEED_WORDS, block_words: int =
     rows = stored(rows, "lines")
     owner = rows.groupBy("h").agg(F.min("at").alias("owner"), F.max("at").alias("other")).filter(F.col("owner") != F.col("other")).select("h", "owner")
     shared = stored(rows.join(owner, "h"), "lines-shared")
-    singles = shared.filter(F.col("words") >= seed_words).filter("at != owner").select("at", "owner")
-    # two lines in a row: their first place may be another document
-    after = shared.select("at", (F.col("nth") - 1).alias("nth"), F.col("h").alias("h2"), F.col("words").alias("w2"))
-    twos = shared.join(after, ["at", "nth"]).filter(F.col("words") + F.col("w2") >= seed_words).select("at", F.xxhash64("h", "h2").alias("hh"))
-    first = twos.groupBy("hh").agg(F.min("at").alias("owner"))
-    doubles = twos.join(first, "hh").filter("at != owner").select("at", "owner")
-    pairs = singles.unionByName(doubles).distinct()
     lists = stored(shared.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("nth", "line", "h", "words"))).alias("own"), F.sum("words").alias("n")).filter(F.col("n") >= block_words).drop("n"), "line-lists")
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for xs in batch.column("own").to_pylist():
+                hashes = array("q", [x["h"] for x in xs]).tobytes()
+                met = {hashes[8 * i : 8 * j] for i, j in runs([(x["nth"], x["words"]) for x in xs], block_words)}
+                keys.append([int.from_bytes(blake2b(k, digest_size=8).digest(), "little", signed=True) for k in met])
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(keys, pa.list_(pa.int64()))], ["at", "keys"])
+
+    seeded = lists.mapInArrow(seeds, f"at {lists.schema['at'].dataType.simpleString()}, keys array<long>")
+    keys = stored(seeded.select("at", F.explode("keys").alias("key")), "line-runs")
+    first = keys.groupBy("key").agg(F.min("at").alias("owner"), F.max("at").alias("other")).filter("owner != other").select("key", "owner")
+    pairs = keys.join(first, "key").filter("at != owner").select("at", "owner").distinct()
     later, earlier = lists.select("at", F.col("own").alias("a")), lists.select(F.col("at").alias("owner"), F.col("own").alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,10 +144,10 @@ def deletions(held: DataFrame, seed_words: int = SEED_WORDS, block_words: int =
     return met.groupBy("__uid").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
 
 
-def dedup_lines(documents: DataFrame, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def dedup_lines(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All columns of documents, text without the deleted lines, and __lines (before) and __cut (how many went)."""
     held = stored(documents.withColumn("__uid", F.monotonically_increasing_id()), "line-documents")
-    cuts = stored(deletions(held.select("doc_id", "text", "__uid"), seed_words, block_words), "line-cuts")
+    cuts = stored(deletions(held.select("doc_id", "text", "__uid"), block_words), "line-cuts")
     # the same plan at every size: the cuts grow with the documents, so they are never broadcast
     out = held.join(cuts.hint("merge"), "__uid", "left")
     lines = F.split("text", "\n")

@@ -139,6 +139,33 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_takes_every_shared_block(spark):
+    mark = [f"line {i} has eight words of its own" for i in range(40)]
+    join = lambda *parts: "\n".join(x for part in parts for x in part)
+    # each couplet of the eight lines stood somewhere before, the eight together only in 10
+    texts = [(i, join([f"own {i}"], mark[i - 1 : i + 1])) for i in range(1, 8)] + [(10, join(["ten"], mark[:8])), (11, join(["eleven"], mark[:8], ["end"]))]
+    # passages in another order, and one twice; blocks that overlap in the later document only
+    texts += [(20, join(mark[10:18], ["twenty"], mark[20:28])), (21, join(mark[20:28], ["moved"], mark[10:18])), (22, join(mark[10:18], ["again"], mark[10:18]))]
+    texts += [(30, join(mark[30:33], ["thirty"], mark[32:35])), (31, join(mark[30:35], ["over"]))]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i] for i in (11, 21, 22, 31)] == ["eleven\nend", "moved", "again", "over"]
+    assert all(got[i] == t for i, t in texts if i not in (11, 21, 22, 31))
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(6)
+    pool = [" ".join(f"w{i}" for _ in range(rng.choice([1, 5, 8, 12]))) + f" {i}" for i in range(12)]
+    texts = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    want, before = {}, []
+    for i, t in texts:
+        held = t.split("\n")
+        gone = {k for a in range(len(held)) for b in range(a + 1, len(held) + 1) if len(" ".join(held[a:b]).split()) >= 20 and any(held[a:b] == old[c : c + b - a] for old in before for c in range(len(old))) for k in range(a, b)}
+        if len(gone) < len(held):
+            want[i] = "\n".join(x for k, x in enumerate(held) if k not in gone)
+        before.append(held)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, texts)).collect()} == want
+
+
 def test_main_text():
     page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li>Menu</li></ul></nav><div class="ad box">Buy</div><header>Top</header>
     <article><h1>Head &amp; line</h1><p><b>One<br>two<p>Three&nbsp;  four</p><div id="comments">Reader</div><form>Name</form></article><aside>Side</aside><footer>&copy;</footer></body></html>"""
