@@ -7,7 +7,7 @@ threshold between their two clusters; the content regions are the lines above it
 its region itself: there the marks stand for the threshold, so that short paragraphs and headings of the article stay.
 
 Defined cases: a null html is empty; an empty or textless page gives an empty text; unclosed elements end where their
-parent does, a tag or comment cut off at the page's end is no text; equal pages are each a row; nothing is capped.
+parent does or where HTML implies it (a block ends a p, an li the li before it), a tag or comment cut off at the page's end is no text; equal pages are each a row; nothing is capped.
 """
 
 from __future__ import annotations
@@ -27,67 +27,103 @@ NEVER = frozenset("script style noscript template head title svg math iframe obj
 AROUND = frozenset("nav aside footer form menu dialog".split())
 #: Words of a class or id that mark what is not main text.
 MARKS = frozenset("nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement banner cookie cookies consent notice popup modal overlay promo sponsor sponsored comment comments disqus reply replies related share sharing social breadcrumb breadcrumbs newsletter subscribe signup login pagination pager toolbar masthead".split())
+#: No end tag or implied end reaches out of these, but for the end tags of a page's large parts.
+SCOPE = frozenset("html table td th caption object template".split())
+LARGE = frozenset("html body main article section nav aside header footer".split())
+#: Start tags that end open elements of the second set, as far out as the first one of the third.
+IMPLIED = [
+    (frozenset({"li"}), frozenset({"li"}), SCOPE | frozenset("ul ol menu".split())),
+    (frozenset("dt dd".split()), frozenset("dt dd".split()), SCOPE | {"dl"}),
+    (frozenset({"option"}), frozenset({"option"}), frozenset({"select"})),
+    (frozenset("td th".split()), frozenset("td th".split()), frozenset("table template".split())),
+    (frozenset({"tr"}), frozenset("td th tr".split()), frozenset("table template".split())),
+    (frozenset("tbody thead tfoot".split()), frozenset("caption td th tr tbody thead tfoot".split()), frozenset("table template".split())),
+    (BLOCKS - frozenset("body html legend caption option tbody thead tfoot td th tr".split()), frozenset({"p"}), SCOPE | {"button"}),
+]
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CUT = re.compile(r"<(?:!--(?:(?!-->).)*|[a-zA-Z/!?][^<>]*)\Z", re.S)
 SIGMA = 2.0
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, in an article) for each line of a page."""
+    """Collects (text, tags, number of the outermost article or 0) for each line of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines, self.parts, self.tags, self.skip, self.depth, self.article, self.articles = [], [], 0, "", 0, 0, 0
+        self.lines, self.parts, self.tags, self.articles = [], [], 0, 0
+        self.open = []  # (tag, whether it is an article) from the root down
+        self.skip = -1  # how many elements are open around the skipped one
+        self.article = 0  # how many articles are open
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.article > 0))
+            self.lines.append((text, self.tags, self.articles if self.article else 0))
         self.parts, self.tags = [], 0
 
+    def close_to(self, n: int) -> None:
+        """Ends all but the n outermost open elements."""
+        for _, article in self.open[n:]:
+            self.article -= article
+        del self.open[n:]
+        if n <= self.skip:
+            self.skip = -1
+
+    def find(self, tags: frozenset, stop: frozenset, outermost: bool = False) -> int:
+        """Where the innermost (or outermost) open element of these tags lies, up to one of stop; -1 if there is none."""
+        found = -1
+        for n in range(len(self.open) - 1, -1, -1):
+            if self.open[n][0] in tags:
+                found = n
+                if not outermost:
+                    break
+            elif self.open[n][0] in stop:
+                break
+        return found
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skip:
-            if tag == self.skip:
-                self.depth += 1
-            elif tag in ("article", "main", "body") and self.skip not in NEVER - {"head", "title"}:
-                self.skip = ""
-            if self.skip:
-                self.tags += 1
-                return
+        skipped = self.open[self.skip][0] if self.skip >= 0 else ""
         if tag in BLOCKS:
             self.end_line()
+        if skipped and tag in ("article", "main", "body") and skipped not in NEVER - {"head", "title"} or skipped == "head" and tag not in IN_HEAD and len(self.open) == self.skip + 1:
+            self.close_to(self.skip)
+        for starts, ends, stop in IMPLIED:
+            if tag in starts and (n := self.find(ends, stop, True)) >= 0:
+                self.close_to(n)
         self.tags += 1
-        if tag == "br":
-            self.parts.append(" ")
-        marks = {w for name, value in attrs if name in ("class", "id", "role") and value for w in re.split(r"[^a-z0-9]+", value.lower())}
-        inside = self.article > 0
-        if tag not in VOID and tag not in ("html", "body", "article", "main") and (tag in NEVER or tag in AROUND or marks & MARKS or not inside and (tag == "header" or "header" in marks)):
-            self.skip, self.depth = tag, 1
-        elif tag in ("article", "main"):
-            self.article += 1
-            self.articles += 1
+        if tag in VOID:
+            if tag == "br" and self.skip < 0:
+                self.parts.append(" ")
+            return
+        article = False
+        if self.skip < 0:
+            told = [value.lower() for name, value in attrs if name in ("class", "id", "role") and value]
+            marks = {w for value in told for w in re.split(r"[^a-z0-9]+", value)}
+            if tag not in ("html", "body", "article", "main") and (tag in NEVER or tag in AROUND or marks & MARKS or not self.article and (tag == "header" or "header" in marks)):
+                self.skip = len(self.open)
+            elif tag in ("article", "main"):
+                article = True
+                self.articles += not self.article
+                self.article += 1
+        self.open.append((tag, article))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if self.skip:
-            if tag == self.skip:
-                self.depth -= 1
-                if not self.depth:
-                    self.skip = ""
-            return
         if tag in BLOCKS:
             self.end_line()
-        if tag in ("article", "main") and self.article:
-            self.article -= 1
+        # an inline end tag reaches to the next block only, unless it is the skipped element's own
+        near = tag not in BLOCKS | NEVER and not (self.skip >= 0 and tag == self.open[self.skip][0])
+        n = self.find(frozenset({tag}), frozenset() if tag in LARGE else SCOPE | BLOCKS if near else SCOPE)
+        if n >= 0:
+            self.close_to(n)
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if self.skip < 0:
             self.parts.append(data)
 
 

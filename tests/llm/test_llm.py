@@ -178,6 +178,14 @@ def test_main_text():
     assert got.startswith("long words") and "x x" not in got and got.endswith("7")
 
 
+def test_main_text_skipped_elements_end_with_their_parents():
+    for cut in ("<p class='notice'>We use cookies", "<ul><li class='share'>Share<li>Kept</ul>", "<header><nav>Menu</header>", "<section><div class='ad'><span>Buy</section>", "<table><tr><td class='ad'>Buy<tr><td>Kept</table>", "<p><span class='ad'><b>Buy</span>"):
+        got = html.main_text(f"<article><p>Before</p>{cut}<p>Real one<p>Real two</article>")
+        assert got.replace(" Kept", "") == "Before Real one Real two"
+    assert html.main_text("<html><head><title>T</title><p>Hello") == "Hello"
+    assert html.main_text("<article><nav><ul><li>a<li>b</ul><p>c</nav><p>x</b>y</article>") == "xy"
+
+
 def test_quality_keeps_good_and_drops_poor(spark):
     rng = random.Random(0)
     good = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(60)) + f" {i}." for i in range(150)]
