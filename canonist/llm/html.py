@@ -3,8 +3,9 @@
 The parser's events are cut into lines, one for each block of text, with the tags met on it. Elements that never are main
 text (scripts, menus, forms, page headers and footers, sidebars, and what their class or id says to be advert, notice or
 reader comment) count as tags only. The text-to-tag ratios of a page's lines are smoothed with a Gaussian and cut at a
-threshold between their two clusters; the content regions are the lines above it. A page that marks its article tells
-its region itself: there the marks stand for the threshold, so that short paragraphs and headings of the article stay.
+threshold between their two clusters; the content regions are the lines above it. An article mark is a prior on the lines, never
+more: the Gaussian does not reach across its edges, and where the marked lines hold half of the page's text or more, they
+stay whole, so that short paragraphs and headings do. All other lines, marked or not, are held against the threshold.
 
 Defined cases: a null html is empty; an empty or textless page gives an empty text; unclosed elements end where their
 parent does or where HTML implies it (a block ends a p, an li the li before it), a tag or comment cut off at the page's end is no text; equal pages are each a row; nothing is capped.
@@ -98,8 +99,9 @@ class Lines(HTMLParser):
         article = False
         if self.skip < 0:
             told = [value.lower() for name, value in attrs if name in ("class", "id", "role") and value]
-            marks = {w for value in told for w in re.split(r"[^a-z0-9]+", value)}
-            if tag not in ("html", "body", "article", "main") and (tag in NEVER or tag in AROUND or marks & MARKS or not self.article and (tag == "header" or "header" in marks)):
+            # an article's class also lists its topics: there only a whole name is a mark
+            marks = {w for value in told for w in (value.split() if tag == "article" else re.split(r"[^a-z0-9]+", value))}
+            if tag not in ("html", "body", "main") and (tag in NEVER or tag in AROUND or marks & MARKS or not self.article and tag != "article" and (tag == "header" or "header" in marks)):
                 self.skip = len(self.open)
             elif tag in ("article", "main"):
                 article = True
@@ -157,16 +159,20 @@ def main_text(html: str | None) -> str:
     parser.feed(CUT.sub("", html))
     parser.close()
     parser.end_line()
-    if parser.articles:
-        return " ".join(t for t, _, inside in parser.lines if inside and t)
-    ratios = np.asarray([len(t) / max(1, n) for t, n, _ in parser.lines], float)
-    if not len(ratios):
-        return ""
-    smooth = smoothed(ratios)
-    level = threshold(smooth)
-    if smooth.max() - smooth.min() < 0.5 * smooth.max():  # one cluster: nothing stands out, so nothing goes
-        level = -1
-    return " ".join(t for (t, _, _), s in zip(parser.lines, smooth, strict=True) if t and s > level)
+    return " ".join(t for (t, _, _), kept in zip(parser.lines, chosen(parser.lines), strict=True) if t and kept)
+
+
+def chosen(lines: list[tuple[str, int, int]], prior: float = 0.5) -> np.ndarray:
+    """Which lines are main text. prior: the share of the text that marked lines must hold for the mark to count."""
+    if not lines:
+        return np.zeros(0, bool)
+    chars, tags, marked = np.asarray([(len(t), max(1, n), r) for t, n, r in lines], float).T
+    edges = np.flatnonzero(np.diff(marked)) + 1
+    smooth = np.concatenate([smoothed(part) for part in np.split(chars / tags, edges)])
+    trusted = (marked > 0) & (chars[marked > 0].sum() >= prior * chars.sum()) & bool(marked.any())
+    if smooth.max() - smooth.min() < 0.5 * smooth.max():  # one cluster: nothing stands out, so nothing goes but by the mark
+        return trusted if trusted.any() else np.ones(len(lines), bool)
+    return trusted | (smooth > threshold(smooth))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -186,6 +186,19 @@ def test_main_text_skipped_elements_end_with_their_parents():
     assert html.main_text("<article><nav><ul><li>a<li>b</ul><p>c</nav><p>x</b>y</article>") == "xy"
 
 
+def test_main_text_article_mark_is_a_prior():
+    story = [f"{'long words of a story ' * 12}{i}" for i in range(8)]
+    body = "".join(f"<p>{t}</p>" for t in story)
+    links = "<ul>" + "".join("<li><a href='#'>x</a></li>" for _ in range(25)) + "</ul>"
+    card = "<article><h3>Other story</h3><a href='#'>more</a></article>"
+    got = html.main_text(f"<body>{links}<div>{body}</div>{links}{card}</body>")
+    assert all(t in got for t in story) and "x" not in got.split()
+    got = html.main_text(f"<body><article><h1>Head</h1>{body}<p>End</p></article>{links}<article class='comment'><p>Reader says so</p></article></body>")
+    assert got == " ".join(["Head", *story, "End"])
+    got = html.main_text(f"<body><article class='post category-social'><h1>Head</h1>{body}</article>{links}<div>{body}</div></body>")
+    assert got == " ".join(["Head", *story, *story])
+
+
 def test_quality_keeps_good_and_drops_poor(spark):
     rng = random.Random(0)
     good = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(60)) + f" {i}." for i in range(150)]
