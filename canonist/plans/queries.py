@@ -211,6 +211,14 @@ def search_bm25(spark, sf_dir):
     return search.search(search.expand(asked), search.build_index(d, T.words(F.col("text"))))
 
 
+@query(f"with {BM25_SQL.replace('[1:6]', '')} select query_id, rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= 8")
+def search_bm25_whole(spark, sf_dir):
+    """search_bm25 with all terms of each benchmark text, not the first six words."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.words(F.col("text")).alias("terms"))
+    return search.search(search.expand(asked), search.build_index(d, T.words(F.col("text"))))
+
+
 @query(f"with {LOG_SQL} select case_id, model, arm, rep, seq, coalesce(correct::varchar, 'none') correct, cost, coalesce(error, '') error from last_")
 def eval_latest(spark, sf_dir):
     last = evalstats.latest(derive.log(spark, sf_dir))

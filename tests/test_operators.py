@@ -135,3 +135,27 @@ def test_obligations_on_null_fields_and_cycles(spark):
     with pytest.raises(ValueError):
         E.condition({"like": ["a", "b"]})
     assert E.obligations_of(p.filter("false"), rules_).count() == 0
+
+
+def test_search_of_whole_texts(spark, tmp_path):
+    import collections
+    import math
+    import random
+
+    from canonist.plans import queries
+
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(5, 60))) for i in range(40)}
+    asked = {i: " ".join(rng.choices("abcdefghijklmnopqrst", k=16)) for i in range(6)}
+    spark.createDataFrame([*texts.items(), (99, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*asked.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = collections.defaultdict(list)
+    for r in queries.QUERIES["search_bm25_whole"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.id, r.score))
+    held = {i: collections.Counter(t.split()) for i, t in texts.items()}
+    mean = sum(c.total() for c in held.values()) / len(held)
+    for q, text in asked.items():
+        idf = {w: math.log(1 + (len(held) - df + 0.5) / (df + 0.5)) for w in set(text.split()) if (df := sum(w in c for c in held.values()))}
+        score = {i: sum(x * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w, x in idf.items() if w in c) for i, c in held.items()}
+        best = sorted(score, key=lambda i: (-math.floor(score[i] * 1e4 + 0.5) / 1e4, i))[:8]
+        assert [i for i, _ in got[q]] == best and [s for _, s in got[q]] == pytest.approx([score[i] for i in best], abs=1e-4)
