@@ -1,4 +1,5 @@
-"""Ranked search: BM25 with synonyms, phrase bonus and type weights, for a table of queries at once."""
+"""Ranked search: BM25 with synonyms, for a table of queries at once. Of the reference's ranking, headings, stems, stopwords, type
+weights, topics and the phrase bonus are not built."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the ranking.
-K1, B, SYNONYM, PHRASE, DEFAULT_K, MOST_K = 1.2, 0.75, 0.4, 0.5, 8, 20
+K1, B, SYNONYM, DEFAULT_K, MOST_K = 1.2, 0.75, 0.4, 8, 20
 
 
 def build_index(nodes: DataFrame, terms: Column) -> DataFrame:
