@@ -9,7 +9,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST = 4_000_000  # cells of the table of one pair; beyond it, the whole middle is one deletion and one insertion
+MOST = 4_000_000  # cells of the table that are held at once; a larger one is made anew in parts, with the same result
+
+
+def _row(word: int, words: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """A row of the table (longest common subsequence of what follows) from the one below it."""
+    best = np.maximum(below[:-1], (below[1:] + 1) * (words == word))
+    return np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(np.int32)
+
+
+def _middle(a: list[str], b: list[str], most: int) -> list[tuple[str, str]]:
+    """Steps between two lists of words. Rows are halved until they fit `most`: the row in the middle is made from below, the
+    upper half is walked first, then the lower one from the column where the walk arrived."""
+    codes = {w: i for i, w in enumerate({*a, *b})}
+    x, y = np.array([codes[w] for w in a], int), np.array([codes[w] for w in b], int)
+    steps, j = [], 0
+    todo = [(0, len(a), np.zeros(len(b) + 1, np.int32), 0)]  # rows from, to, the row below them and its first column
+    while todo:
+        start, stop, below, column = todo.pop()
+        below = below[j - column :]
+        if stop - start > 1 and (stop - start) * len(below) > most:
+            half, row = (start + stop) // 2, below
+            for i in range(stop - 1, half - 1, -1):
+                row = _row(x[i], y[j:], row)
+            todo += [(half, stop, below, j), (start, half, row, j)]
+            continue
+        first, kept = j, [below]
+        for i in range(stop - 1, start - 1, -1):
+            kept.append(_row(x[i], y[first:], kept[-1]))
+        kept.reverse()
+        i = start
+        while i < stop:
+            if j < len(b) and a[i] == b[j]:
+                steps.append(("equal", a[i]))
+                i, j = i + 1, j + 1
+            elif j == len(b) or kept[i + 1 - start][j - first] >= kept[i - start][j + 1 - first]:
+                steps.append(("delete", a[i]))
+                i += 1
+            else:
+                steps.append(("insert", b[j]))
+                j += 1
+    return steps + [("insert", w) for w in b[j:]]
 
 
 def word_diff(old: list[str], new: list[str], most: int = MOST) -> list[tuple[str, str]]:
@@ -23,26 +63,7 @@ def word_diff(old: list[str], new: list[str], most: int = MOST) -> list[tuple[st
         tail += 1
     a, b = old[head : len(old) - tail], new[head : len(new) - tail]
     steps = [("equal", w) for w in old[:head]]
-    if len(a) * len(b) > most:
-        steps += [("delete", w) for w in a] + [("insert", w) for w in b]
-    else:
-        codes = {w: i for i, w in enumerate({*a, *b})}
-        x, y = np.array([codes[w] for w in a], int), np.array([codes[w] for w in b], int)
-        kept = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # longest common subsequence of what follows
-        for i in range(len(a) - 1, -1, -1):
-            best = np.maximum(kept[i + 1, :-1], (kept[i + 1, 1:] + 1) * (x[i] == y))
-            kept[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-        i = j = 0
-        while i < len(a) or j < len(b):
-            if i < len(a) and j < len(b) and a[i] == b[j]:
-                steps.append(("equal", a[i]))
-                i, j = i + 1, j + 1
-            elif j == len(b) or i < len(a) and kept[i + 1, j] >= kept[i, j + 1]:
-                steps.append(("delete", a[i]))
-                i += 1
-            else:
-                steps.append(("insert", b[j]))
-                j += 1
+    steps += _middle(a, b, most)
     steps += [("equal", w) for w in old[len(old) - tail :]]
     runs: list[tuple[str, list[str]]] = []
     for op, word in steps:

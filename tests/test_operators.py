@@ -137,6 +137,21 @@ def test_obligations_on_null_fields_and_cycles(spark):
     assert E.obligations_of(p.filter("false"), rules_).count() == 0
 
 
+def test_word_diff_aligns_at_every_size():
+    import random
+
+    from canonist.operators.worddiff import word_diff
+
+    words = [f"w{i}" for i in range(2100)]
+    new = ["x", *words[1:1000], "y", *words[1000:-2], "z", words[-1], "end"]
+    want = [("delete", "w0"), ("insert", "x"), ("equal", " ".join(words[1:1000])), ("insert", "y"), ("equal", " ".join(words[1000:-2])), ("delete", words[-2]), ("insert", "z"), ("equal", words[-1]), ("insert", "end")]
+    assert word_diff(words, new) == want
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 25)) for _ in "ab")
+        assert word_diff(a, b, most=rng.choice([1, 7, 40])) == word_diff(a, b)
+
+
 def test_search_of_whole_texts(spark, tmp_path):
     import collections
     import math
