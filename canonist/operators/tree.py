@@ -38,13 +38,29 @@ def subtree_text(nodes: DataFrame, chain: DataFrame) -> DataFrame:
     return chain.join(own, ["version", "id"]).groupBy("version", F.col("ancestor").alias("id")).agg(F.array_join(F.transform(sorted_, lambda x: x["text"]), "\n").alias("text"))
 
 
+#: Types whose siblings are the family of their number (60, 60a) and the node before and after it.
+ROOTS = ("article", "annex", "recital")
+
+
 def neighbours(nodes: DataFrame, other: DataFrame, most: int = 30) -> DataFrame:
-    """version, id, before, after, children, siblings (the nearest, `most` of them at most), missing (not in the other version)."""
+    """version, id, before, after, children, siblings (how many), nearest (id and missing of the `most` nearest siblings by distance
+    of ord, ties to the earlier one, in document order), missing (not in the other version)."""
     beside = Window.partitionBy("version", "parent", "type").orderBy("ord")
     kids = nodes.filter("parent is not null").groupBy("version", F.col("parent").alias("id")).agg(F.count("id").alias("children"))
-    out = nodes.select("version", "id", F.lag("id").over(beside).alias("before"), F.lead("id").over(beside).alias("after"), F.least(F.count("id").over(Window.partitionBy("version", "parent", "type")) - 1, F.lit(most)).alias("siblings"))
-    there = other.select("id", F.lit(False).alias("gone"))
-    return out.join(kids, ["version", "id"], "left").join(there, "id", "left").select("version", "id", "before", "after", F.coalesce("children", F.lit(0)).alias("children"), "siblings", F.coalesce("gone", F.lit(True)).alias("missing"))
+    there = other.select("id", F.lit(False).alias("gone")).distinct()
+    root, number = F.col("type").isin(*ROOTS), F.nullif(F.regexp_extract("id", r"^([a-z]+_\d+)[a-z]*$", 1), F.lit(""))
+    out = nodes.join(there, "id", "left").withColumn("missing", F.coalesce("gone", F.lit(True)))
+    out = out.select("version", "id", "parent", "type", "ord", "missing", F.struct("ord", "id", "missing").alias("self"), F.when(~root, F.col("parent")).alias("p"), F.when(root | F.col("parent").isNull(), F.col("type")).alias("t"), F.when(root, F.coalesce(number, F.col("id"))).alias("f"))
+    group, along = Window.partitionBy("version", "p", "t", "f"), Window.partitionBy("version", "type", "p").orderBy("ord")
+    out = out.withColumn("prev", F.when(root, F.lag("self").over(along))).withColumn("next", F.when(root, F.lead("self").over(along)))
+    # no sibling among the nearest is more than `most` places away
+    held = F.collect_list("self").over(group.orderBy("ord").rowsBetween(-most, most))
+    edges = F.array_compact(F.array(F.min_by("prev", "ord").over(group), F.max_by("next", "ord").over(group)))
+    out = out.select("version", "id", "ord", "missing", F.lag("id").over(beside).alias("before"), F.lead("id").over(beside).alias("after"), held.alias("held"), edges.alias("edges"), F.count("id").over(group).alias("n"))
+    far = F.transform(F.filter(F.concat("held", "edges"), lambda x: x["id"] != F.col("id")), lambda x: F.struct(F.abs(x["ord"] - F.col("ord")).alias("far"), x["ord"].alias("ord"), x["id"].alias("id"), x["missing"].alias("missing")))
+    near = F.array_sort(F.transform(F.slice(F.array_sort(far), 1, most), lambda x: F.struct(x["ord"].alias("ord"), x["id"].alias("id"), x["missing"].alias("missing"))))
+    nearest = F.transform(near, lambda x: F.struct(x["id"].alias("id"), x["missing"].alias("missing")))
+    return out.join(kids, ["version", "id"], "left").select("version", "id", "before", "after", F.coalesce("children", F.lit(0)).alias("children"), (F.col("n") - 1 + F.size("edges")).alias("siblings"), nearest.alias("nearest"), "missing")
 
 
 def violations(nodes: DataFrame) -> DataFrame:

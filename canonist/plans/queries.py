@@ -85,7 +85,16 @@ select n.version, n.id, lag(n.id) over w as before, lead(n.id) over w as after,
  not exists (select 1 from nodes o where o.version = 'v2' and o.id = n.id) missing
 from nodes n left join kids k on k.version = n.version and k.id = n.id where n.version = 'v1' window w as (partition by n.version, n.parent, n.type order by n.ord)""")
 def tree_neighbours(spark, sf_dir):
-    return tree.neighbours(*_versions(spark, sf_dir))
+    """The count of siblings is clipped to 30, as in the SQL; tree_siblings has all of it, and the siblings."""
+    out = tree.neighbours(*_versions(spark, sf_dir)).drop("nearest")
+    return out.withColumn("siblings", F.least("siblings", F.lit(30)))
+
+
+@query()
+def tree_siblings(spark, sf_dir):
+    """How many siblings each node has, and the nearest 30."""
+    out = tree.neighbours(*_versions(spark, sf_dir))
+    return out.select("version", "id", "siblings", F.transform("nearest", lambda x: x["id"]).alias("nearest"), F.size(F.filter("nearest", lambda x: x["missing"])).alias("n_missing"))
 
 
 @query(f"""with {NODES_SQL}, step as (select version, id, ord - lag(ord) over (partition by version order by ord) s from nodes)

@@ -152,6 +152,19 @@ def test_word_diff_aligns_at_every_size():
         assert word_diff(a, b, most=rng.choice([1, 7, 40])) == word_diff(a, b)
 
 
+def test_neighbours_nearest_siblings(spark):
+    rows = [("v", "c", None, "t", "")] + [("v", f"c.{i}", "c", "line" if i % 2 else "t", "x") for i in range(100)]
+    rows += [("v", i, None, "article", "x") for i in ("art_1", "art_2", "art_2a", "art_2b", "art_3", "art_4")]
+    n = nodes(spark, rows)
+    got = {r.id: r for r in tree.neighbours(n, n.filter("id != 'c.1'"), 30).collect()}
+    for i in range(100):
+        want = sorted(sorted((j for j in range(100) if j != i), key=lambda j: (abs(j - i), j))[:30])
+        assert got[f"c.{i}"].siblings == 99 and [x.id for x in got[f"c.{i}"].nearest] == [f"c.{j}" for j in want]
+    assert [x.id for x in got["c.0"].nearest if x.missing] == ["c.1"] and got["c.1"].missing
+    assert {i: [x.id for x in got[i].nearest] for i in ("art_1", "art_2a", "art_4", "c")} == {"art_1": ["art_2"], "art_2a": ["art_1", "art_2", "art_2b", "art_3"], "art_4": ["art_3"], "c": []}
+    assert got["art_2a"].siblings == 4
+
+
 def test_search_of_whole_texts(spark, tmp_path):
     import collections
     import math
