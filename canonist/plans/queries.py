@@ -50,10 +50,13 @@ def quotes_exact(spark, sf_dir):
 
 @query()
 def quotes_verified(spark, sf_dir):
-    """Statuses of passages of the benchmark with every seventh word changed in one of three ways, by tolerant matching."""
+    """Statuses of passages of the benchmark with every seventh word changed in one of three ways, by tolerant matching; of
+    every fourth one also the first four words, as -1 - item_id."""
     words = F.split("text", " ")
     edited = F.array_join(F.transform(words, lambda w, i: F.when((F.col("item_id") % 4 == 1) & (i == 7), F.concat(w, F.lit("x"))).when((F.col("item_id") % 4 == 2) & (i == 7), F.lit("17")).otherwise(w)), " ")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.when(F.col("item_id") % 4 == 3, F.array_join(F.slice(words, 1, 4), " ")).otherwise(edited).alias("quote"))
+    items = table(spark, sf_dir, "benchmark")
+    short = items.filter("item_id % 4 = 3").select((-1 - F.col("item_id")).alias("quote_id"), F.array_join(F.slice(words, 1, 4), " ").alias("quote"))
+    q = items.select(F.col("item_id").alias("quote_id"), edited.alias("quote")).unionByName(short)
     return verify.verify(q, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 

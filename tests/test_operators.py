@@ -187,3 +187,13 @@ def test_search_of_whole_texts(spark, tmp_path):
         score = {i: sum(x * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w, x in idf.items() if w in c) for i, c in held.items()}
         best = sorted(score, key=lambda i: (-math.floor(score[i] * 1e4 + 0.5) / 1e4, i))[:8]
         assert [i for i, _ in got[q]] == best and [s for _, s in got[q]] == pytest.approx([score[i] for i in best], abs=1e-4)
+
+
+def test_quotes_verified_searches_every_passage_whole(spark, tmp_path):
+    from canonist.plans import queries
+
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, text), (3, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.quote_id: r.status for r in queries.QUERIES["quotes_verified"](spark, str(tmp_path)).collect()}
+    assert got == {0: "exact", 3: "exact", -4: "too_short"}
