@@ -1,11 +1,11 @@
-"""What the operators share: the folder that driver and executors both see, and tables written there."""
+"""What the operators share: the folder that driver and executors both see, tables written there, rows with numbers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,17 +21,44 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: lineage ends here, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables of one job in the shared folder. A table is written whole before anything reads it, so lineage ends there and
+    lost executors lose nothing; it is dropped as soon as all that is made of it is written."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths, self.written = spark, f"{shared_dir(spark)}/job-{uuid.uuid4().hex}", {}, 0
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        """df written once as Parquet and read back."""
+        self.written += 1
+        path = f"{self.folder}/{self.written}-{label}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.setdefault(label, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str, but: int = 0) -> None:
+        """Deletes the tables of these labels, but for the last `but` of each."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for label in labels:
+            held = self.paths.get(label, [])
+            gone, self.paths[label] = held[: len(held) - but], held[len(held) - but :]
+            for path in gone:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+
+
+def numbered(df: DataFrame, *keep: str) -> DataFrame:
+    """__uid (different for each row), these columns, and __row: all columns as one struct, so that no name of theirs can
+    clash with one of an operator's. To be stored before it is read twice."""
+    return df.select(F.monotonically_increasing_id().alias("__uid"), *keep, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
 
 
-def word_class(text, keep: str):
-    """A-Z lower-cased, nothing else: other letters keep their case in every engine."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if keep == "ascii" else F.lower(text)
+def restored(columns: list[str], results: dict[str, Column]) -> list[Column]:
+    """The columns of __row, then the results; a result takes the place of a column that has its name."""
+    taken = {name.lower(): (name, value) for name, value in results.items()}
+    out = [taken.pop(c.lower())[1].alias(c) if c.lower() in taken else F.col("__row").getField(c).alias(c) for c in columns]
+    return out + [value.alias(name) for name, value in taken.values()]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

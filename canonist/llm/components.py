@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +20,8 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of an edge u, v (longs). Edges may repeat, turn round or loop."""
-    pairs = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    pairs = scratch.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
     before = None
     while True:
         # done when every node has one smaller neighbour and no such neighbour has one itself
@@ -28,5 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         if not now["n"] or now == before:
             break
         before = now
-        pairs = stored(_star(_star(pairs, True), False), "edges")
+        pairs = scratch.stored(_star(_star(pairs, True), False), "edges")
+        scratch.drop("edges", but=1)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

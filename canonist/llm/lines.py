@@ -9,7 +9,8 @@ repeated) are then looked up by their runs and go too.
 
 Defined cases: earlier means smaller doc_id (null last), then earlier row; a null or empty text has no lines and stays as
 it is; lines that differ in white space only are equal; blank lines don't interrupt a block; a document of which nothing
-but blank lines is left by deletion is dropped; all other rows keep all columns (n_chars follows the text).
+but blank lines is left by deletion is dropped; all other rows keep all columns (n_chars follows the text), but that __lines and
+__cut replace columns of these names. Very long texts are whole; equal rows each count; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, numbered, restored
 
 BLOCK_WORDS = 20
 
@@ -109,14 +110,19 @@ def blocks(a: list[tuple], b: list[tuple], least: int) -> list[int]:
 
 def deletions(held: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """__uid, cut (line numbers from 0 to delete) of the rows of held (doc_id, text, __uid) that lose lines."""
+    scratch = Scratch(held.sparkSession)
+    stored = scratch.stored
     plain = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     told = F.filter(F.transform(plain, lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("words"))), lambda x: x["words"] > 0)
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")
     rows = held.filter("text is not null").select(at.alias("at"), F.posexplode(told).alias("nth", "x")).select("at", "nth", "x.line", "x.h", "x.words")
     rows = stored(rows, "lines")
-    owner = rows.groupBy("h").agg(F.min("at").alias("owner"), F.max("at").alias("other")).filter(F.col("owner") != F.col("other")).select("h", "owner")
-    shared = stored(rows.join(owner, "h"), "lines-shared")
-    lists = stored(shared.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("nth", "line", "h", "words"))).alias("own"), F.sum("words").alias("n")).filter(F.col("n") >= block_words).drop("n"), "line-lists")
+    # rare: held by another document too; counted and stored first, so that the join can be split at a frequent line
+    owner = rows.groupBy("h").agg(F.min("at").alias("owner"), F.max("at").alias("other")).filter(F.col("owner") != F.col("other")).select("h")
+    shared = stored(rows.join(stored(owner, "owners"), "h"), "shared")
+    scratch.drop("lines", "owners")
+    lists = stored(shared.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("nth", "line", "h", "words"))).alias("own"), F.sum("words").alias("n")).filter(F.col("n") >= block_words).drop("n"), "lists")
+    scratch.drop("shared")
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,9 +134,10 @@ def deletions(held: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(keys, pa.list_(pa.int64()))], ["at", "keys"])
 
     seeded = lists.mapInArrow(seeds, f"at {lists.schema['at'].dataType.simpleString()}, keys array<long>")
-    keys = stored(seeded.select("at", F.explode("keys").alias("key")), "line-runs")
+    keys = stored(seeded.select("at", F.explode("keys").alias("key")), "runs")
     first = keys.groupBy("key").agg(F.min("at").alias("owner"), F.max("at").alias("other")).filter("owner != other").select("key", "owner")
-    pairs = keys.join(first, "key").filter("at != owner").select("at", "owner").distinct()
+    pairs = stored(keys.join(stored(first, "firsts"), "key").filter("at != owner").select("at", "owner").distinct(), "pairs")
+    scratch.drop("runs", "firsts")
     later, earlier = lists.select("at", F.col("own").alias("a")), lists.select(F.col("at").alias("owner"), F.col("own").alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,18 +148,22 @@ def deletions(held: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             yield out[out["cut"].str.len() > 0]
 
     met = pairs.join(later, "at").join(earlier, "owner").select(F.col("at.__uid").alias("__uid"), "a", "b").mapInPandas(run, "__uid long, cut array<int>")
-    return met.groupBy("__uid").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    cuts = stored(met.groupBy("__uid").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut")), "cuts")
+    scratch.drop("lists", "pairs")
+    return cuts
 
 
 def dedup_lines(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All columns of documents, text without the deleted lines, and __lines (before) and __cut (how many went)."""
-    held = stored(documents.withColumn("__uid", F.monotonically_increasing_id()), "line-documents")
-    cuts = stored(deletions(held.select("doc_id", "text", "__uid"), block_words), "line-cuts")
+    held = Scratch(documents.sparkSession).stored(numbered(documents), "documents")
+    text = F.col("__row.text").cast("string")
+    cuts = deletions(held.select("__uid", F.col("__row.doc_id").alias("doc_id"), text.alias("text")), block_words)
     # the same plan at every size: the cuts grow with the documents, so they are never broadcast
-    out = held.join(cuts.hint("merge"), "__uid", "left")
-    lines = F.split("text", "\n")
-    left = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("cut", i)), "\n"))
-    out = out.withColumn("__lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("text", left).withColumn("__cut", F.coalesce(F.size("cut"), F.lit(0)))
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(documents.dtypes)["n_chars"])))
-    return out.filter(F.col("cut").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")).drop("__uid", "cut")
+    out = held.join(cuts.hint("merge"), "__uid", "left").withColumn("__lines", F.split(text, "\n"))
+    cut, lines = F.col("cut"), F.col("__lines")
+    left = F.when(cut.isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(cut, i)), "\n"))
+    out = out.withColumn("__left", left).filter(cut.isNull() | (F.trim(F.regexp_replace("__left", r"\s+", " ")) != ""))
+    results = {"text": F.col("__left"), "__lines": F.coalesce(F.size(lines), F.lit(0)), "__cut": F.coalesce(F.size(cut), F.lit(0))}
+    if "n_chars" in documents.columns:
+        results["n_chars"] = F.when(cut.isNull(), F.col("__row.n_chars")).otherwise(F.length("__left").cast(dict(documents.dtypes)["n_chars"]))
+    return out.select(*restored(documents.columns, results))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 CAPACITY = 2048
 SHARD = 6000
@@ -230,6 +230,7 @@ def _evolve(epoch: int, capacity: int, generations: int, population: int):
 def pack(sizes: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, levels: int = LEVELS) -> DataFrame:
     """uid, sequence_id, offset for rows uid (distinct longs), length (1 to capacity)."""
     full = sizes.filter(F.col("length") >= capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    scratch = Scratch(sizes.sparkSession)
     left, done = sizes.filter(F.col("length") < capacity).select("uid", "length"), [full]
     for level in range(levels):
         n = left.count()
@@ -241,14 +242,15 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands
         for epoch in range(epochs):
             if epoch:  # every island gets its own elite and that of the island before it
                 dealt = now.select("shard", F.explode(F.array_distinct(F.array("island", ((F.col("island") + 1) % islands)))).alias("goes"), F.col("island").alias("came"), "uid", "length", "bin").withColumnRenamed("goes", "island")  # noqa: F821
-            now = stored(dealt.groupBy("shard", "island").applyInPandas(_evolve(epoch, capacity, generations, population), EVOLVED), "pack")
+            now = scratch.stored(dealt.groupBy("shard", "island").applyInPandas(_evolve(epoch, capacity, generations, population), EVOLVED), f"epoch-{level}")
+            scratch.drop(f"epoch-{level}", but=1)
         best = now.groupBy("shard").agg(F.min_by("island", F.struct("bins", "fitness", "island")).alias("island"))
         won = now.join(best, ["shard", "island"])
         stays = F.lit(True) if last else F.col("fill") >= capacity - capacity // 64
         done.append(won.filter(stays).select("uid", (F.lit(level) * F.lit(1 << 56) + F.col("shard") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), F.col("place").alias("offset")))
         if last:
             break
-        left = stored(won.filter(~stays).select("uid", "length"), "pack-left")
+        left = scratch.stored(won.filter(~stays).select("uid", "length"), "left")
     out = done[0]
     for one in done[1:]:
         out = out.unionByName(one)
@@ -257,5 +259,5 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands
 
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, ids: bool = False, **options) -> DataFrame:
     """Every piece of every document with the sequence it goes to and its offset there."""
-    cut = stored(pieces(documents, tokenizer, capacity, end_id, ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    cut = Scratch(documents.sparkSession).stored(pieces(documents, tokenizer, capacity, end_id, ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     return cut.join(pack(cut.select("uid", "length"), capacity, **options), "uid").drop("uid")

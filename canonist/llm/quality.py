@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 #: Documents, at most, that the scorer is trained on: those with the least hash.
 SAMPLE = 12_000
@@ -69,7 +69,7 @@ def features(s: list[float], shapes: Counter) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: steps of each statistic, and the share of each shape of word."""
     total = max(1, sum(shapes.values()))
     steps = [f"{name}:{min(20, int(v * 20))}" if name not in ("words", "length") else f"{name}:{int(np.log2(1 + v))}" for name, v in zip(STATS, s, strict=True)]
-    keys = [zlib.crc32(x.encode()) % SIZE for x in steps] + [zlib.crc32(b"shape:" + x[:12]) % SIZE for x in shapes]
+    keys = [zlib.crc32(x.encode()) % SIZE for x in steps] + [zlib.crc32(b"shape:" + x) % SIZE for x in shapes]
     return np.asarray(keys), np.asarray([0.3] * len(steps) + [v / total for v in shapes.values()])
 
 
@@ -120,15 +120,17 @@ def _voted(documents: DataFrame) -> DataFrame:
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """The scorer's weights; None for an empty table."""
-    voted = stored(_voted(documents), "votes")
+    scratch = Scratch(documents.sparkSession)
+    voted = scratch.stored(_voted(documents), "votes")
     counted = voted.groupBy("votes").count().orderBy("votes").collect()  # at most 3 to the power of the labellers
+    scratch.drop("votes")
     if not counted:
         return None
     patterns = np.asarray([[int(c) - 1 for c in r["votes"]] for r in counted])
     posterior = dict(zip((r["votes"] for r in counted), estimated(patterns, np.asarray([r["count"] for r in counted], float)), strict=True))
     n = sum(r["count"] for r in counted)
     texts = documents.select(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    edge = int(2**64 * min(1.0, sample / n)) - 2**63  # hashes below it: about `sample` rows
+    edge = min(2**63 - 1, int(2**64 * min(1.0, 1.2 * sample / n)) - 2**63)  # hashes below it: somewhat more than `sample` rows
     some = texts if n <= sample else texts.filter(F.col("h") < edge)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +139,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
             made = [features(*x) for x in told]
             yield pd.DataFrame({"votes": ["".join(str(v + 1) for v in votes(s)) for s, _ in told], "k": [k.tolist() for k, _ in made], "v": [v.tolist() for _, v in made]})
 
-    rows = some.dropDuplicates(["h"]).mapInPandas(run, "votes string, k array<int>, v array<float>").limit(2 * sample).collect()
+    rows = some.dropDuplicates(["h"]).orderBy("h").limit(sample).mapInPandas(run, "votes string, k array<int>, v array<float>").collect()
     return fitted([(np.asarray(r["k"], int), np.asarray(r["v"])) for r in rows], np.asarray([posterior[r["votes"]] for r in rows], np.float32))
 
 

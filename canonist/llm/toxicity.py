@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 #: Labelled rows of either label, at most, that anything is learned from.
 SAMPLE = 4_000
@@ -154,7 +154,7 @@ def learned(documents: DataFrame, labels: DataFrame, usable: Callable[[Column],
     edges = {k: min(2**63 - 1, int(2**64 * min(1.0, sample / n)) - 2**63) for k, n in counts.items()}
     kept = told.filter(F.col("toxic").isin([k for k, n in counts.items() if n <= sample]) | F.when(F.col("toxic") == 1, h < edges[1]).otherwise(h < edges[0]))
     texts = documents.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(kept.limit(3 * sample)), "doc_id")
-    texts = stored(texts.select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("calibrates")), "labelled")
+    texts = Scratch(documents.sparkSession).stored(texts.select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("calibrates")), "labelled")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,8 +162,12 @@ def learned(documents: DataFrame, labels: DataFrame, usable: Callable[[Column],
             sizes = [len(x) for x in of]
             yield pd.DataFrame({"unit": [u for x in of for u in x], "toxic": np.repeat(batch["toxic"].to_numpy(), sizes)})
 
-    n1, n0 = (float(texts.filter(F.col("toxic") == k).count()) for k in (1, 0))
-    per = texts.select("text", "toxic").mapInPandas(split, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    # what calibrates is kept out of the lexicon too; with too few rows for that, everything learns
+    fits = {(r["toxic"], r["calibrates"]): r["count"] for r in texts.groupBy("toxic", "calibrates").count().collect()}
+    apart = all(fits.get((k, c)) for k in (0, 1) for c in (False, True))
+    texts = texts.withColumn("calibrates", F.col("calibrates") & F.lit(apart))
+    n1, n0 = (float(fits.get((k, False), 0) + (0 if apart else fits.get((k, True), 0))) for k in (1, 0))
+    per = texts.filter("not calibrates").select("text", "toxic").mapInPandas(split, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 1.5 * n0 / max(1.0, n1)) / (n0 + 1))
     lexicon = dict(per.filter("a >= 3").withColumn("odds", odds).filter("odds >= 1.5").orderBy(F.desc("odds"), "unit").limit(LEXICON).select("unit", "odds").collect())
 
