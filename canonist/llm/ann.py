@@ -2,14 +2,16 @@
 
 The trees are fitted on a bounded sample; every row is indexed. A query enters every tree at once: the queue always opens
 the node whose splits the query misses by least, whichever tree it stands in, until it has reached `visits` leaves. What
-these leaves hold is ranked by the exact cosine in double precision. Members and queries of a leaf are dealt to blocks of
-a bounded size, so a leaf that holds a third of all rows is many groups. Unless given, `visits` is the least number that finds `recall` of the true
-neighbours of a bounded number of trial queries, which are held against all rows.
+these leaves hold is ranked by the exact cosine in double precision. The first fifth of the leaves gives each query a bound,
+and from the others only candidates that reach it are passed on. Members and queries of a leaf are dealt to blocks of a bounded
+size, so a leaf that holds a third of all rows is many groups. Unless given, `visits` is the least number that finds
+`recall` of the true neighbours of a bounded number of trial queries, which are held against all rows.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without
-vec_id, nor vectors of another length than the commonest (the shorter one, if as common). Of equal vectors only the k + 1
-smallest ids are indexed: no other could be among k nearest. With fewer than k candidates all are returned. Rows repeated
-under one vec_id are one candidate.
+vec_id, nor vectors of another length than the commonest (the shorter one, if as common). Equal query vectors are searched
+once; of equal vectors only the k + 1 smallest ids are indexed: no other could be among k nearest. With fewer than k
+candidates all are returned; without usable vectors or queries there are no rows. Rows repeated under one vec_id are one
+candidate, the nearest of them. Only vec_id and embedding are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -18,27 +20,25 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 SAMPLE = 20_000
-TREES = 12
-LEAF = 96
+TREES = 8
+LEAF = 256
 RECALL = 0.96
 TRIALS = 96
 BLOCK = 2048
+FIRST = 0.2  # share of a query's leaves that give its bound
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>) of the rows that take part."""
-    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+def usable(vectors: DataFrame, kind: str) -> DataFrame:
+    """vec_id, v of the rows that may take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v")).filter("vec_id is not null and size(v) > 0")
-    rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    size = rows.groupBy(F.size("v").alias("d")).count().agg(F.max_by("d", F.struct("count", -F.col("d")))).first()[0]
-    return rows.filter(F.size("v") == (size or 0))
+    return rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
 class Forest:
@@ -74,112 +74,130 @@ class Forest:
         """(tree, leaf) pairs for every row of x, nearest first, from one queue over all trees."""
         inner = 2**self.depth - 1
         margins = np.einsum("nd,tid->nti", x.astype(np.float32), self.dirs) - self.cuts if inner else np.zeros((len(x), len(self.dirs), 0))
-        for of in margins:
+        for of in margins.tolist():
             queue, got = [(0.0, t, 0) for t in range(len(of))], []
             while queue and len(got) < visits:
                 miss, t, i = heapq.heappop(queue)
+                own = of[t]
                 while i < inner:
-                    m = float(of[t, i])
+                    m = own[i]
                     heapq.heappush(queue, (max(miss, abs(m)), t, 2 * i + 1 + (m <= 0)))
                     i = 2 * i + 1 + (m > 0)
                 got.append((t, i - inner))
             yield got
 
 
-def unit(vectors) -> np.ndarray:
-    x = np.asarray(list(vectors), np.float64)
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists as rows of doubles."""
+    held = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), -1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cosines(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return np.einsum("qd,md->qm", q, m) / (np.sqrt(np.einsum("qd,qd->q", q, q))[:, None] * np.sqrt(np.einsum("md,md->m", m, m)))
+def best_of(q: np.ndarray, m: np.ndarray, ids: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of m, cosine) of the k nearest of m for each q that reach its bound; ties to the smaller id. The products
+    of whole blocks only choose; the cosines are made pair by pair, alike wherever a pair meets."""
+    scores = unit(q) @ unit(m).T
+    least = np.partition(scores, -k, axis=1)[:, -k] if len(m) > k else np.full(len(q), -2.0)
+    at, of = np.nonzero(scores >= np.maximum(least, bound)[:, None] - 1e-12)
+    exact = np.einsum("pd,pd->p", q[at], m[of]) / (np.sqrt(np.einsum("qd,qd->q", q, q))[at] * np.sqrt(np.einsum("md,md->m", m, m))[of])
+    order = np.lexsort((ids[of], -exact, at))
+    at, of, exact = at[order], of[order], exact[order]
+    nth = np.arange(len(at)) - np.searchsorted(at, at)
+    return at[nth < k], of[nth < k], exact[nth < k]
 
 
 def enough(forest: Forest, rows: DataFrame, trial: np.ndarray, k: int, recall: float) -> int:
     """How many leaves to visit so that this share of the trial vectors' k nearest rows (the vector itself aside) is met."""
     kind = dict(rows.dtypes)["v"]
 
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                v = np.asarray(list(batch["v"]), np.float64)
-                scores = cosines(trial, v)
-                scores[scores > 1 - 1e-9] = -1
-                best = np.argsort(-scores, axis=1)[:, :k]
-                at = np.repeat(np.arange(len(trial)), best.shape[1])
-                yield pd.DataFrame({"trial": at, "score": scores[at, best.ravel()], "v": [batch["v"].iloc[i] for i in best.ravel()]})
-
-    found = rows.select("v").mapInPandas(rank, f"trial int, score double, v {kind}")
+            if batch.num_rows:
+                v = matrix(batch.column("v"))
+                own = (unit(trial) @ unit(v).T > 1 - 1e-9).sum(axis=1).max()
+                at, of, scores = best_of(trial, v, np.arange(len(v)), np.full(len(trial), -2.0), k + int(own))
+                keep = scores <= 1 - 1e-9
+                yield pa.RecordBatch.from_arrays([pa.array(at[keep], pa.int32()), pa.array(scores[keep]), batch.column("v").take(pa.array(of[keep]))], ["trial", "score", "v"])
+
+    found = rows.select("v").mapInArrow(rank, f"trial int, score double, v {kind}")
     first = Window.partitionBy("trial").orderBy(F.desc("score"))
     near = found.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k).select("trial", "v").collect()
     if not near:
         return 1
     order = [{place: nth for nth, place in enumerate(places)} for places in forest.visit(unit(trial), 2**62)]
-    leaves = forest.leaves(unit([r["v"] for r in near]))
+    leaves = forest.leaves(unit(np.asarray([r["v"] for r in near], np.float64)))
     met = sorted(min(order[r["trial"]][t, int(i)] for t, i in enumerate(own)) for r, own in zip(near, leaves, strict=True))
     return 1 + met[min(len(met) - 1, int(np.ceil(recall * len(met))) - 1)]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, trials: int = TRIALS, visits: int | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (vec_id, embedding) the k nearest of vectors under other ids."""
-    rows = stored(usable(vectors), "vectors")
-    asked = usable(queries).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates()
-    spark, n = rows.sparkSession, rows.count()
+    spark = vectors.sparkSession
+    scratch, kind = Scratch(spark), "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = scratch.stored(usable(vectors, kind), "vectors")
+    told = rows.groupBy(F.size("v").alias("d")).count().agg(F.max_by("d", F.struct("count", -F.col("d"))).alias("d"), F.sum("count").alias("n")).first()
+    d, n = told["d"] or 0, told["n"] or 0
+    rows = rows.filter(F.size("v") == d)
+    ids = scratch.stored(usable(queries, kind).filter(F.size("v") == d).groupBy("v").agg(F.min("vec_id").alias("query"), F.collect_set("vec_id").alias("ids")), "queries")
+    asked = ids.select("query", "v").repartition(max(1, min(4096, ids.count() // 64)), "query")
     some = np.asarray([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()], np.float64)
     depth = max(0, int(np.ceil(np.log2(max(1, min(n / leaf, len(some) / 8))))))
     model = Forest(unit(some) if n else np.zeros((0, 1)), trees, depth)
     visits = visits or (enough(model, rows, some[:trials], k, recall) if depth else trees)
-    forest, kind = spark.sparkContext.broadcast(model), dict(rows.dtypes)["v"]
+    forest = spark.sparkContext.broadcast(model)
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                at = forest.value.leaves(unit(batch["v"]))
-                again = np.repeat(np.arange(len(batch)), at.shape[1])
-                out = batch.iloc[again].reset_index(drop=True)
-                out["place"] = (np.arange(at.shape[1]) * 2**40 + at).ravel()
-                yield out
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if batch.num_rows:
+                at = forest.value.leaves(unit(matrix(batch.column("v"))))
+                again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), at.shape[1])))
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array((np.arange(at.shape[1]) * 2**40 + at).ravel())], ["vec_id", "v", "place"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                found = list(forest.value.visit(unit(part["v"]), visits))
-                out = part.iloc[np.repeat(np.arange(len(part)), [len(f) for f in found])].reset_index(drop=True)
-                out["place"] = [t * 2**40 + i for f in found for t, i in f]
-                yield out
+            for part in (batch.slice(at, 64) for at in range(0, batch.num_rows, 64)):
+                found = list(forest.value.visit(unit(matrix(part.column("v"))), visits))
+                again = part.take(pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found])))
+                place, nth = [t * 2**40 + i for f in found for t, i in f], [n for f in found for n in range(len(f))]
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(place, pa.int64()), pa.array(nth, pa.int32())], ["query", "v", "place", "nth"])
 
     few = Window.partitionBy("v").orderBy("vec_id")
-    members = rows.dropDuplicates().withColumn("nth", F.row_number().over(few)).filter(F.col("nth") <= k + 1).select("vec_id", "v").mapInPandas(index, f"vec_id long, v {kind}, place long")
-    visited = stored(asked.mapInPandas(search, f"query_id long, v {kind}, place long"), "ann-visits")
-    members = stored(members, "ann-members")
-
-    def blocks(of: DataFrame, name: str) -> DataFrame:
-        return of.groupBy("place").agg(F.ceil(F.count("place") / block).cast("int").alias(name))
-
-    grid = blocks(members, "mb").join(blocks(visited, "qb"), "place")
-    left = members.join(grid, "place").withColumn("m", F.pmod(F.xxhash64("vec_id"), "mb")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("place", "m", F.col("q").cast("long").alias("q"), "vec_id", "v")
-    right = visited.join(grid, "place").withColumn("q", F.pmod(F.xxhash64("query_id"), "qb")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select("place", F.col("m").cast("long").alias("m"), "q", "query_id", "v")
-
-    def rank(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(held) and len(queries):
-            ids, m = held["vec_id"].to_numpy(), np.asarray(list(held["v"]), np.float64)
-            order = np.argsort(ids)
-            ids, m = ids[order], m[order]
-            qs = queries["query_id"].to_numpy()
-            for at in range(0, len(qs), 256):
-                scores = cosines(np.asarray(list(queries["v"].iloc[at : at + 256]), np.float64), m)
-                for q, s in zip(qs[at : at + 256], scores, strict=True):
-                    s[ids == q] = -9
-                    least = np.partition(s, -k)[-k] if len(s) > k else -5
-                    good = np.flatnonzero((s >= least) & (s > -5))
-                    good = good[np.argsort(-s[good], kind="stable")][:k]
-                    out["query_id"] += [q] * len(good)
-                    out["vec_id"] += ids[good].tolist()
-                    out["score"] += s[good].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    near = left.groupBy("place", "m", "q").cogroup(right.groupBy("place", "m", "q")).applyInPandas(rank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    members = rows.dropDuplicates().withColumn("nth", F.row_number().over(few)).filter(F.col("nth") <= k + 1).select("vec_id", "v").mapInArrow(index, f"vec_id long, v {kind}, place long")
+    members = scratch.stored(members, "members")
+    visited = scratch.stored(asked.mapInArrow(search, f"query long, v {kind}, place long, nth int"), "visits")
+
+    def rank(held: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if held.num_rows and queries.num_rows:
+            ids, m = held["vec_id"].to_numpy(), matrix(held["v"])
+            at, of, scores = best_of(matrix(queries["v"]), m, ids, queries["bound"].to_numpy(), k + 1)
+            out = [queries["query"].to_numpy()[at], ids[of], scores]
+        return pa.table(out, ["query", "vec_id", "score"])
+
+    def ranked(asked: DataFrame) -> DataFrame:
+        """query, vec_id, score of what the leaves of asked (query, v, place, bound) hold, k + 1 a block at most."""
+        held = members.groupBy("place").agg(F.ceil(F.count("place") / block).cast("int").alias("mb"))
+        grid = held.join(asked.groupBy("place").agg(F.ceil(F.count("place") / block).cast("int").alias("qb")), "place")
+        left = members.join(grid, "place").withColumn("m", F.pmod(F.xxhash64("vec_id"), "mb")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("place", "m", F.col("q").cast("long").alias("q"), "vec_id", "v")
+        right = asked.join(grid, "place").withColumn("q", F.pmod(F.xxhash64("query"), "qb")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select("place", F.col("m").cast("long").alias("m"), "q", "query", "v", "bound")
+        return left.groupBy("place", "m", "q").cogroup(right.groupBy("place", "m", "q")).applyInArrow(rank, "query long, vec_id long, score double")
+
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+
+    def top(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
+
+    first = F.col("nth") < max(trees, int(FIRST * visits))
+    near = scratch.stored(top(ranked(visited.filter(first).withColumn("bound", F.lit(-2.0)))).drop("nth"), "near")
+    bounds = near.groupBy("query").agg(F.when(F.count("score") > k, F.min("score")).alias("bound"))
+    rest = visited.filter(~first).join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
+    near = scratch.stored(top(near.unionByName(ranked(rest))).drop("nth"), "nearest")
+    scratch.drop("vectors", "members", "visits", "near")
+    each = ids.select("query", F.explode("ids").alias("query_id")).join(near, "query").filter("vec_id != query_id")
+    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return each.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
