@@ -3,30 +3,28 @@
 Under each random permutation a document keeps both the least and the greatest hash of its word shingles, so half as many
 permutations give a signature of the same length, whose share of equal values is an unbiased estimate of the Jaccard
 similarity with less variance. Bands of the signature are bucket keys. Equal shingle sets are one class from the start.
-Within a bucket each class is held against the bucket's least one (a star, never all pairs); what stars leave in different
-components is then compared pair by pair, but for pairs that cannot be similar by their sizes, by the triangle inequality of the Jaccard
-distance to the bucket's least class, or by their sketches: one bit of each minimum and maximum under 1024 more permutations,
-made for these classes alone. A pair at exactly the least similarity is lost by its sketches with a chance below 1 in 10,000.
-Every link is confirmed on the full sets.
+Within a bucket each class is held against the bucket's least one (a star, never all pairs). Buckets that then still hold
+several components are dealt to blocks of bounded size; of each two blocks the full sets are compared as one product of
+matrices, and a link goes out for two components that meet there, never one for each pair. Every link is one of full sets.
 
 Defined cases: a null or wordless text has no shingles and is linked with nothing, not even with its like; equal texts are
-linked; equal rows are each a row of the result; a null doc_id never is a component's name unless all its members' are null.
+linked; equal rows are each a row of the result; a null doc_id never is a component's name unless all its members' are null;
+very long texts are whole sets like all others; an empty table gives no rows. Columns of documents keep their names, but one
+that is named like a result (__n, __component, __keep) is replaced by it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, numbered, restored
 from .components import components
 
 WIDTH = 3
@@ -35,8 +33,7 @@ BANDS, ROWS = 28, 6
 SPACE = " \t\n\v\f\r"
 UPPER = {i: i + 32 for i in range(65, 91)}
 WORDS_KEPT = 500_000
-SKETCH, COARSE = 32, 8  # longs of a sketch; those looked at first
-MISS = 5e-5  # chance to lose a pair at the least similarity, for each of the two looks
+MEMBERS, SHINGLES = 512, 1 << 19  # of a block of a bucket, about
 _known: dict[str, int] = {}
 
 
@@ -90,52 +87,70 @@ def _band_keys(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int, r
     return key.view(np.int64)
 
 
-def signed(documents: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """All columns, and __n (shingles), __set (digest of the set), __bands (a bucket key for each band)."""
+def signed(held: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """uid, n (shingles), set (digest of the set), bands (a bucket key for each) of rows __uid, text."""
     rng = np.random.default_rng(7)
     a, b = rng.integers(0, 2**63, (2, bands * rows // 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.pop("text")]
-            batch["__n"] = [len(s) for s in sets]
-            batch["__set"] = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            batch["__bands"] = [_band_keys(s, a, b, bands, rows) if len(s) else None for s in sets]
-            yield batch
+            sets = [shingle_set(t, width) for t in batch["text"]]
+            told = {"uid": batch["uid"], "n": [len(s) for s in sets], "set": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]}
+            yield pd.DataFrame(told | {"bands": [_band_keys(s, a, b, bands, rows) if len(s) else None for s in sets]})
 
-    return documents.select("__uid", F.col("text").cast("string").alias("text")).mapInPandas(run, "__uid long, __n long, __set binary, __bands array<long>")
+    return held.select(F.col("__uid").alias("uid"), "text").mapInPandas(run, "uid long, n long, set binary, bands array<long>")
 
 
-def sketch_of(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One bit of the minimum and one of the maximum under each permutation, packed into longs."""
-    low, high = np.full(len(a), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(a), np.uint64)
-    for at in range(0, len(shingles), 1024):
-        hashed = shingles[at : at + 1024] * a[:, None] + b[:, None]
-        low, high = np.minimum(low, hashed.min(axis=1)), np.maximum(high, hashed.max(axis=1))
-    bits = (_mixed(np.concatenate([low, high])) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits.reshape(2, len(a)).T.ravel()).view(np.int64)
-
-
-def sketches(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """node, sketch for every row of texts (node, text)."""
-    rng = np.random.default_rng(11)
-    a, b = rng.integers(0, 2**63, (2, SKETCH * 32), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def shingle_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """node, shingles of texts (node, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "sketch": [sketch_of(shingle_set(t, width), a, b) for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(t, width).view(np.int64) for t in batch["text"]]})
+
+    return texts.select("node", "text").mapInPandas(run, "node long, shingles array<long>")
+
+
+def linked(sets: list[np.ndarray], of: np.ndarray, part: int, whole: int, columns: int = 4096) -> list[tuple[int, int]]:
+    """Two positions for each two components (of) that some sets link: part / whole of the union, at least, is shared."""
+    sizes = np.asarray([len(s) for s in sets])
+    values, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = times[code] > 1
+    row, code = row[shared], np.cumsum(times > 1)[code[shared]] - 1
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    edges = np.searchsorted(code, np.arange(0, code[-1] + 1 if len(code) else 0, columns)).tolist() + [len(code)]
+    for at, to in zip(edges, edges[1:], strict=False):
+        held = np.zeros((len(sets), columns), np.float32)
+        held[row[at:to], code[at:to] % columns] = 1
+        both += held @ held.T
+    good = np.triu(both * whole >= (sizes[:, None] + sizes - both) * part, 1) & (of[:, None] != of)
+    x, y = np.nonzero(good)
+    if not len(x):
+        return []
+    _, first = np.unique(np.sort(np.stack([of[x], of[y]]), axis=0), axis=1, return_index=True)
+    return list(zip(x[first].tolist(), y[first].tolist(), strict=True))
+
 
-    return texts.select("node", "text").mapInPandas(run, "node long, sketch array<long>")
+def block_links(open_: DataFrame, sets: DataFrame, part: int, whole: int, members: int = MEMBERS, shingles: int = SHINGLES) -> DataFrame:
+    """u, v: links between the components that meet in a bucket. open_: bucket, node, n, component; sets: node, shingles."""
+    blocks = open_.groupBy("bucket").agg(F.greatest(F.ceil(F.count("node") / members), F.ceil(F.sum("n") / shingles)).cast("int").alias("blocks"))
+    dealt = open_.join(blocks, "bucket").withColumn("b", F.pmod(F.xxhash64("node"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    dealt = dealt.select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "component").join(sets, "node")
 
+    def run(group: pa.Table) -> pa.Table:
+        nodes, of = group["node"].to_numpy(), np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        pairs = []
+        if of.max() > 0:
+            held = group["shingles"].combine_chunks()
+            values, ends = held.flatten().to_numpy(), held.offsets.to_numpy() - held.offsets[0].as_py()
+            pairs = linked(np.split(values, ends[1:-1]), of, part, whole)
+        u, v = (nodes[[p[k] for p in pairs]] if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-def most_differing(bits: int, similarity: float, miss: float = MISS) -> int:
-    """Least k such that sketches at this similarity differ in more than k bits with a chance below miss: equal values have
-    equal bits and others do by half, so a bit differs with chance (1 - similarity) / 2."""
-    p, chance, k = (1 - similarity) / 2, 0.0, -1
-    while 1 - chance > miss and k < bits:
-        k += 1
-        chance += math.exp(math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log1p(-p)) if p else 1.0
-    return k
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -159,55 +174,44 @@ def similarities(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> Data
     return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInPandas(run, "u long, v long, both long, n long")
 
 
-def differing(longs: int) -> Column:
-    """How many bits of the first longs of the sketches of x and y differ."""
-    return reduce(add, [F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(longs)])
-
-
 def near_duplicates(documents: DataFrame, width: int = WIDTH, link: tuple[int, int] = LINK, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """All rows and columns of documents, and __n, __component (least doc_id reachable), __keep (the one row that stays)."""
+    """All rows and columns of documents, and __n (shingles), __component (least doc_id reachable), __keep (the one row that stays)."""
     part, whole = link
-    held = stored(documents.withColumn("__uid", F.monotonically_increasing_id()), "dedup-documents")
-    marks = stored(signed(held, width, bands, rows), "dedup-signatures")
-    classes = marks.filter("__n > 0").groupBy("__set").agg(F.min("__uid").alias("node"), F.min("__n").alias("n"))
-    firsts = marks.filter("__n > 0").select(F.col("__uid").alias("node"), F.col("__n").alias("n"), "__bands").join(classes.select("node"), "node")
-    bands_of = stored(firsts.select("node", "n", F.posexplode("__bands").alias("band", "bucket")), "dedup-bands")
-    centres = bands_of.groupBy("bucket").agg(F.count("node").alias("held"), F.min_by(F.struct("node", "n"), "node").alias("c")).filter("held > 1").select("bucket", F.col("c.node").alias("u"), F.col("c.n").alias("un"))
-    sizes = lambda x, y: (F.least(x, y) * whole >= F.greatest(x, y) * part)
-    placed = bands_of.join(centres, "bucket")
-    placed = stored(placed.select("band", "bucket", "node", "n", "u", "un"), "dedup-buckets")
+    scratch = Scratch(documents.sparkSession)
+    stored, drop = scratch.stored, scratch.drop
+    held = stored(numbered(documents), "documents")
+    flat = held.select("__uid", F.col("__row.doc_id").alias("doc"), F.col("__row.text").cast("string").alias("text"))
+    marks = stored(signed(flat, width, bands, rows), "signatures")
+    classes = stored(marks.filter("n > 0").groupBy("set").agg(F.min("uid").alias("node"), F.min("n").alias("n")), "classes")
+    firsts = marks.filter("n > 0").select(F.col("uid").alias("node"), "n", "bands").join(classes.select("node"), "node")
+    bands_of = stored(firsts.select("node", "n", F.explode("bands").alias("bucket")), "bands")
+    centres = bands_of.groupBy("bucket").agg(F.count("node").alias("held"), F.min("node").alias("u")).filter("held > 1").select("bucket", "u")
+    placed = stored(bands_of.join(stored(centres, "centres"), "bucket").select("bucket", "node", "n", "u"), "buckets")
     stars = placed.filter("node != u").select("u", F.col("node").alias("v")).distinct()
-    texts = held.select(F.col("__uid").alias("node"), F.col("text").cast("string").alias("text")).join(placed.select("node").distinct(), "node", "left_semi")
-    texts = stored(texts, "dedup-texts")
-    tested = stored(similarities(stars, texts, width), "dedup-stars")
-    linked = F.col("both") * whole >= F.col("n") * part
-    edges = tested.filter(linked).select("u", "v")
-    found = stored(components(edges), "dedup-components")
+    texts = flat.select(F.col("__uid").alias("node"), "text").join(placed.select("node").distinct(), "node", "left_semi")
+    texts = stored(texts, "texts")
+    tested = similarities(stars, texts, width).filter(F.col("both") * whole >= F.col("n") * part)
+    edges = stored(tested.select("u", "v"), "stars")
+    drop("bands", "centres")
+    found = components(edges)
     # what is left: buckets that still hold several components
-    far = tested.select("u", F.col("v").alias("node"), (1 - F.col("both") / F.col("n")).alias("d"))
-    named = placed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(far, ["u", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = named.join(several, "bucket").select("band", "bucket", "node", "n", "component", "d")
-    open_ = stored(open_, "dedup-open")
-    left_over = open_.select("node").distinct()
-    facts = marks.select(F.col("__uid").alias("node"), F.col("__bands").alias("bands")).join(left_over, "node", "left_semi").join(sketches(texts.join(left_over, "node", "left_semi"), width), "node")
-    open_ = open_.join(stored(facts, "dedup-sketches"), "node")
-    x, y = open_.alias("x"), open_.alias("y")
-    slack = 1 - part / whole + 1e-9
-    # a pair is made in the first bucket that it shares
-    once = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
-    alike = [differing(n) <= most_differing(64 * n, part / whole) for n in (COARSE, SKETCH)]
-    more = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.d") > 0) & (F.col("y.d") > 0) & (F.abs(F.col("x.d") - F.col("y.d")) <= slack) & sizes(F.col("x.n"), F.col("y.n")) & alike[0] & alike[1] & once)
-        .select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-        .distinct()
-    )
-    late = stored(similarities(more, texts, width).filter(linked).select("u", "v"), "dedup-late")
+    named = placed.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    named = stored(named, "named")
+    several = stored(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket"), "several")
+    open_ = stored(named.join(several, "bucket"), "open")
+    sets = stored(shingle_sets(texts.join(open_.select("node").distinct(), "node", "left_semi"), width), "sets")
+    drop("named", "several", "buckets", "texts")
+    late = stored(block_links(open_, sets, part, whole), "late")
+    drop("open", "sets")
     if late.take(1):
-        found = stored(components(edges.unionByName(late)), "dedup-components")
-    group = classes.join(found, "node", "left").select("__set", F.coalesce("component", "node").alias("group"))
-    ids = held.select("__uid", F.col("doc_id").alias("__doc"))
-    narrow = stored(marks.select("__uid", "__n", "__set").join(ids, "__uid").join(group, "__set", "left").select("__uid", "__n", "__doc", F.when(F.col("__n") > 0, F.col("group")).otherwise(F.col("__uid")).alias("__group")), "dedup-groups")
-    best = narrow.groupBy("__group").agg(F.min("__doc").alias("__component"), F.min(F.struct(F.col("__doc").isNull(), "__doc", "__uid")).alias("__first"))
-    out = narrow.select("__uid", "__n", "__group").join(best, "__group").select("__uid", "__n", "__component", (F.col("__first.__uid") == F.col("__uid")).alias("__keep"))
-    return held.join(out, "__uid").drop("__uid")
+        found = components(edges.unionByName(late))
+    # a class tells its rows their component: the groups are made of classes, a row for each different set
+    docs = marks.filter("n > 0").select("uid", "set").join(flat.select(F.col("__uid").alias("uid"), "doc"), "uid")
+    first = docs.groupBy("set").agg(F.min("doc").alias("doc"), F.min(F.struct(F.col("doc").isNull(), "doc", "uid")).alias("first"))
+    of_class = stored(first.join(classes, "set").join(found, "node", "left").select("set", "doc", "first", F.coalesce("component", "node").alias("group")), "groups")
+    best = of_class.groupBy("group").agg(F.min("doc").alias("component"), F.min("first").alias("first"))
+    told = stored(of_class.select("set", "group").join(stored(best, "best"), "group").select("set", "component", F.col("first.uid").alias("kept")), "told")
+    out = stored(marks.select("uid", "n", "set").join(told, "set", "left").select(F.col("uid").alias("__uid"), "n", "component", F.coalesce(F.col("kept") == F.col("uid"), F.lit(True)).alias("keep")), "result")
+    drop("signatures", "classes", "stars", "late", "groups", "best", "told")
+    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__row.doc_id"))
+    return held.join(out, "__uid").select(*restored(documents.columns, {"__n": F.col("n"), "__component": own, "__keep": F.col("keep")}))
