@@ -1,13 +1,14 @@
 """Benchmark decontamination from a distributed positional inverted index, DataFrame functions only.
 
-Each benchmark text is cut into windows of `width` words (one window if it has fewer). The terms of all windows are counted
-over all documents; of each window the rarest two positions are its anchors. The index stores the postings of all anchor
-terms over all documents: term, document, position, and the words around. A window's candidates are the starts on which
-the lists of its anchors agree once each is shifted by the term's offset in the window; a candidate is then confirmed on
-all words of the window. `proximity` intersects the same lists for terms that stand close together in any order.
+Every text is cut into its words once. The index holds the postings of the benchmark's terms: term, document, position, and the
+words around, each document's in one row where the document was read. Each benchmark text is cut into windows of `width` words
+(one window if it has fewer); its terms are counted over all documents, and a window is looked up from its rarest term on: each
+posting of it, shifted by the term's offset in the window, is a start, which stands if every other term of the window is at its own
+offset from there. `proximity` intersects the lists for terms that stand close together in any order.
 
 Defined cases: a null or wordless text has no words, windows or hits; equal documents are each a row of the result; equal
-windows are looked up once; an item without item_id is no item; an empty benchmark hits nothing.
+windows are looked up once; an item without item_id is no item; an empty benchmark hits nothing; an empty table gives no rows; very
+long texts are whole. Only doc_id, text and item_id are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -15,15 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 WIDTH = 10
-ANCHORS = 2
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows and terms that may be broadcast: some 30 MB at most. Beyond that the joins shuffle.
+#: Windows that may be broadcast: some 30 MB at most. Beyond that the join shuffles.
 SMALL = 100_000
-#: Terms that may stand in the plan itself, as a set that filters a document's words before any row is made of them.
-SET = 5_000
+#: Longs of the bit set that passes words on to the index: 32 KB at every size. It lets a few words more through, none less.
+LONGS = 4096
 
 
 def words(text: Column) -> Column:
@@ -32,8 +32,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
-def _held(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SMALL else df
+def forward(documents: DataFrame) -> DataFrame:
+    """uid, doc_id, text_hash, ws (the words): to be stored before it is read twice."""
+    return documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("ws"))
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -43,79 +44,85 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("ws"), i, width))).alias("w")).distinct()
 
 
-def frequencies(documents: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """term, n: how often each of these n different terms stands in the documents."""
-    laid = documents.select(F.explode(words(F.col("text"))).alias("term"))
-    counts = laid.join(_held(terms, n), "term").groupBy("term").count()
+def frequencies(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n: how often each of these different terms stands in the documents."""
+    counts = tokens.select(F.explode("ws").alias("term")).join(terms, "term").groupBy("term").count()
     return terms.join(counts, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
 
 
-def index(documents: DataFrame, terms: DataFrame, width: int = WIDTH) -> DataFrame:
-    """A row for each document: doc_id, text_hash, n_words, postings (array of term, pos from 0, around: the words from
-    width - 1 before it to width - 1 after it) of these terms, in order of pos."""
-    spread = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("ws"))
-    few = [r[0] for r in terms.limit(SET + 1).collect()]
-    if len(few) <= SET:
-        places = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda x: x["term"].isin(few)) if few else F.expr("cast(array() as array<struct<pos:int,term:string>>)")
-        spread = spread.withColumn("places", places)
-    else:
-        spread = spread.distinct()
-        laid = spread.select("doc_id", "text_hash", F.posexplode("ws").alias("pos", "term")).join(terms.distinct(), "term")
-        laid = laid.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("places"))
-        back = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("ws"))
-        spread = back.join(laid, back.doc_id.eqNullSafe(laid.d) & (back.text_hash == laid.h), "left").withColumn("places", F.coalesce("places", F.expr("cast(array() as array<struct<pos:int,term:string>>)")))
+def maybe_one_of(terms: DataFrame):
+    """A test of a word that is true for all of terms (column term) and for few others: bits of the terms' hashes."""
+    of = lambda term: (F.pmod(F.xxhash64(term), F.lit(LONGS)), F.pmod(F.shiftright(F.xxhash64(term), 40), F.lit(64)))
+    at, bit = of(F.col("term"))
+    held = terms.select(at.alias("at"), bit.alias("bit")).distinct().groupBy("at").agg(F.collect_list("bit").alias("bits")).collect()  # LONGS rows at most
+    longs = [0] * LONGS
+    for row in held:
+        value = sum(1 << b for b in row["bits"])
+        longs[row["at"]] = value - (1 << 64) if value >> 63 else value
+    mask = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<long>")  # a constant once the plan is optimised
+    return lambda term: F.getbit(F.get(mask, of(term)[0].cast("int")), of(term)[1].cast("int")) == 1
+
+
+def index(tokens: DataFrame, terms: DataFrame, width: int = WIDTH) -> DataFrame:
+    """A row for each document: uid, doc_id, text_hash, n_words, postings (array of term, pos from 0, around: the words from
+    width - 1 before it to width - 1 after it), in order of pos; of these terms, and a few others."""
+    asked = maybe_one_of(terms)
+    places = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda x: asked(x["term"]))
     around = lambda x: F.slice(F.col("ws"), F.greatest(F.lit(1), x["pos"] - (width - 2)), x["pos"] + width - F.greatest(F.lit(0), x["pos"] - (width - 1)))
-    return spread.select("doc_id", "text_hash", F.size("ws").cast("long").alias("n_words"), F.transform("places", lambda x: F.struct(x["term"].alias("term"), x["pos"].alias("pos"), around(x).alias("around"))).alias("postings"))
+    return tokens.select("uid", "doc_id", "text_hash", F.size("ws").cast("long").alias("n_words"), F.transform(places, lambda x: F.struct(x["term"].alias("term"), x["pos"].alias("pos"), around(x).alias("around"))).alias("postings"))
 
 
 def inverted(by_document: DataFrame) -> DataFrame:
-    """term, doc_id, text_hash, pos, around: the postings, one row each, equal documents once."""
-    return by_document.select("doc_id", "text_hash", F.explode("postings").alias("p")).select("p.term", "doc_id", "text_hash", "p.pos", "p.around")
+    """term, uid, pos, around: the postings, one row each."""
+    return by_document.select("uid", F.explode("postings").alias("p")).select("p.term", "uid", "p.pos", "p.around")
 
 
-def phrases(postings: DataFrame, anchors: DataFrame, wins: DataFrame, n: int, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash, start, len, items: every occurrence of a window. anchors: win, len, off, term, slot; wins: win, w, items."""
-    listed = postings.join(_held(anchors, n * ANCHORS), "term").withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0")
-    at = F.slice("around", F.col("start") - F.greatest(F.lit(0), F.col("pos") - (width - 1)) + 1, F.col("len"))
-    agreed = listed.withColumn("at", F.when(F.col("slot") == 1, at)).groupBy("win", "len", "doc_id", "text_hash", "start").agg(F.countDistinct("slot").alias("slots"), F.max("at").alias("at"))
-    agreed = agreed.filter(F.col("slots") == F.least(F.lit(ANCHORS), F.col("len")))
-    return agreed.join(_held(wins, n), "win").filter(F.col("at") == F.col("w")).select("doc_id", "text_hash", "start", "len", "items")
+def phrases(postings: DataFrame, anchors: DataFrame, width: int = WIDTH) -> DataFrame:
+    """uid, start, len, items: every occurrence of a window. anchors: term, off (of the window's rarest term), w, items."""
+    listed = postings.join(anchors, "term").withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0")
+    at = F.slice("around", F.col("start") - F.greatest(F.lit(0), F.col("pos") - (width - 1)) + 1, F.size("w"))
+    return listed.filter(at == F.col("w")).select("uid", "start", F.size("w").alias("len"), "items")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, small: int = SMALL) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, items (sorted array of the item_ids as strings): a row for every document."""
+    scratch = Scratch(documents.sparkSession)
+    stored = scratch.stored
     wins = windows(benchmark, width).groupBy("w").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     wins = stored(wins.withColumn("win", F.monotonically_increasing_id()), "windows")
-    n = wins.count()
-    terms = wins.select(F.explode("w").alias("term")).distinct()
-    rarity = stored(frequencies(documents, terms, n * width), "frequencies")
-    places = wins.select("win", F.size("w").alias("len"), F.posexplode("w").alias("off", "term")).join(rarity, "term")
-    own = Window.partitionBy("win")
-    ranked = places.withColumn("least", F.min("n").over(own)).withColumn("slot", F.row_number().over(own.orderBy("n", "off")))
-    # a window with a word that no document holds occurs nowhere
-    anchors = stored(ranked.filter(F.col("least") > 0).filter(F.col("slot") <= ANCHORS).select("win", "len", "off", "term", "slot"), "anchors")
-    by_document = stored(index(documents, anchors.select("term").distinct(), width), "index")
-    found = stored(phrases(inverted(by_document), anchors, wins, n, width), "phrases")
+    tokens = stored(forward(documents), "tokens")
+    rarity = stored(frequencies(tokens, wins.select(F.explode("w").alias("term")).distinct()), "frequencies")
+    places = wins.select("win", F.posexplode("w").alias("off", "term")).join(rarity, "term")
+    rarest = places.groupBy("win").agg(F.min(F.struct("n", "off", "term")).alias("r")).filter("r.n > 0")  # else the window occurs nowhere
+    anchors = stored(rarest.select("win", "r.term", "r.off").join(wins, "win").drop("win"), "anchors")
+    by_document = stored(index(tokens, anchors.select("term").distinct(), width), "index")
+    scratch.drop("tokens", "windows", "frequencies")
+    found = stored(phrases(inverted(by_document), F.broadcast(anchors) if anchors.count() <= small else anchors, width), "phrases")
     end = F.col("start") + F.col("len")
-    before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("uid").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))))
-    n_hit = found.select("doc_id", "text_hash", "start", "len").distinct().withColumn("fresh", fresh).groupBy("doc_id", "text_hash").agg(F.sum("fresh").alias("n_hit"))
-    items = found.select("doc_id", "text_hash", F.explode("items").alias("item")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hits = n_hit.alias("a").join(items.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))).select(F.col("a.doc_id").alias("d"), F.col("a.text_hash").alias("h"), "n_hit", "items")
-    docs = by_document.select("doc_id", "text_hash", "n_words")
-    return docs.join(hits, docs.doc_id.eqNullSafe(hits.d) & (docs.text_hash == hits.h), "left").select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    n_hit = found.select("uid", "start", "len").distinct().withColumn("fresh", fresh).groupBy("uid").agg(F.sum("fresh").alias("n_hit"))
+    items = found.select("uid", F.explode("items").alias("item")).groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = by_document.select("uid", "doc_id", "text_hash", "n_words").join(n_hit.join(items, "uid"), "uid", "left")
+    out = stored(out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")), "result")
+    scratch.drop("index", "anchors", "phrases")
+    return out
 
 
 def proximity(documents: DataFrame, queries: DataFrame, within: int = 20) -> DataFrame:
     """query_id, doc_id, text_hash, pos: where all words of a query (query_id, text) stand within `within` words of the
     posting at pos of its rarest word, in any order."""
+    scratch = Scratch(documents.sparkSession)
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    terms = stored(asked.select("term").distinct(), "terms")
-    rarity = frequencies(documents, terms, terms.count())
+    terms = scratch.stored(asked.select("term").distinct(), "terms")
+    tokens = scratch.stored(forward(documents), "tokens")
     own = Window.partitionBy("query_id")
-    ranked = stored(asked.join(rarity, "term").withColumn("slot", F.row_number().over(own.orderBy("n", "term"))).withColumn("of", F.count("term").over(own)), "terms")
-    lists = inverted(index(documents, terms, 1)).drop("around").join(ranked.select("query_id", "term", "slot", "of"), "term").distinct()
+    ranked = asked.join(frequencies(tokens, terms), "term").withColumn("slot", F.row_number().over(own.orderBy("n", "term"))).withColumn("of", F.count("term").over(own))
+    ranked = scratch.stored(ranked, "ranked")
+    by_document = scratch.stored(index(tokens, terms, 1), "index")
+    scratch.drop("tokens")
+    lists = inverted(by_document).drop("around").join(ranked.select("query_id", "term", "slot", "of"), "term")
     first, other = lists.filter("slot = 1").alias("a"), lists.filter("slot > 1").alias("b")
-    near = (F.col("a.query_id") == F.col("b.query_id")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")) & (F.abs(F.col("a.pos") - F.col("b.pos")) < within)
-    met = first.join(other, near, "left").groupBy("a.query_id", "a.doc_id", "a.text_hash", "a.pos", "a.of").agg(F.countDistinct("b.slot").alias("met"))
-    return met.filter("met = of - 1").select("query_id", "doc_id", "text_hash", "pos")
+    near = (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.uid") == F.col("b.uid")) & (F.abs(F.col("a.pos") - F.col("b.pos")) < within)
+    met = first.join(other, near, "left").groupBy("a.query_id", "a.uid", "a.pos", "a.of").agg(F.countDistinct("b.slot").alias("met")).filter("met = of - 1")
+    return met.join(by_document.select("uid", "doc_id", "text_hash"), "uid").select("query_id", "doc_id", "text_hash", "pos").distinct()
