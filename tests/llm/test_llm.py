@@ -75,7 +75,7 @@ def test_near_duplicates_against_brute_force(spark, width, part):
         for _ in range(rng.randint(0, 8)):
             w[rng.randrange(len(w))] = f"z{rng.randint(0, 99)}"
         texts.append((i, " ".join(w)))
-    got = {r.doc_id: r for r in dedup.near_duplicates(docs(spark, texts).withColumn("node", F.lit("clash")), width, (part, 100), 36).collect()}
+    got = {r.doc_id: r for r in dedup.near_duplicates(docs(spark, texts).withColumns({c: F.lit("clash") for c in ("node", "__n", "__uid", "component", "keep", "text2")}), width, (part, 100)).collect()}
     assert [got[i]["__component"] for i, _ in texts] == brute_components(texts, width, part)
     assert sum(r["__keep"] for r in got.values()) == len(set(brute_components(texts, width, part)))
     assert dedup.near_duplicates(docs(spark, [])).count() == 0
@@ -116,13 +116,12 @@ def test_chat_round_trip_and_rewritten_history(spark):
     assert (got[1].n_turns, got[1].loss_chars, got[1].turns_sha256) == (2, 0, chat.hexdigest("user\nhi\nassistant\n\n")) and got[None].n_turns == 1
 
 
-@pytest.mark.parametrize("limit", [5000, 0])
-def test_decontamination(spark, limit, monkeypatch):
-    monkeypatch.setattr(decontam, "SET", limit)
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_decontamination(spark, small):
     w = [f"w{i}" for i in range(40)]
     texts = [(1, "x " + " ".join(w[3:15]) + " y"), (2, " ".join(w[3:12])), (3, None), (4, "Solo word"), (5, ""), (1, "x " + " ".join(w[3:15]) + " y"), (99, "SOLO")]
     bench = spark.createDataFrame([(7, " ".join(w)), (10, "solo"), (11, None), (None, "word"), (12, "...")], "item_id long, text string")
-    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.items) for r in decontam.decontaminate(docs(spark, texts), bench).collect())
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.items) for r in decontam.decontaminate(docs(spark, texts), bench, small=small).collect())
     assert got == [("1", 14, 12, ["7"]), ("1", 14, 12, ["7"]), ("2", 9, 0, []), ("3", 0, 0, []), ("4", 2, 1, ["10"]), ("5", 0, 0, []), ("None", 1, 1, ["10"])]
     near = decontam.proximity(docs(spark, texts), spark.createDataFrame([(1, "w5 w9 w3"), (2, "w3 solo")], "query_id long, text string"), 8).collect()
     assert {(r.query_id, r.doc_id) for r in near} == {(1, 1), (1, 2)}
@@ -132,7 +131,7 @@ def test_decontamination(spark, limit, monkeypatch):
 def test_line_dedup(spark):
     passage = "\n".join(f"line {i} of a passage that many documents share here" for i in range(6))
     texts = [(1, "first words\n" + passage), (2, "other words\n\n" + passage + "\nlast own line"), (3, None), (4, ""), (5, "short\nAs."), (6, "As.\nlong"), (7, passage), (7, passage), (99, "tail\n" + passage)]
-    out = lines.dedup_lines(docs(spark, texts).withColumn("cut_", F.lit(1)))
+    out = lines.dedup_lines(docs(spark, texts).withColumn("cut", F.lit(1)).withColumn("__uid", F.lit(2)).withColumn("own", F.lit(3)))
     got = sorted((str(r.doc_id), r.text) for r in out.collect())
     assert got == [("1", texts[0][1]), ("2", "other words\n\nlast own line"), ("3", None), ("4", ""), ("5", "short\nAs."), ("6", "As.\nlong"), ("None", "tail")]
     assert lines.patience([1, 2, 3, 4, 5], [9, 2, 3, 8, 5, 1]) == [(1, 1), (2, 2), (4, 4)]
@@ -237,16 +236,22 @@ def test_secrets_and_ledger(spark):
     assert new.count() == 1 and sorted(len(r.found) for r in again.collect()) == [0, 1, 1, 3, 3]
 
 
-def test_sketches_differ_as_the_similarity_says():
-    rng = np.random.default_rng(3)
-    a, b = rng.integers(0, 2**63, (2, dedup.SKETCH * 32), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    count = lambda x, y: int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
-    bits = 64 * dedup.SKETCH
-    for shared in (85, 500):
-        both, x, y = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (shared * 17, shared, shared * 2))
-        u, v = dedup.sketch_of(np.concatenate([both, x]), a, b), dedup.sketch_of(np.concatenate([both, y]), a, b)
-        assert abs(count(u, v) - bits * 0.075) < 60  # similarity 0.85
-        assert count(u, v) <= dedup.most_differing(bits, 0.85)
-        assert count(u, dedup.sketch_of(y, a, b)) > dedup.most_differing(bits, 0.8)
-    assert dedup.most_differing(bits, 1.0) == 0
-    assert dedup.most_differing(512, 0.85) < dedup.most_differing(512, 0.8) < 512
+@pytest.mark.parametrize("members, shingles", [(512, 1 << 19), (7, 1 << 19), (512, 900)])
+def test_links_of_a_bucket_in_blocks(spark, members, shingles):
+    """Many sets of one bucket, most just short of the threshold: the components are those of all pairs."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**62), 2**62, 100)
+    sets = [np.unique(np.concatenate([base[rng.random(100) > 0.06], rng.integers(-(2**62), 2**62, 5)])) for _ in range(60)]
+    rows = spark.createDataFrame([(9, i, len(x), i // 2 * 2, x.tolist()) for i, x in enumerate(sets)], "bucket long, node long, n long, component long, shingles array<long>")
+    links = [(r.u, r.v) for r in dedup.block_links(rows.drop("shingles"), rows.select("node", "shingles"), 85, 100, members, shingles).collect()]
+    both = lambda x, y: len(np.intersect1d(x, y))
+    true = [(i, j) for i in range(60) for j in range(i) if 100 * both(sets[i], sets[j]) >= 85 * (len(sets[i]) + len(sets[j]) - both(sets[i], sets[j]))]
+
+    def joined(pairs):
+        up = {i: i for i in range(60)}
+        for a, b in [*pairs, *((i, i // 2 * 2) for i in range(60))]:
+            x, y = up[a], up[b]
+            up = {k: min(x, y) if v in (x, y) else v for k, v in up.items()}
+        return up
+
+    assert 0 < len(true) < 1700 and all((max(p), min(p)) in true for p in links) and joined(links) == joined(true)
