@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canonist.llm import decontam, dedup, lines, packing, quality
-from canonist.llm.common import stored, table
+from canonist.llm.common import Scratch, table
 from canonist.llm.queries import tokenizer_path
 
 
@@ -46,7 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.stored(stage(spark, docs, sf_dir), "stage")
+        scratch.drop("stage", but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
