@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import citations as C
+from ..functions import text as T
+
 KEY = ["case_id", "model", "arm", "rep"]
 
 
@@ -101,3 +104,70 @@ def project_cost(runs: DataFrame, prices: DataFrame) -> DataFrame:
     mean = runs.groupBy("arm").agg(F.count("*").alias("calls"), F.avg("tokens_in").alias("i"), F.avg("tokens_out").alias("o"), F.avg("fee").alias("fee"))
     priced = mean.join(F.broadcast(prices)).withColumn("cost", F.col("calls") * (F.col("i") * F.col("price_in") + F.col("o") * F.col("price_out") + F.col("fee")))
     return priced.rollup("target", "arm").agg((F.floor(F.sum("cost") * 100 + 0.5) / 100).alias("cost")).filter("target is not null")
+
+
+# Scores ---------------------------------------------------------------------------------------------------------------
+
+
+def score(runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """runs with checks (map of check to boolean) and correct (all of them; null where nothing was parsed). runs: case_id, parsed (struct of
+    date, version, article, quote, answer, verdict; null if unparseable); cases: case_id, kind, expected (struct of date, version,
+    articles, verdict, claim). A case that expects nothing is answered right."""
+    accepted = cases.select("case_id", F.explode("expected.articles").alias("article"))
+    accepted = C.with_ids(accepted, "article", "id").groupBy("case_id").agg(F.collect_set(F.coalesce("id", "article")).alias("accepted"))
+    told = cases.select("case_id", "kind", "expected").join(accepted, "case_id", "left")
+    held = C.with_cited(runs.withColumn("__article", F.col("parsed.article")), "__article", "__id").join(told, "case_id", "left")
+    same = lambda a, b: F.coalesce(a == b, F.lit(False))
+    low = lambda c: F.lower(F.trim(c))
+    p, e = F.col("parsed"), F.col("expected")
+    judged = F.col("kind") == "evaluation"
+    below = F.coalesce(F.exists("accepted", lambda x: (F.col("__id") == x) | F.startswith(F.col("__id"), F.concat(x, F.lit(".")))), F.lit(False))
+    checks = [
+        ("verdict", judged, same(low(p["verdict"]), low(e["verdict"]))),
+        ("date", ~judged & e["date"].isNotNull(), same(T.parse_date(p["date"]), F.coalesce(T.parse_date(e["date"]), e["date"]))),
+        ("version", ~judged & e["version"].isNotNull(), same(T.named_version(p["version"]), F.coalesce(T.named_version(e["version"]), e["version"]))),
+        ("article", ~judged & e["articles"].isNotNull(), below),
+        ("claim", e["claim"].isNotNull(), T.claim_holds(e["claim"], p["answer"])),
+    ]
+    made = F.map_from_entries(F.array_compact(F.array(*[F.when(asked, F.struct(F.lit(name).alias("key"), holds.alias("value"))) for name, asked, holds in checks])))
+    none = F.expr("cast(map() as map<string, boolean>)")
+    out = held.withColumn("checks", F.when(p.isNull(), none).otherwise(made))
+    return out.withColumn("correct", F.when(p.isNotNull(), F.forall(F.map_values("checks"), lambda x: x))).select(*runs.columns, "checks", "correct")
+
+
+def rescored(runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """runs (with old checks and correct) scored anew, and changed: whether the score is another than the stored one."""
+    fresh = score(runs.withColumnRenamed("checks", "__checks").withColumnRenamed("correct", "__correct"), cases)
+    sorted_ = lambda m: F.array_sort(F.map_entries(m))
+    same = F.col("correct").eqNullSafe(F.col("__correct")) & sorted_("checks").eqNullSafe(sorted_("__checks"))
+    return fresh.withColumn("changed", ~same).drop("__checks", "__correct")
+
+
+def cells_by(runs: DataFrame, *strata: str) -> DataFrame:
+    """As cells, of each model and arm, and of each value of each stratum (columns of runs that are one for each case): model, arm, the
+    strata (null: over all), cases, excluded, wrong, any_wrong, strict_wrong, runs, unparseable, errors."""
+    last = latest(runs)
+    key = ["model", "arm", *strata, "case_id"]
+    by_case = last.groupBy(*key).agg(F.count("*").alias("runs"), F.count_if(F.col("correct") == False).alias("wrong_runs"), F.count("correct").alias("scored"), F.count("error").alias("errors"))  # noqa: E712
+    wrong, unscored = F.col("wrong_runs") * 2 > F.col("runs"), F.col("runs") - F.col("scored")
+    sets = [[F.col("model"), F.col("arm")], *[[F.col("model"), F.col("arm"), F.col(s)] for s in strata]]
+    sums = {
+        "cases": F.count_if(F.col("scored") > 0), "excluded": F.count_if(F.col("scored") == 0), "wrong": F.count_if(wrong & (F.col("scored") > 0)), "any_wrong": F.count_if(F.col("wrong_runs") > 0),
+        "strict_wrong": F.count_if((F.col("wrong_runs") + unscored) * 2 > F.col("runs")), "runs": F.sum("runs"), "unparseable": F.sum(unscored), "errors": F.sum("errors"),
+    }
+    return by_case.groupingSets(sets, "model", "arm", *strata).agg(F.grouping_id().alias("level"), *[v.alias(k) for k, v in sums.items()]).drop("level")
+
+
+def tool_use(runs: DataFrame, arm: str) -> DataFrame:
+    """model, rate (runs with a tool call, 4 places), and of the runs with and without one: scored and wrong. runs: tool_calls (a number)."""
+    last = latest(runs).filter(F.col("arm") == arm)
+    used, wrong = F.col("tool_calls") > 0, F.col("correct") == False  # noqa: E712
+    out = last.groupBy("model").agg((F.floor(F.count_if(used) / F.count("*") * 1e4 + 0.5) / 1e4).alias("rate"), F.count(F.when(used, F.col("correct"))).alias("scored_with"), F.count_if(used & wrong).alias("wrong_with"), F.count(F.when(~used, F.col("correct"))).alias("scored_without"), F.count_if(~used & wrong).alias("wrong_without"))
+    return out
+
+
+def versions_named(runs: DataFrame) -> DataFrame:
+    """model, arm, n (parsed runs), and how many of them name the older version, the newer, both or none."""
+    last = latest(runs).filter("parsed is not null").withColumn("named", T.version_named(F.col("parsed.version")))
+    of = {"older": F.col("named") == T.OLDER, "newer": F.col("named") == T.NEWER, "both": F.col("named") == "both", "none": F.col("named").isNull()}
+    return last.groupBy("model", "arm").agg(F.count("*").alias("n"), *[F.count_if(v).alias(k) for k, v in of.items()])

@@ -1,11 +1,13 @@
-"""Ranked search: BM25 with synonyms, for a table of queries at once. Of the reference's ranking, headings, stems, stopwords, type
-weights, topics and the phrase bonus are not built."""
+"""Ranked search: BM25 with synonyms, headings, topics, types and a bonus for phrases, for a table of queries at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import citations as C
+from ..functions import text as T
+
 #: Fixed values of the ranking.
 K1, B, SYNONYM, DEFAULT_K, MOST_K = 1.2, 0.75, 0.4, 8, 20
 
@@ -38,3 +40,98 @@ def search(asked: DataFrame, index: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     scored = scored.select("query_id", "id", (F.floor(F.col("s") * 1e4 + 0.5) / 1e4).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max(1, min(MOST_K, k))).select("query_id", "rank", "id", "score")
+
+
+# Search of nodes as a whole: headings, context, stems, synonyms, topics, phrases, types -------------------------------
+
+#: Weights of terms by where they stand, of nodes by type, and of topics; what adds to a phrase.
+HEADING, CONTEXT, TOPIC, PHRASE = 3, 2, 1.5, 0.5
+TYPE_WEIGHT = {"chapter": 0.6, "section": 0.6, "annex": 0.85, "article": 0.85}
+#: Terms that count for each other, and the places that they point to.
+SYNONYMS = {
+    "en": [
+        ("penalty penalties fine fines sanction sanctions", ["art_99"]),
+        ("deepfake deepfakes fake label labelling labeling disclose disclosure", ["art_50"]),
+        ("registration register registered database", ["art_49", "art_71"]),
+        ("sme smes small medium", []),
+        ("oversight supervision", []),
+    ],
+    "de": [
+        ("strafe strafen sanktion sanktionen geldbuße geldbußen bußgeld bußgelder", ["art_99"]),
+        ("kennzeichnung kennzeichnen offenlegen offenlegung deepfake deepfakes", ["art_50"]),
+        ("registrierung registrieren registriert datenbank", ["art_49", "art_71"]),
+        ("kmu kleine mittlere kleinstunternehmen", []),
+        ("aufsicht überwachung", []),
+    ],
+}
+
+
+def synonym_table(spark: SparkSession, groups: list[tuple[str, list[str]]] | None = None, lang: str = "en") -> DataFrame:
+    """term, synonyms, topics: a row for each stem of each group."""
+    rows = [(n, w, topics) for n, (words, topics) in enumerate(groups if groups is not None else SYNONYMS[lang]) for w in words.split()]
+    told = spark.createDataFrame(rows, "n int, w string, topics array<string>").select("n", T.stem(F.col("w"), lang).alias("term"), "topics").distinct()
+    group = told.groupBy("n").agg(F.collect_set("term").alias("synonyms"))
+    return told.join(group, "n").groupBy("term").agg(F.array_distinct(F.flatten(F.collect_list("synonyms"))).alias("synonyms"), F.array_distinct(F.flatten(F.collect_list("topics"))).alias("topics"))
+
+
+def index_nodes(nodes: DataFrame, chain: DataFrame, lang: str = "en") -> tuple[DataFrame, DataFrame]:
+    """(postings: version, term, id, tf, len; documents: version, id, type, ord, heading, text, content). A node's own heading counts
+    three times; one without gets the nearest heading above twice, unless a chapter or section comes first, and not in its length.
+    Nodes without words are no documents."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    own = nodes.select("version", "id", "type", "ord", empty(F.col("heading")).alias("heading"), empty(F.col("text")).alias("text"))
+    above = own.filter("heading != '' or type in ('chapter', 'section')").select("version", F.col("id").alias("ancestor"), F.struct("type", "heading").alias("a"))
+    bare = own.filter("heading = ''").select("version", "id")
+    near = chain.filter("distance > 0").join(bare, ["version", "id"], "left_semi").join(above, ["version", "ancestor"]).groupBy("version", "id").agg(F.min_by("a", "distance").alias("a"))
+    near = near.filter("a.type not in ('chapter', 'section')").select("version", "id", F.col("a.heading").alias("context"))
+    told = own.join(near, ["version", "id"], "left").withColumns({"t": T.stems(F.col("text"), lang), "h": T.stems(F.col("heading"), lang), "c": T.stems(empty(F.col("context")), lang)})
+    told = told.filter("size(t) + size(h) > 0").withColumn("len", F.size("t") + HEADING * F.size("h"))
+    by = lambda c, n: F.transform(c, lambda w: F.struct(w.alias("term"), F.lit(n).alias("by")))
+    weighed = F.concat(by("t", 1), by("h", HEADING), by("c", CONTEXT))
+    postings = told.select("version", "id", "len", F.explode(weighed).alias("x")).groupBy("version", "id", "len", "x.term").agg(F.sum("x.by").cast("int").alias("tf"))
+    content = F.concat(T.stems(F.col("heading"), lang, T.STOPWORDS), T.stems(F.col("text"), lang, T.STOPWORDS))
+    return postings, told.select("version", "id", "type", "ord", "heading", "text", "context", content.alias("content"))
+
+
+def ask(queries: DataFrame, synonyms: DataFrame, lang: str = "en") -> DataFrame:
+    """query_id, version, terms (stems, each once), content (stems in order, without stopwords), weighed (term, weight), topics. A query of
+    nothing but stopwords keeps its words."""
+    words = T.words(F.coalesce("query", F.lit("")))
+    kept = F.filter(words, lambda w: ~w.isin(*T.STOPWORDS))
+    raw = F.when(F.size(kept) > 0, kept).otherwise(words)
+    told = queries.select("query_id", "version", F.array_distinct(F.transform(raw, lambda w: T.stem(w, lang))).alias("terms"), T.stems(F.coalesce("query", F.lit("")), lang, T.STOPWORDS).alias("content"))
+    more = told.select("query_id", F.explode("terms").alias("term")).join(synonyms, "term").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("synonyms"))).alias("synonyms"), F.array_distinct(F.flatten(F.collect_list("topics"))).alias("topics"))
+    told = told.join(more, "query_id", "left")
+    none = F.expr("cast(array() as array<string>)")
+    added = F.array_except(F.coalesce("synonyms", none), "terms")
+    weighed = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("weight"))), F.transform(added, lambda t: F.struct(t.alias("term"), F.lit(SYNONYM).alias("weight"))))
+    return told.select("query_id", "version", "terms", "content", weighed.alias("weighed"), F.coalesce("topics", none).alias("topics"))
+
+
+def ranked(asked: DataFrame, postings: DataFrame, documents: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """query_id, rank, version, id, score (4 places), heading (own or nearest), text: the k best nodes of the version asked, ties in document
+    order."""
+    size = postings.select("version", "id", "len").distinct().groupBy("version").agg(F.count("id").alias("n"), F.avg("len").alias("avg"))
+    df = postings.groupBy("version", "term").agg(F.count("id").alias("df"))
+    wanted = asked.select("query_id", "version", "terms", F.explode("weighed").alias("x")).select("query_id", "version", "x.term", "x.weight", F.array_contains("terms", F.col("x.term")).alias("own"))
+    wanted = wanted.join(F.broadcast(size), "version").join(df, ["version", "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    wanted = wanted.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    bonus = wanted.filter("own").groupBy("query_id").agg((F.sum("idf") * PHRASE).alias("bonus"))
+    part = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    scored = postings.join(wanted.filter("df > 0").drop("own", "df"), ["version", "term"]).groupBy("query_id", "version", "id").agg(F.sum(part).alias("s"))
+    told = scored.join(documents, ["version", "id"]).join(asked.select("query_id", F.col("content").alias("phrase"), "topics"), "query_id").join(bonus, "query_id", "left")
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    phrased = F.when((F.size("phrase") >= 2) & F.contains(padded("content"), padded("phrase")), F.col("bonus")).otherwise(0.0)
+    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TYPE_WEIGHT.items() for x in pair]), F.col("type")), F.lit(1.0))
+    topical = F.when(F.exists("topics", lambda t: (F.col("id") == t) | F.startswith(F.col("id"), F.concat(t, F.lit(".")))), TOPIC).otherwise(1.0)
+    told = told.withColumn("score", F.floor((F.col("s") + phrased) * weight * topical * 1e4 + 0.5) / 1e4)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord", "id")
+    told = told.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max(1, min(MOST_K, k)))
+    return told.select("query_id", "rank", "version", "id", "score", F.when(F.col("heading") != "", F.col("heading")).otherwise(F.coalesce("context", F.lit(""))).alias("heading"), F.when(F.col("text") != "", F.col("text")).otherwise(F.col("heading")).alias("text"))
+
+
+def shown(hits: DataFrame, asked: DataFrame, states: DataFrame | None = None, lang: str = "en") -> DataFrame:
+    """hits with citation, snippet around the first query term, and state (of states: version, id, state)."""
+    told = hits.join(asked.select("query_id", F.transform("weighed", lambda x: x["term"]).alias("words")), "query_id")
+    told = C.with_citations(T.with_snippets(told, "text", "words", lang), "id", "citation", lang).drop("words", "text")
+    return told if states is None else told.join(states.select("version", "id", "state"), ["version", "id"], "left").withColumn("state", F.coalesce("state", F.lit("unknown")))

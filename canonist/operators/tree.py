@@ -1,41 +1,81 @@
-"""Trees of nodes. A node: version, id, parent (null for a root), type, text, ord. Ids are unique in a version."""
+"""Trees of nodes. A node: version, id, parent (null for a root), type, text, ord; maybe lang. Ids are unique in a version (and language).
+ord rises in document order, depth first."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def closure(nodes: DataFrame, depth: int = 32) -> DataFrame:
-    """version, id, ancestor, distance; a node is its own ancestor at 0. One equi-join a level, until none is added."""
-    up = nodes.select("version", F.col("id").alias("ancestor"), F.col("parent").alias("above"))
-    level = nodes.select("version", "id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    out = level
-    for _ in range(depth):
-        level = level.join(up, ["version", "ancestor"]).filter("above is not null").select("version", "id", F.col("above").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
-        if not level.take(1):
-            break
+from ..sources.scratch import Scratch
+
+
+def keys_of(nodes: DataFrame) -> list[str]:
+    """What an id is unique in."""
+    return [c for c in ("version", "lang") if c in nodes.columns]
+
+
+def closure(nodes: DataFrame) -> DataFrame:
+    """version (and lang), id, ancestor, distance; a node is its own ancestor at 0. One equi-join a level, each level stored, until
+    none is added; a chain that returns to its node is an error."""
+    keys, scratch = keys_of(nodes), Scratch(nodes.sparkSession)
+    up = scratch.stored(nodes.select(*keys, F.col("id").alias("ancestor"), F.col("parent").alias("above")), "parents")
+    out = level = up.select(*keys, F.col("ancestor").alias("id"), "ancestor", F.lit(0).alias("distance"))
+    distance = 0
+    while True:
+        distance += 1
+        level = level.join(up.filter("above is not null"), [*keys, "ancestor"]).select(*keys, "id", F.col("above").alias("ancestor"), F.lit(distance).alias("distance"))
+        level = scratch.stored(level, "level")
+        met = level.agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("ancestor")).alias("loops")).first()
+        if met["loops"]:
+            raise ValueError("the parents of some nodes lead back to them")
+        if not met["n"]:
+            return out
         out = out.unionByName(level)
-    return out
+
+
+def positions(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with pos, the number of rows before each in this order. Rows are dealt by ranges and numbered in each; the ranges' sizes,
+    a row for each range, give the offsets: no task holds more than its range."""
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    laid = Scratch(rows.sparkSession).stored(laid.withColumn("__part", F.shiftright("__at", 33)), "positions")
+    sizes = laid.groupBy("__part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return laid.join(F.broadcast(offsets), "__part").withColumn("pos", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__before")
 
 
 def descendants(nodes: DataFrame, chain: DataFrame) -> DataFrame:
-    """version, ancestor, id, nth: what lies below each node, numbered in document order."""
-    below = chain.filter("distance > 0").join(nodes.select("version", "id", "ord"), ["version", "id"])
-    return below.withColumn("nth", F.row_number().over(Window.partitionBy("version", "ancestor").orderBy("ord"))).select("version", "ancestor", "id", "nth")
+    """version, ancestor, id, nth: what lies below each node, numbered in document order. Depth first, what lies below a node follows it
+    without a gap, so the number is a difference of positions."""
+    keys = keys_of(nodes)
+    at = positions(nodes.select(*keys, "id", "ord"), *keys, "ord").select(*keys, "id", "pos")
+    below = chain.filter("distance > 0").join(at, [*keys, "id"]).join(at.select(*keys, F.col("id").alias("ancestor"), F.col("pos").alias("own")), [*keys, "ancestor"])
+    return below.select(*keys, "ancestor", "id", (F.col("pos") - F.col("own")).cast("int").alias("nth"))
 
 
 def nearest(nodes: DataFrame, chain: DataFrame, where: Column, value: Column) -> DataFrame:
     """version, id, value: that of the nearest ancestor (or the node) that satisfies a condition on its own columns."""
-    good = nodes.filter(where).select("version", F.col("id").alias("ancestor"), value.alias("value"))
-    return chain.join(good, ["version", "ancestor"]).groupBy("version", "id").agg(F.min_by("value", "distance").alias("value"))
+    keys = keys_of(nodes)
+    good = nodes.filter(where).select(*keys, F.col("id").alias("ancestor"), value.alias("value"))
+    return chain.join(good, [*keys, "ancestor"]).groupBy(*keys, "id").agg(F.min_by("value", "distance").alias("value"))
+
+
+def subtree_rows(nodes: DataFrame, chain: DataFrame) -> DataFrame:
+    """version, id, ord, text: a row for each text (headings too, where nodes have them) at or below a node; empty ones left out."""
+    keys = keys_of(nodes)
+    texts = F.array("heading", "text") if "heading" in nodes.columns else F.array("text")
+    own = nodes.select(*keys, "id", "ord", F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n").alias("text")).filter("text != ''")
+    return chain.join(own, [*keys, "id"]).select(*keys, F.col("ancestor").alias("id"), "ord", "text")
 
 
-def subtree_text(nodes: DataFrame, chain: DataFrame) -> DataFrame:
-    """version, id, text: texts of a node and all below it in order, joined by line feeds; empty ones left out."""
-    own = nodes.filter("text != ''").select("version", "id", "ord", "text")
-    sorted_ = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    return chain.join(own, ["version", "id"]).groupBy("version", F.col("ancestor").alias("id")).agg(F.array_join(F.transform(sorted_, lambda x: x["text"]), "\n").alias("text"))
+def subtree_text(nodes: DataFrame, chain: DataFrame, most: int = 1 << 28) -> DataFrame:
+    """version, id, text: subtree_rows in order, joined by line feeds. A text of more than `most` characters would fill a task, so
+    its cell is null; its rows are those of subtree_rows."""
+    keys, rows = keys_of(nodes), subtree_rows(nodes, chain)
+    sizes = rows.groupBy(*keys, "id").agg((F.sum(F.length("text") + 1) <= most).alias("fits"))
+    fits = rows.join(sizes.filter("fits"), [*keys, "id"], "left_semi")
+    joined = fits.groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x")).select(*keys, "id", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("text"))
+    return sizes.join(joined, [*keys, "id"], "left").drop("fits")
 
 
 #: Types whose siblings are the family of their number (60, 60a) and the node before and after it.
@@ -71,7 +111,9 @@ def violations(nodes: DataFrame) -> DataFrame:
     orphan = held.filter("pord is null").select("version", "id", F.lit("missing_parent").alias("what"))
     later = held.filter("pord >= ord").select("version", "id", F.lit("parent_after_child").alias("what"))
     odd = nodes.filter("parent is not null and not (startswith(id, concat(parent, '.')) and instr(substr(id, length(parent) + 2), '.') = 0)").select("version", "id", F.lit("odd_id").alias("what"))
-    gap = nodes.withColumn("step", F.col("ord") - F.lag("ord").over(Window.partitionBy("version").orderBy("ord"))).filter("step > 1").select("version", "id", F.lit("gap").alias("what"))
+    at = positions(nodes.select("version", "id", "ord"), "version", "ord")
+    before = at.select("version", (F.col("pos") + 1).alias("pos"), F.col("ord").alias("last"))
+    gap = at.join(before, ["version", "pos"]).filter("ord - last > 1").select("version", "id", F.lit("gap").alias("what"))
     inner = nodes.filter("parent is not null").select("version", F.col("parent").alias("id")).distinct()
     empty = nodes.filter("text = ''").join(inner, ["version", "id"], "left_anti").select("version", "id", F.lit("empty").alias("what"))
     out = twice

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import citations as C
+
 
 def intervals(versions: DataFrame) -> DataFrame:
     """versions (version, effective_from) with effective_to (exclusive, null for the last); the first reaches back for ever."""
@@ -26,3 +28,18 @@ def lookup(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     out = requests.join(here, ["version", "id"], "left").join(other, "id", "left")
     missing = F.col("own").isNull()
     return out.select("request_id", "id", F.when(~missing, F.col("version")).otherwise(F.col("o.v")).alias("found"), F.coalesce("own", F.col("o.t")).alias("text"), F.when(~missing, F.lit(None).cast("string")).when(F.col("o").isNull(), "unknown_id").otherwise("not_in_version").alias("reason"))
+
+
+def provisions(requests: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """request_id, id, version, text, reason, fallback (version and text elsewhere): requests (request_id, citation or id as text, asked: a
+    version or null, as_of). The version asked for outweighs the date. reason: not_in_consolidated_version where the newest version lacks
+    an id, not_in_version where an older one does, unknown_id where all do."""
+    dated = version_as_of(C.with_ids(requests, "citation", "parsed"), known).withColumn("id", F.coalesce("parsed", "citation"))
+    dated = dated.withColumn("version", F.coalesce("asked", "version")).drop("parsed")
+    here = nodes.select("version", "id", "text", F.lit(True).alias("there"))
+    every = nodes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("version", "text"))).alias("all"))  # a row a version
+    newest = known.agg(F.max_by("version", "effective_from").alias("newest"))
+    out = dated.join(here, ["version", "id"], "left").join(every, "id", "left").join(F.broadcast(newest))
+    missing = F.col("there").isNull()
+    reason = F.when(missing, F.when(F.col("all").isNull(), "unknown_id").when(F.col("version") == F.col("newest"), "not_in_consolidated_version").otherwise("not_in_version"))
+    return out.select("request_id", "id", "version", "text", reason.alias("reason"), F.when(missing, F.get("all", F.lit(0))).alias("fallback"))

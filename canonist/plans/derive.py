@@ -12,7 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of a tree source > document > line. The newer one lacks every 17th document, changes the first line of
-    every 11th and names every 13th anew. ord is unique and rises in document order within a version."""
+    every 11th, the heading of every 23rd, and names every 13th anew. A document's heading is its first three words. ord is unique and
+    rises in document order within a version; hash is that of the text, node_hash that of heading and text."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "source", "text")
     both = docs.withColumn("version", F.explode(F.array(F.lit("v1"), F.lit("v2")))).filter("version = 'v1' or doc_id % 17 != 3")
     name = F.when((F.col("version") == "v2") & (F.col("doc_id") % 13 == 7), F.concat(F.lit("m"), F.col("doc_id"))).otherwise(F.concat(F.lit("d"), F.col("doc_id")))
@@ -20,21 +21,22 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = both.select("version", "doc_id", "did", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     line = F.when((F.col("version") == "v2") & (F.col("doc_id") % 11 == 5) & (F.col("p") == 0), F.concat("line", F.lit(" amended"))).otherwise(F.col("line"))
     at = (F.substring_index("did", ".", 1).substr(4, 9).cast("long") + 1) * F.lit(10**14)
-    lines = lines.select("version", F.concat_ws(".p", "did", F.col("p").cast("string")).alias("id"), F.col("did").alias("parent"), F.lit("line").alias("type"), line.alias("text"), (at + (F.col("doc_id") + 1) * 10**5 + F.col("p") + 1).alias("ord"))
-    docs_ = both.select("version", F.col("did").alias("id"), F.col("source").alias("parent"), F.lit("document").alias("type"), F.lit("").alias("text"), (at + (F.col("doc_id") + 1) * 10**5).alias("ord"))
-    roots = both.select("version", F.col("source").alias("id")).distinct().select("version", "id", F.lit(None).cast("string").alias("parent"), F.lit("source").alias("type"), F.lit("").alias("text"), ((F.expr("substr(id, 4)").cast("long") + 1) * F.lit(10**14)).alias("ord"))
-    return roots.unionByName(docs_).unionByName(lines).withColumn("hash", F.sha2("text", 256))
+    lines = lines.select("version", F.concat_ws(".p", "did", F.col("p").cast("string")).alias("id"), F.col("did").alias("parent"), F.lit("line").alias("type"), F.lit("").alias("heading"), line.alias("text"), (at + (F.col("doc_id") + 1) * 10**5 + F.col("p") + 1).alias("ord"))
+    heading = F.concat(F.array_join(F.slice(F.split("text", " "), 1, 3), " "), F.when((F.col("version") == "v2") & (F.col("doc_id") % 23 == 4), " revised").otherwise(""))
+    docs_ = both.select("version", F.col("did").alias("id"), F.col("source").alias("parent"), F.lit("document").alias("type"), heading.alias("heading"), F.lit("").alias("text"), (at + (F.col("doc_id") + 1) * 10**5).alias("ord"))
+    roots = both.select("version", F.col("source").alias("id")).distinct().select("version", "id", F.lit(None).cast("string").alias("parent"), F.lit("source").alias("type"), F.lit("").alias("heading"), F.lit("").alias("text"), ((F.expr("substr(id, 4)").cast("long") + 1) * F.lit(10**14)).alias("ord"))
+    return roots.unionByName(docs_).unionByName(lines).withColumn("hash", F.sha2("text", 256)).withColumn("node_hash", F.sha2(F.concat("heading", F.lit("\n"), "text"), 256))
 
 
 NODES_SQL = r"""both_ as (select version, doc_id, source, text, source || '.' || case when version = 'v2' and doc_id % 13 = 7 then 'm' else 'd' end || doc_id did
   from (select doc_id, source, text, unnest(['v1', 'v2']) version from documents where text is not null) where version = 'v1' or doc_id % 17 <> 3),
 split_ as (select version, doc_id, did, source, string_split(text, chr(10)) ls from both_),
 lines_ as (select version, doc_id, did, source, unnest(range(0, len(ls))) p, unnest(ls) line from split_),
-nodes as (select *, sha256(text) hash from (
-  select version, did || '.p' || p id, did parent, 'line' as type, line || case when version = 'v2' and doc_id % 11 = 5 and p = 0 then ' amended' else '' end as text,
+nodes as (select *, sha256(text) hash, sha256(heading || chr(10) || text) node_hash from (
+  select version, did || '.p' || p id, did parent, 'line' as type, '' heading, line || case when version = 'v2' and doc_id % 11 = 5 and p = 0 then ' amended' else '' end as text,
     (substr(source, 4)::bigint + 1) * 100000000000000 + (doc_id + 1) * 100000 + p + 1 ord from lines_
-  union all select version, did, source, 'document', '', (substr(source, 4)::bigint + 1) * 100000000000000 + (doc_id + 1) * 100000 from both_
-  union all select distinct version, source, null, 'source', '', (substr(source, 4)::bigint + 1) * 100000000000000 from both_)),
+  union all select version, did, source, 'document', array_to_string(string_split(text, ' ')[1:3], ' ') || case when version = 'v2' and doc_id % 23 = 4 then ' revised' else '' end, '', (substr(source, 4)::bigint + 1) * 100000000000000 + (doc_id + 1) * 100000 from both_
+  union all select distinct version, source, null, 'source', '', '', (substr(source, 4)::bigint + 1) * 100000000000000 from both_)),
 closure_ as (select version, id, id ancestor, 0 distance from nodes
   union all select version, id, parent, 1 from nodes where parent is not null
   union all select a.version, a.id, b.parent, 2 from nodes a join nodes b on a.version = b.version and a.parent = b.id where b.parent is not null)"""

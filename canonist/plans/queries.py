@@ -8,20 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import diff, eligibility, evalstats, rules, search, tree, verify, versions, worddiff
 from ..sources import io
-from . import derive
+from . import audits, derive, logs  # noqa: F401  they register their own
 from .derive import LOG_SQL, NODES_SQL, RESOLVED_SQL, table
-
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -35,31 +24,17 @@ h as (select item_id, count(doc_id) hits, min(doc_id) doc_id from q left join d
 select item_id, case hits when 0 then 'not_found' when 1 then 'exact' else 'multiple_matches' end status, hits, coalesce(doc_id, -1) doc_id from h""")
 def quotes_exact(spark, sf_dir):
     """Which benchmark passages occur in which documents, word for word, and is the place unique? Postings of each passage's
-    rarest tokens give the candidates."""
+    rarest token give the candidates."""
     low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda c: F.filter(F.split(low(c), r"\s+"), lambda x: x != "")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), split("text").alias("toks"))
     d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), split("text").alias("toks"))
-    pairs = verify.candidates(q, d)
-    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    met = pairs.join(q, "quote_id").withColumnRenamed("toks", "q").join(d, "id").filter(F.contains(padded("toks"), padded("q")))
+    met = verify.containing(q, d)
     hits = met.groupBy("quote_id").agg(F.count("id").alias("hits"), F.min("id").alias("doc_id"))
     status = F.when(F.col("hits").isNull(), "not_found").when(F.col("hits") == 1, "exact").otherwise("multiple_matches")
     return q.select("quote_id").join(hits, "quote_id", "left").select(F.col("quote_id").alias("item_id"), status.alias("status"), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
 
 
-@query()
-def quotes_verified(spark, sf_dir):
-    """Statuses of passages of the benchmark with every seventh word changed in one of three ways, by tolerant matching; of
-    every fourth one also the first four words, as -1 - item_id."""
-    words = F.split("text", " ")
-    edited = F.array_join(F.transform(words, lambda w, i: F.when((F.col("item_id") % 4 == 1) & (i == 7), F.concat(w, F.lit("x"))).when((F.col("item_id") % 4 == 2) & (i == 7), F.lit("17")).otherwise(w)), " ")
-    items = table(spark, sf_dir, "benchmark")
-    short = items.filter("item_id % 4 = 3").select((-1 - F.col("item_id")).alias("quote_id"), F.array_join(F.slice(words, 1, 4), " ").alias("quote"))
-    q = items.select(F.col("item_id").alias("quote_id"), edited.alias("quote")).unionByName(short)
-    return verify.verify(q, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-
-
 @query(f"with {NODES_SQL} select version, id, ancestor, distance from closure_")
 def tree_closure(spark, sf_dir):
     return tree.closure(derive.nodes(spark, sf_dir))
@@ -77,27 +52,28 @@ def tree_nearest(spark, sf_dir):
     return tree.nearest(n, tree.closure(n), F.col("type") == "document", F.col("id"))
 
 
-@query(f"with {NODES_SQL} select version, ancestor id, string_agg(text, chr(10) order by ord) as text from closure_ join nodes using (version, id) where text <> '' group by version, ancestor")
+@query(f"with {NODES_SQL} select version, ancestor id, string_agg(case when heading <> '' and text <> '' then heading || chr(10) || text else heading || text end, chr(10) order by ord) as text from closure_ join nodes using (version, id) where heading || text <> '' group by version, ancestor")
 def tree_subtree_text(spark, sf_dir):
     n = derive.nodes(spark, sf_dir)
     return tree.subtree_text(n, tree.closure(n))
 
 
 @query(f"""with {NODES_SQL}, kids as (select version, parent id, count(*) children from nodes where parent is not null group by all)
-select n.version, n.id, lag(n.id) over w as before, lead(n.id) over w as after, coalesce(children, 0) children, least(count(*) over (partition by n.version, n.parent, n.type) - 1, 30) siblings,
+select n.version, n.id, lag(n.id) over w as before, lead(n.id) over w as after, coalesce(children, 0) children, count(*) over (partition by n.version, n.parent, n.type) - 1 siblings,
  not exists (select 1 from nodes o where o.version = 'v2' and o.id = n.id) missing
 from nodes n left join kids k on k.version = n.version and k.id = n.id where n.version = 'v1' window w as (partition by n.version, n.parent, n.type order by n.ord)""")
 def tree_neighbours(spark, sf_dir):
-    """The count of siblings is clipped to 30, as in the SQL; tree_siblings has all of it, and the siblings."""
-    out = tree.neighbours(*_versions(spark, sf_dir)).drop("nearest")
-    return out.withColumn("siblings", F.least("siblings", F.lit(30)))
+    return tree.neighbours(*_versions(spark, sf_dir)).drop("nearest")
 
 
-@query()
+@query(f"""with {NODES_SQL}, o_ as (select * from nodes where version = 'v1'), x_ as (select a.id, b.id other, b.ord, row_number() over (partition by a.id order by abs(b.ord - a.ord), b.ord) nth, count(*) over (partition by a.id) n
+ from o_ a join o_ b on a.id <> b.id and (a.parent = b.parent or a.parent is null and b.parent is null and a.type = b.type)),
+y_ as (select id, any_value(n) siblings, list(other order by ord) nearest, count(*) filter (other not in (select id from nodes where version = 'v2')) n_missing from x_ where nth <= 30 group by id)
+select 'v1' as version, o_.id, coalesce(siblings, 0) siblings, coalesce(array_to_string(nearest, ','), '') nearest, coalesce(n_missing, 0)::int n_missing from o_ left join y_ using (id)""")
 def tree_siblings(spark, sf_dir):
     """How many siblings each node has, and the nearest 30."""
     out = tree.neighbours(*_versions(spark, sf_dir))
-    return out.select("version", "id", "siblings", F.transform("nearest", lambda x: x["id"]).alias("nearest"), F.size(F.filter("nearest", lambda x: x["missing"])).alias("n_missing"))
+    return out.select("version", "id", "siblings", F.array_join(F.transform("nearest", lambda x: x["id"]), ",").alias("nearest"), F.size(F.filter("nearest", lambda x: x["missing"])).alias("n_missing"))
 
 
 @query(f"""with {NODES_SQL}, step as (select version, id, ord - lag(ord) over (partition by version order by ord) s from nodes)
@@ -107,7 +83,7 @@ def tree_violations(spark, sf_dir):
     return tree.violations(derive.nodes(spark, sf_dir))
 
 
-DIFF_SQL = NODES_SQL + r""", both2 as (select coalesce(a.id, b.id) id, a.type ot, a.hash oh, b.type nt, b.hash nh from (select * from nodes where version = 'v1') a full join (select * from nodes where version = 'v2') b on a.id = b.id),
+DIFF_SQL = NODES_SQL + r""", both2 as (select coalesce(a.id, b.id) id, a.type ot, a.node_hash oh, b.type nt, b.node_hash nh from (select * from nodes where version = 'v1') a full join (select * from nodes where version = 'v2') b on a.id = b.id),
 g1 as (select oh h, min(id) id from both2 where nh is null group by oh having count(*) = 1), c1 as (select nh h, min(id) id from both2 where oh is null group by nh having count(*) = 1),
 moves as (select g1.id f, c1.id t, h from g1 join c1 using (h)),
 diff_ as (select case when oh = nh then 'unchanged' else 'changed' end status, id from_id, id to_id, nt as type, oh from_hash, nh to_hash from both2 where oh is not null and nh is not null
@@ -180,7 +156,8 @@ def version_lookup(spark, sf_dir):
 
 def _resolved(spark, sf_dir):
     n = derive.nodes(spark, sf_dir)
-    return n, tree.closure(n), rules.resolve(tree.closure(n), derive.rules(spark, sf_dir))
+    chain = tree.closure(n)
+    return n, chain, rules.resolve(chain, derive.rules(spark, sf_dir))
 
 
 @query(f"with {NODES_SQL}, {RESOLVED_SQL} select version, id, rule_id, explicit, applies_from from resolved_")
@@ -212,23 +189,21 @@ def rules_coverage(spark, sf_dir):
 BM25_SQL = r"""t as (select doc_id id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
 u as (select id, len(w) len, unnest(w) term from t), idx as (select id, len, term, count(*) tf from u group by all),
 sz as (select count(*) n, avg(len) av from (select id, len(w) len from t where len(w) > 0)), df as (select term, count(*) df from idx group by term),
-q as (select distinct item_id query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:6]) term from benchmark),
+q as (select distinct item_id query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) term from benchmark),
 s as (select query_id, id, floor(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))) * 1e4 + 0.5) / 1e4 score from q join df using (term) join idx using (term), sz group by all)"""
 
 
 @query(f"with {BM25_SQL} select query_id, rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= 8")
 def search_bm25(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.words(F.col("text")), 1, 6).alias("terms"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.words(F.col("text")).alias("terms"))
     return search.search(search.expand(asked), search.build_index(d, T.words(F.col("text"))))
 
 
-@query(f"with {BM25_SQL.replace('[1:6]', '')} select query_id, rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= 8")
+@query(f"with {BM25_SQL} select query_id, rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= 8")
 def search_bm25_whole(spark, sf_dir):
-    """search_bm25 with all terms of each benchmark text, not the first six words."""
-    d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.words(F.col("text")).alias("terms"))
-    return search.search(search.expand(asked), search.build_index(d, T.words(F.col("text"))))
+    """The same search under its older name."""
+    return search_bm25(spark, sf_dir)
 
 
 @query(f"with {LOG_SQL} select case_id, model, arm, rep, seq, coalesce(correct::varchar, 'none') correct, cost, coalesce(error, '') error from last_")
@@ -281,16 +256,22 @@ def source_gate(spark, sf_dir):
     return io.acceptable(table(spark, sf_dir, "pages"), "<article>", 2000).select("page_id", "url")
 
 
-@query("""select doc_id id, 'quality' field, 'not one of 0, 1' why from labels where quality is null or quality not in (0, 1)
-union all select doc_id, 'toxic', 'missing' from labels where toxic is null""")
+@query("""with l as (select doc_id, case when doc_id % 7 = 0 then 5 else quality end quality, case when doc_id % 11 = 0 then null else toxic end toxic from labels)
+select doc_id id, 'quality' field, 'not one of 0, 1' why from l where quality is null or quality not in (0, 1)
+union all select doc_id, 'toxic', 'missing' from l where toxic is null union all select doc_id, 'quality', 'not one of 0, 1' from l where doc_id % 13 = 0 and (quality is null or quality not in (0, 1))
+union all select doc_id, 'toxic', 'missing' from l where doc_id % 13 = 0 and toxic is null union all select doc_id, 'doc_id', 'not unique' from l where doc_id % 13 = 0""")
 def source_rejects(spark, sf_dir):
+    """Labels of which some are made wrong, some missing and some doubled."""
     rules_ = [("quality", ~F.coalesce(F.col("quality").isin(0, 1), F.lit(False)), "not one of 0, 1"), ("toxic", F.col("toxic").isNull(), "missing")]
-    return io.validate(table(spark, sf_dir, "labels"), "doc_id", rules_)[1]
+    d = F.col("doc_id")
+    given = table(spark, sf_dir, "labels").select("doc_id", F.when(d % 7 == 0, 5).otherwise(F.col("quality")).alias("quality"), F.when(d % 11 != 0, F.col("toxic")).alias("toxic"))
+    return io.validate(given.unionByName(given.filter(d % 13 == 0)), "doc_id", rules_)[1]
 
 
-@query(r"select doc_id, sha256(text) hash, sha256(coalesce(lang || chr(10), '') || text) node_hash from documents where text is not null")
+@query("select doc_id, sha256(text) hash, sha256(" + logs._PLAIN.format("lang") + " || chr(10) || " + logs._PLAIN.format("text") + ") node_hash from documents where text is not null and lang is not null")
 def text_hashes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"), T.node_hash(F.col("lang"), F.col("text")).alias("node_hash"))
+    """Content hash, and the hash of normal heading and text."""
+    return table(spark, sf_dir, "documents").filter("text is not null and lang is not null").select("doc_id", F.sha2("text", 256).alias("hash"), T.node_hash(F.col("lang"), F.col("text")).alias("node_hash"))
 
 
 @query(r"""select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') iso, (case o_orderkey % 4 when 3 then null else strftime(o_orderdate, '%Y-%m-%d') end) parsed from orders""")
@@ -302,9 +283,11 @@ def text_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", iso.alias("iso"), T.parse_date(written).alias("parsed"))
 
 
-@query(r"""select doc_id, list_filter(list_transform(string_split_regex(text, '\s+'), lambda x: lower(regexp_replace(x, '^[\s.,;:!?()\[\]"''…-]+|[\s.,;:!?()\[\]"''…-]+$', '', 'g'))), lambda x: x <> '').len()::int n_tokens from documents where text is not null""")
+@query("select doc_id, len(string_split(" + audits.NORM.format("text") + ", ' '))::int - 2 n_tokens, sha256(" + audits.NORM.format("text") + ") tokens from documents where text is not null")
 def text_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"))
+    """How many tokens every text has, and a digest of them."""
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.sha2(F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")), 256).alias("tokens"))
 
 
 @query(rf"""with {NODES_SQL} select a.id, '' deleted, 'amended' inserted, case when regexp_matches(a.text, '\S') then 2 else 1 end::int n_runs
@@ -351,7 +334,8 @@ def _profiles(spark, sf_dir):
 @query(f"""with {PROFILES_SQL} select profile_id, as_of, id, effective, status, case when effective is not null then days end as days,
 row_number() over (partition by profile_id order by case status when 'applicable' then 1 when 'upcoming' then 2 else 3 end, effective nulls last, id)::int nth from found_""")
 def obligations_ranked(spark, sf_dir):
-    return eligibility.ranked(eligibility.obligations_of(eligibility.with_derived(_profiles(spark, sf_dir), DERIVED), OBLIGATIONS))
+    found = eligibility.obligations_of(eligibility.with_derived(_profiles(spark, sf_dir), DERIVED), OBLIGATIONS)
+    return eligibility.ranked(found.drop("literal", "routes"))
 
 
 @query(f"with {PROFILES_SQL} select profile_id, effective, string_agg(id, ',' order by id) ids from found_ where effective >= as_of group by profile_id, effective")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +19,106 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with seq, a number that rises in file order; blank lines are skipped."""
-    return spark.read.schema(schema).json(path).withColumn("seq", F.monotonically_increasing_id())
+    """JSON lines with seq (file, place of the block, line in it), which rises in the files' order, then the lines'; blank lines are
+    skipped."""
+    rows = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("seq"))
+    return rows.filter(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), "seq").select("r.*", "seq")
+
+
+RULE = "id: string, applies_from: string, scope: array<string>, except: array<string>, later_dates: array<struct<applies_from: string, condition: string, source_node: string>>, source_nodes: array<string>"
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """version, rule_id, pos (0 for the default), is_default, applies_from, scope, except, later_dates (sorted dates), source_nodes: a row for
+    each rule of each version of a rule file."""
+    none = F.expr("cast(array() as array<string>)")
+    files = spark.read.schema(f"versions map<string, struct<`default`: struct<{RULE}>, rules: array<struct<{RULE}>>>>").option("multiLine", True).json(path)
+    block = files.select(F.explode("versions").alias("version", "b"))
+    default = F.filter(F.array(F.struct(F.lit(0).alias("pos"), F.col("b.default").alias("r"))), lambda x: x["r"].isNotNull())
+    others = F.transform(F.coalesce("b.rules", F.expr(f"cast(array() as array<struct<{RULE}>>)")), lambda r, i: F.struct((i + 1).alias("pos"), r.alias("r")))
+    rows = block.select("version", F.explode(F.concat(default, others)).alias("x")).select("version", "x.pos", "x.r.*")
+    dates = F.array_sort(F.transform(F.coalesce("later_dates", F.expr("cast(array() as array<struct<applies_from:string,condition:string,source_node:string>>)")), lambda d: d["applies_from"]))
+    return rows.select("version", F.coalesce("id", F.lit("default")).alias("rule_id"), "pos", (F.col("pos") == 0).alias("is_default"), "applies_from", F.coalesce("scope", none).alias("scope"), F.coalesce("except", none).alias("except"), dates.alias("later_dates"), F.coalesce("source_nodes", none).alias("source_nodes"))
+
+
+#: Tags whose content is no text of a page, and blocks that are.
+SKIPPED = frozenset("nav footer script style noscript template head title".split())
+BLOCKS = {"p": "text", "blockquote": "text", "pre": "text", "li": "item", "td": "text", "th": "text", "dd": "text", "dt": "text", "figcaption": "text"} | {f"h{i}": "heading" for i in range(1, 7)}
+
+
+class _Blocks(HTMLParser):
+    """(kind, level, text) of every block; an open block ends where the next begins."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.parts, self.kind, self.level, self.skipped = [], [], "text", 0, []
+
+    def end(self) -> None:
+        if text := " ".join("".join(self.parts).split()):
+            self.out.append((self.kind, self.level, text))
+        self.parts, self.kind, self.level = [], "text", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SKIPPED:
+            self.skipped.append(tag)
+        elif tag in BLOCKS:
+            self.end()
+            self.kind, self.level = BLOCKS[tag], int(tag[1]) if BLOCKS[tag] == "heading" else 0
+
+    def handle_endtag(self, tag):
+        if tag in self.skipped:
+            del self.skipped[self.skipped.index(tag) :]
+        elif tag in BLOCKS:
+            self.end()
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.parts.append(data)
+
+
+def page_nodes(html: str) -> list[tuple]:
+    """(id, parent, type, heading, text, ord) of a page: headings open containers by their level; the first text of a container is its
+    own, further ones are sub_2, sub_3, ...; items are pt_1, pt_2, ... below it."""
+    reader = _Blocks()
+    reader.feed(html)
+    reader.close()
+    reader.end()
+    rows, open_, counts = [["page", None, "page", "", "", 0]], [(0, 0)], {}
+    for kind, level, text in reader.out:
+        if kind == "heading":
+            while open_[-1][0] >= level:
+                open_.pop()
+            parent = rows[open_[-1][1]]
+            n = counts[parent[0], "sct"] = counts.get((parent[0], "sct"), 0) + 1
+            open_.append((level, len(rows)))
+            rows.append([f"{parent[0]}.sct_{n}", parent[0], "section", text, "", len(rows)])
+            continue
+        at = rows[open_[-1][1]]
+        if kind == "text" and not at[4] and (at[0], "pt") not in counts:
+            at[4] = text
+        else:
+            name = "pt" if kind == "item" else "sub"
+            n = counts[at[0], name] = counts.get((at[0], name), 0 if name == "pt" else 1) + 1
+            rows.append([f"{at[0]}.{name}_{n}", at[0], "point" if name == "pt" else "paragraph", "", text, len(rows)])
+    return [tuple(r) for r in rows]
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """page_id, id, parent, type, heading, text, ord: the tree of every page (page_id, html; null: a root alone)."""
+    kind = dict(pages.dtypes)["page_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(page, *node) for page, html in zip(batch["page_id"], batch["html"], strict=True) for node in page_nodes(html or "")]
+            yield pd.DataFrame(rows, columns=["page_id", "id", "parent", "type", "heading", "text", "ord"])
+
+    return pages.select("page_id", F.col("html").cast("string").alias("html")).mapInPandas(run, f"page_id {kind}, id string, parent string, type string, heading string, text string, ord int")
+
+
+def write_nodes(nodes: DataFrame, path: str, by: tuple[str, ...] = ("version", "lang")) -> None:
+    """Nodes as Parquet, a folder for each version and language, sorted in each file: equal nodes give equal rows in equal order."""
+    keys = [c for c in by if c in nodes.columns]
+    nodes.repartitionByRange(*keys, "ord").sortWithinPartitions(*keys, "ord").write.partitionBy(*keys).mode("errorifexists").parquet(path)
 
 
 def acceptable(pages: DataFrame, anchor: str, least: int) -> DataFrame:
@@ -34,10 +136,14 @@ def validate(rows: DataFrame, key: str, rules: list[tuple[str, Column, str]]) ->
     return rows.join(rejects.select(F.col("id").alias(key)).distinct(), key, "left_anti"), rejects
 
 
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """path, sha256, bytes of every file below a folder."""
+def manifest(spark: SparkSession, folder: str, nodes: DataFrame | None = None) -> DataFrame:
+    """path (from the folder on), sha256, bytes, and nodes (how many a corpus file holds; nodes: path, a row for each) of every file below a
+    folder, sorted by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    name = F.element_at(F.split("path", folder.rstrip("/").rpartition("/")[2] + "/"), -1)
+    out = files.select(name.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    counts = nodes.groupBy("path").agg(F.count("*").alias("nodes")) if nodes is not None else out.select("path", F.lit(None).cast("long").alias("nodes"))
+    return out.join(counts, "path", "left").orderBy("path")
 
 
 def check_manifest(listed: DataFrame, found: DataFrame) -> DataFrame:
@@ -45,3 +151,9 @@ def check_manifest(listed: DataFrame, found: DataFrame) -> DataFrame:
     a, b = listed.select("path", F.col("sha256").alias("s1"), F.col("bytes").alias("b1")), found.select("path", F.col("sha256").alias("s2"), F.col("bytes").alias("b2"))
     both = a.join(b, "path", "full")
     return both.select("path", F.col("s1").isNotNull().alias("listed"), F.col("s2").isNotNull().alias("present"), F.coalesce(F.col("s1") == F.col("s2"), F.lit(False)).alias("sha256_ok"), F.coalesce(F.col("b1") == F.col("b2"), F.lit(False)).alias("bytes_ok"))
+
+
+def manifest_holds(checked: DataFrame) -> DataFrame:
+    """files, failed, ok: one row; every file is listed, there, and as it was."""
+    good = F.col("listed") & F.col("present") & F.col("sha256_ok") & F.col("bytes_ok")
+    return checked.agg(F.count("*").alias("files"), F.count_if(~good).alias("failed"), (F.count_if(~good) == 0).alias("ok"))
