@@ -2,49 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a new local folder only where that is unset and Spark itself is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-class Scratch:
-    """Tables of one job in the shared folder. A table is written whole before anything reads it, so lineage ends there and
-    lost executors lose nothing; it is dropped as soon as all that is made of it is written."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.paths, self.written = spark, f"{shared_dir(spark)}/job-{uuid.uuid4().hex}", {}, 0
-
-    def stored(self, df: DataFrame, label: str) -> DataFrame:
-        """df written once as Parquet and read back."""
-        self.written += 1
-        path = f"{self.folder}/{self.written}-{label}"
-        df.write.option("compression", "zstd").parquet(path)
-        self.paths.setdefault(label, []).append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *labels: str, but: int = 0) -> None:
-        """Deletes the tables of these labels, but for the last `but` of each."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for label in labels:
-            held = self.paths.get(label, [])
-            gone, self.paths[label] = held[: len(held) - but], held[len(held) - but :]
-            for path in gone:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+from ..sources.scratch import Scratch, shared_dir  # noqa: F401
 
 
 def numbered(df: DataFrame, *keep: str) -> DataFrame:
@@ -60,5 +21,11 @@ def restored(columns: list[str], results: dict[str, Column]) -> list[Column]:
     return out + [value.alias(name) for name, value in taken.values()]
 
 
+def merge(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is sorted and merged at every size: what grows with the documents is never broadcast, even while
+    it happens to be small."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

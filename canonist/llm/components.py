@@ -12,7 +12,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs (u, v), u > v. large: every larger neighbour of a node goes to its least neighbour; else every smaller one does."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = both.join(least, "u")
+    moved = both.join(least.hint("merge"), "u")
     if large:
         return moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, merge
 
 WIDTH = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,7 +46,7 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def frequencies(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: how often each of these different terms stands in the documents."""
-    counts = tokens.select(F.explode("ws").alias("term")).join(terms, "term").groupBy("term").count()
+    counts = tokens.select(F.explode("ws").alias("term")).groupBy("term").count()  # summed where they stand, so no term is hot
     return terms.join(counts, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
 
 
@@ -103,7 +103,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))))
     n_hit = found.select("uid", "start", "len").distinct().withColumn("fresh", fresh).groupBy("uid").agg(F.sum("fresh").alias("n_hit"))
     items = found.select("uid", F.explode("items").alias("item")).groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = by_document.select("uid", "doc_id", "text_hash", "n_words").join(n_hit.join(items, "uid"), "uid", "left")
+    out = by_document.select("uid", "doc_id", "text_hash", "n_words").join(merge(n_hit.join(merge(items), "uid")), "uid", "left")
     out = stored(out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")), "result")
     scratch.drop("index", "anchors", "phrases")
     return out

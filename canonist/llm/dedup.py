@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, restored
+from .common import Scratch, merge, numbered, restored
 from .components import components
 
 WIDTH = 3
@@ -135,19 +135,19 @@ def linked(sets: list[np.ndarray], of: np.ndarray, part: int, whole: int, column
 
 
 def block_links(open_: DataFrame, sets: DataFrame, part: int, whole: int, members: int = MEMBERS, shingles: int = SHINGLES) -> DataFrame:
-    """u, v: links between the components that meet in a bucket. open_: bucket, node, n, component; sets: node, shingles."""
+    """u, v: components that meet in a bucket and are linked there. open_: bucket, node, n, component; sets: node, shingles."""
     blocks = open_.groupBy("bucket").agg(F.greatest(F.ceil(F.count("node") / members), F.ceil(F.sum("n") / shingles)).cast("int").alias("blocks"))
     dealt = open_.join(blocks, "bucket").withColumn("b", F.pmod(F.xxhash64("node"), "blocks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    dealt = dealt.select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "component").join(sets, "node")
+    dealt = dealt.select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "component").join(merge(sets), "node")
 
     def run(group: pa.Table) -> pa.Table:
-        nodes, of = group["node"].to_numpy(), np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        names, of = np.unique(group["component"].to_numpy(), return_inverse=True)
         pairs = []
         if of.max() > 0:
             held = group["shingles"].combine_chunks()
             values, ends = held.flatten().to_numpy(), held.offsets.to_numpy() - held.offsets[0].as_py()
             pairs = linked(np.split(values, ends[1:-1]), of, part, whole)
-        u, v = (nodes[[p[k] for p in pairs]] if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        u, v = (names[of[[p[k] for p in pairs]]] if pairs else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long")
@@ -171,7 +171,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> Data
 
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInPandas(run, "u long, v long, both long, n long")
+    return pairs.join(merge(right), "v").join(merge(left), "u").select("u", "v", "a", "b").mapInPandas(run, "u long, v long, both long, n long")
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, link: tuple[int, int] = LINK, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -183,35 +183,35 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, link: tuple[int, i
     flat = held.select("__uid", F.col("__row.doc_id").alias("doc"), F.col("__row.text").cast("string").alias("text"))
     marks = stored(signed(flat, width, bands, rows), "signatures")
     classes = stored(marks.filter("n > 0").groupBy("set").agg(F.min("uid").alias("node"), F.min("n").alias("n")), "classes")
-    firsts = marks.filter("n > 0").select(F.col("uid").alias("node"), "n", "bands").join(classes.select("node"), "node")
+    firsts = marks.filter("n > 0").select(F.col("uid").alias("node"), "n", "bands").join(merge(classes.select("node")), "node")
     bands_of = stored(firsts.select("node", "n", F.explode("bands").alias("bucket")), "bands")
     centres = bands_of.groupBy("bucket").agg(F.count("node").alias("held"), F.min("node").alias("u")).filter("held > 1").select("bucket", "u")
-    placed = stored(bands_of.join(stored(centres, "centres"), "bucket").select("bucket", "node", "n", "u"), "buckets")
+    placed = stored(bands_of.join(merge(stored(centres, "centres")), "bucket").select("bucket", "node", "n", "u"), "buckets")
     stars = placed.filter("node != u").select("u", F.col("node").alias("v")).distinct()
-    texts = flat.select(F.col("__uid").alias("node"), "text").join(placed.select("node").distinct(), "node", "left_semi")
+    texts = flat.select(F.col("__uid").alias("node"), "text").join(merge(placed.select("node").distinct()), "node", "left_semi")
     texts = stored(texts, "texts")
     tested = similarities(stars, texts, width).filter(F.col("both") * whole >= F.col("n") * part)
     edges = stored(tested.select("u", "v"), "stars")
     drop("bands", "centres")
     found = components(edges)
     # what is left: buckets that still hold several components
-    named = placed.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    named = placed.join(merge(found), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     named = stored(named, "named")
     several = stored(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket"), "several")
-    open_ = stored(named.join(several, "bucket"), "open")
-    sets = stored(shingle_sets(texts.join(open_.select("node").distinct(), "node", "left_semi"), width), "sets")
+    open_ = stored(named.join(merge(several), "bucket"), "open")
+    sets = stored(shingle_sets(texts.join(merge(open_.select("node").distinct()), "node", "left_semi"), width), "sets")
     drop("named", "several", "buckets", "texts")
     late = stored(block_links(open_, sets, part, whole), "late")
     drop("open", "sets")
-    if late.take(1):
-        found = components(edges.unionByName(late))
+    wider = components(late).select(F.col("node").alias("component"), F.col("component").alias("wider"))
     # a class tells its rows their component: the groups are made of classes, a row for each different set
-    docs = marks.filter("n > 0").select("uid", "set").join(flat.select(F.col("__uid").alias("uid"), "doc"), "uid")
+    docs = marks.filter("n > 0").select("uid", "set").join(merge(flat.select(F.col("__uid").alias("uid"), "doc")), "uid")
     first = docs.groupBy("set").agg(F.min("doc").alias("doc"), F.min(F.struct(F.col("doc").isNull(), "doc", "uid")).alias("first"))
-    of_class = stored(first.join(classes, "set").join(found, "node", "left").select("set", "doc", "first", F.coalesce("component", "node").alias("group")), "groups")
+    own = first.join(merge(classes), "set").join(merge(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_class = stored(own.join(merge(wider), "component", "left").select("set", "doc", "first", F.coalesce("wider", "component").alias("group")), "groups")
     best = of_class.groupBy("group").agg(F.min("doc").alias("component"), F.min("first").alias("first"))
-    told = stored(of_class.select("set", "group").join(stored(best, "best"), "group").select("set", "component", F.col("first.uid").alias("kept")), "told")
-    out = stored(marks.select("uid", "n", "set").join(told, "set", "left").select(F.col("uid").alias("__uid"), "n", "component", F.coalesce(F.col("kept") == F.col("uid"), F.lit(True)).alias("keep")), "result")
+    told = stored(of_class.select("set", "group").join(merge(stored(best, "best")), "group").select("set", "component", F.col("first.uid").alias("kept")), "told")
+    out = stored(marks.select("uid", "n", "set").join(merge(told), "set", "left").select(F.col("uid").alias("__uid"), "n", "component", F.coalesce(F.col("kept") == F.col("uid"), F.lit(True)).alias("keep")), "result")
     drop("signatures", "classes", "stars", "late", "groups", "best", "told")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__row.doc_id"))
-    return held.join(out, "__uid").select(*restored(documents.columns, {"__n": F.col("n"), "__component": own, "__keep": F.col("keep")}))
+    return held.join(merge(out), "__uid").select(*restored(documents.columns, {"__n": F.col("n"), "__component": own, "__keep": F.col("keep")}))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, restored
+from .common import Scratch, merge, numbered, restored
 
 BLOCK_WORDS = 20
 
@@ -119,7 +119,7 @@ def deletions(held: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     rows = stored(rows, "lines")
     # rare: held by another document too; counted and stored first, so that the join can be split at a frequent line
     owner = rows.groupBy("h").agg(F.min("at").alias("owner"), F.max("at").alias("other")).filter(F.col("owner") != F.col("other")).select("h")
-    shared = stored(rows.join(stored(owner, "owners"), "h"), "shared")
+    shared = stored(rows.join(merge(stored(owner, "owners")), "h"), "shared")
     scratch.drop("lines", "owners")
     lists = stored(shared.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("nth", "line", "h", "words"))).alias("own"), F.sum("words").alias("n")).filter(F.col("n") >= block_words).drop("n"), "lists")
     scratch.drop("shared")
@@ -136,7 +136,7 @@ def deletions(held: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     seeded = lists.mapInArrow(seeds, f"at {lists.schema['at'].dataType.simpleString()}, keys array<long>")
     keys = stored(seeded.select("at", F.explode("keys").alias("key")), "runs")
     first = keys.groupBy("key").agg(F.min("at").alias("owner"), F.max("at").alias("other")).filter("owner != other").select("key", "owner")
-    pairs = stored(keys.join(stored(first, "firsts"), "key").filter("at != owner").select("at", "owner").distinct(), "pairs")
+    pairs = stored(keys.join(merge(stored(first, "firsts")), "key").filter("at != owner").select("at", "owner").distinct(), "pairs")
     scratch.drop("runs", "firsts")
     later, earlier = lists.select("at", F.col("own").alias("a")), lists.select(F.col("at").alias("owner"), F.col("own").alias("b"))
 
@@ -147,7 +147,7 @@ def deletions(held: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             out = pd.DataFrame({"__uid": batch["__uid"], "cut": cuts})
             yield out[out["cut"].str.len() > 0]
 
-    met = pairs.join(later, "at").join(earlier, "owner").select(F.col("at.__uid").alias("__uid"), "a", "b").mapInPandas(run, "__uid long, cut array<int>")
+    met = pairs.join(merge(later), "at").join(merge(earlier), "owner").select(F.col("at.__uid").alias("__uid"), "a", "b").mapInPandas(run, "__uid long, cut array<int>")
     cuts = stored(met.groupBy("__uid").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut")), "cuts")
     scratch.drop("lists", "pairs")
     return cuts
@@ -159,7 +159,7 @@ def dedup_lines(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     text = F.col("__row.text").cast("string")
     cuts = deletions(held.select("__uid", F.col("__row.doc_id").alias("doc_id"), text.alias("text")), block_words)
     # the same plan at every size: the cuts grow with the documents, so they are never broadcast
-    out = held.join(cuts.hint("merge"), "__uid", "left").withColumn("__lines", F.split(text, "\n"))
+    out = held.join(merge(cuts), "__uid", "left").withColumn("__lines", F.split(text, "\n"))
     cut, lines = F.col("cut"), F.col("__lines")
     left = F.when(cut.isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(cut, i)), "\n"))
     out = out.withColumn("__left", left).filter(cut.isNull() | (F.trim(F.regexp_replace("__left", r"\s+", " ")) != ""))

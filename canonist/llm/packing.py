@@ -26,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, merge
 
 CAPACITY = 2048
 SHARD = 6000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 10
-POPULATION = 5
+GENERATIONS = 40
+POPULATION = 10
 LEVELS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Runs of spaces, white space other than \t\n\r and space, and the special token: such texts are encoded whole. In all
@@ -260,4 +260,4 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, ids: bool = False, **options) -> DataFrame:
     """Every piece of every document with the sequence it goes to and its offset there."""
     cut = Scratch(documents.sparkSession).stored(pieces(documents, tokenizer, capacity, end_id, ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    return cut.join(pack(cut.select("uid", "length"), capacity, **options), "uid").drop("uid")
+    return cut.join(merge(pack(cut.select("uid", "length"), capacity, **options)), "uid").drop("uid")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, merge
 
 #: Fixed values of the contract: kind, pattern, group whose length counts, least length; in the order of ties.
 BASE = [
@@ -64,7 +64,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[int,
     # one row of each blob before any join, so that no blob is hot in one
     blobs = scratch.stored(paths.groupBy("blob").agg(F.first("needs").alias("needs"), F.first("text").alias("text")), "blobs")
     pairs = blobs.withColumn("rules", F.explode(F.array(*map(F.lit, rules))))
-    unseen = pairs.join(seen.select("blob", "rules"), ["blob", "rules"], "left_anti")
+    unseen = pairs.join(merge(seen.select("blob", "rules")), ["blob", "rules"], "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -81,5 +81,5 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[int,
     known = seen.unionByName(new).filter(F.size("found") > 0).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
     keyed = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), place[x["kind"]].alias("nth"), x["end"].alias("end"), x["kind"].alias("kind"))))
     known = known.select("blob", F.transform(keyed, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("found"))
-    back = paths.select("doc_id", "blob").join(scratch.stored(known, "known"), "blob", "left")
+    back = paths.select("doc_id", "blob").join(merge(scratch.stored(known, "known")), "blob", "left")
     return back.withColumn("found", F.coalesce("found", F.expr(f"cast(array() as {FOUND})"))), new

