@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canonist.llm import decontam, dedup, lines, packing, quality
-from canonist.llm.common import Scratch, table
+from canonist.llm.common import Scratch, merge, table
 from canonist.llm.queries import tokenizer_path
 
 
@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a benchmark window go."""
     told = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
     same = docs["doc_id"].eqNullSafe(told["__d"]) & (F.xxhash64(docs["text"]) == told["__h"])
-    return docs.join(told, same, "left_anti").select(docs.columns)
+    return docs.join(merge(told), same, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
