@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canonist.functions import text as T
-from canonist.operators import diff, evalstats, rules, tree, verify, versions
+from canonist.operators import align, diff, evalstats, rules, tree, verify, versions
 
 
 def nodes(spark, rows):
@@ -48,7 +48,7 @@ def test_exact_interval(k, n, want):
 
 
 def test_soft_edits_allowed():
-    assert [verify.allowed(n) for n in (6, 19, 20, 39, 40)] == [0, 0, 1, 1, 2]
+    assert [align.allowed(n) for n in (6, 19, 20, 39, 40)] == [0, 0, 1, 1, 2]
 
 
 def test_best_window_against_brute_force():
@@ -65,16 +65,19 @@ def test_best_window_against_brute_force():
     for _ in range(150):
         q, t = rng.integers(0, 4, rng.integers(1, 6)), rng.integers(0, 4, rng.integers(1, 9))
         least = min(edits(q, t[a:b]) for a in range(len(t) + 1) for b in range(a, len(t) + 1))
-        cost, a, b = verify.best_window(q, t)
+        cost, a, b = align.best_window(q, t)
         assert cost == least == edits(q, t[a:b])
 
 
 def test_quotation_statuses(spark):
     base = "the provider shall not place on the market any of these twenty systems unless they have been checked by somebody else before"
-    corpus = spark.createDataFrame([(1, base), (2, "one text that is held twice here"), (3, "one text that is held twice here")], "id long, text string")
+    rows = [(str(i), t, i) for i, t in enumerate([base, "one text that is held twice here", "one text that is held twice here"], 1)]
+    corpus = spark.createDataFrame(rows, "id string, text string, ord long").withColumns({"version": F.lit("v"), "lang": F.lit("en"), "type": F.lit("article")})
     asked = spark.createDataFrame([(1, base.upper()), (2, base.replace("market", "bazaar")), (3, base.replace("shall not", "shall")), (4, base.replace("twenty", "17")), (5, "one text that is held twice here"), (6, "too short a one"), (7, "words that nobody ever wrote in any such place"), (8, None)], "quote_id long, quote string")
-    got = {r.quote_id: r.status for r in verify.verify(asked, corpus).collect()}
-    assert got == {1: "exact", 2: "fuzzy", 3: "mismatch_hard_token", 4: "mismatch_hard_token", 5: "multiple_matches", 6: "too_short", 7: "not_found", 8: "too_short"}
+    asked = asked.withColumns({"claimed": F.lit(None).cast("string"), "version": F.lit("v"), "lang": F.lit("en")})
+    chain = corpus.select("version", "lang", "id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    got = {r.quote_id: r.status for r in verify.verify(asked, corpus, chain).collect()}
+    assert got == {1: "fuzzy", 2: "fuzzy", 3: "mismatch_hard_token", 4: "mismatch_hard_token", 5: "multiple_matches", 6: "too_short", 7: "not_found", 8: "too_short"}
 
 
 def test_dates_and_claims(spark):
@@ -86,7 +89,7 @@ def test_dates_and_claims(spark):
 
 def test_normalize_and_hard_tokens(spark):
     row = spark.createDataFrame([("“A  b”\n\n c­–d é",)], "s string")
-    assert row.select(T.normalize(F.col("s"))).first()[0] == '"A b"\nc-d é'
+    assert row.select(T.normalize(F.col("s"))).first()[0] == '"A b"\nc–d é'
     toks = spark.createDataFrame([(["you", "may", "not", "5", "may", "six"],)], "t array<string>")
     assert toks.select(T.hard_flags(F.col("t"))).first()[0] == [False, False, True, True, True, True]
 
