@@ -7,7 +7,8 @@ Within a turn's span its text is located by rendering the prefix with two probe
 and behind is the template's own.
 
 Defined cases: a null text is empty, a null role is the role ""; turns of equal number keep the order of role and text;
-a conversation without turns does not occur; a null conv_id is one conversation of its own.
+a conversation without turns does not occur; a null conv_id is one conversation of its own; repeated rows are turns of their own; an
+empty table gives no rows; very long texts are whole. Only conv_id, turn, role and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ more: the Gaussian does not reach across its edges, and where the marked lines h
 stay whole, so that short paragraphs and headings do. All other lines, marked or not, are held against the threshold.
 
 Defined cases: a null html is empty; an empty or textless page gives an empty text; unclosed elements end where their
-parent does or where HTML implies it (a block ends a p, an li the li before it), a tag or comment cut off at the page's end is no text; equal pages are each a row; nothing is capped.
+parent does or where HTML implies it (a block ends a p, an li the li before it), a tag or comment cut off at the page's end is no text; equal pages are each a row; nothing is capped; an empty table gives no rows.
+Only page_id, url and html are read, so other columns can't clash.
 """
 
 from __future__ import annotations

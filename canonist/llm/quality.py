@@ -6,7 +6,7 @@ each pattern. Those posteriors are the labels on which a linear scorer over hash
 sample of the documents. The scorer then decides on every whole text; no hand-made label is used.
 
 Defined cases: a null or empty text has no evidence against it and stays with score 0.5; equal texts get equal scores;
-an empty table trains nothing and gives no rows.
+an empty table trains nothing and gives no rows; very long texts are whole. __score and __keep replace columns of these names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ disguise (digits or signs for letters). Trees are boosted on part of the labelle
 
 All that is learned comes from at most `sample` labelled rows of each label, those with the least hash, so the driver holds
 a bounded table; every text is scored. Defined cases: a null or empty text is scored as one without words; labels that are
-null, or of no document, teach nothing; a document with both labels counts as toxic; without labels the score is 0.
+null, or of no document, teach nothing; a document with both labels counts as toxic; without documents of both labels the score
+is 0. Very long texts are whole; equal texts get equal scores; an empty table gives no rows. Only doc_id and text are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import Scratch
 #: Labelled rows of either label, at most, that anything is learned from.
 SAMPLE = 4_000
 LEXICON = 6_000
+#: Rows of either label below which the lexicon learns from those that calibrate too.
+FEW = 200
 WORD = re.compile(r"[^\W\d_]{2,}")
 #: Second-person pronouns of the languages at hand.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú usted ustedes vosotros vos ti tus".split())
@@ -160,14 +164,14 @@ def learned(documents: DataFrame, labels: DataFrame, usable: Callable[[Column],
         for batch in batches:
             of = [units(t) for t in batch["text"]]
             sizes = [len(x) for x in of]
-            yield pd.DataFrame({"unit": [u for x in of for u in x], "toxic": np.repeat(batch["toxic"].to_numpy(), sizes)})
+            if sum(sizes):
+                yield pd.DataFrame({"unit": [u for x in of for u in x], "toxic": np.repeat(batch["toxic"].to_numpy(), sizes)})
 
-    # what calibrates is kept out of the lexicon too; with too few rows for that, everything learns
+    # what calibrates is kept out of the lexicon too, but where few rows are known: there the lexicon needs them all
     fits = {(r["toxic"], r["calibrates"]): r["count"] for r in texts.groupBy("toxic", "calibrates").count().collect()}
-    apart = all(fits.get((k, c)) for k in (0, 1) for c in (False, True))
-    texts = texts.withColumn("calibrates", F.col("calibrates") & F.lit(apart))
-    n1, n0 = (float(fits.get((k, False), 0) + (0 if apart else fits.get((k, True), 0))) for k in (1, 0))
-    per = texts.filter("not calibrates").select("text", "toxic").mapInPandas(split, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    taught = texts.filter("not calibrates") if fits.get((1, False), 0) >= FEW and fits.get((0, False), 0) >= FEW else texts
+    n1, n0 = (float(taught.filter(F.col("toxic") == k).count()) for k in (1, 0))
+    per = taught.select("text", "toxic").mapInPandas(split, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 1.5 * n0 / max(1.0, n1)) / (n0 + 1))
     lexicon = dict(per.filter("a >= 3").withColumn("odds", odds).filter("odds >= 1.5").orderBy(F.desc("odds"), "unit").limit(LEXICON).select("unit", "odds").collect())
 
@@ -178,6 +182,8 @@ def learned(documents: DataFrame, labels: DataFrame, usable: Callable[[Column],
             yield batch
 
     rows = texts.select("text", "toxic", "calibrates", "doc_id").mapInPandas(run, f"toxic int, calibrates boolean, doc_id {dict(texts.dtypes)['doc_id']}, x array<double>").orderBy("doc_id").limit(4 * sample).collect()
+    if len({r["toxic"] for r in rows}) < 2:
+        return None
     x, y, late = np.asarray([r["x"] for r in rows]), np.asarray([r["toxic"] for r in rows], float), np.asarray([r["calibrates"] for r in rows])
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))  # as common as among all labels
     if len({*y[late]}) < 2 or len({*y[~late]}) < 2:
