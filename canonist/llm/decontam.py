@@ -47,7 +47,7 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 def frequencies(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: how often each of these different terms stands in the documents."""
     counts = tokens.select(F.explode("ws").alias("term")).groupBy("term").count()  # summed where they stand, so no term is hot
-    return terms.join(counts, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
+    return terms.join(merge(counts), "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
 
 
 def maybe_one_of(terms: DataFrame):
