@@ -145,10 +145,12 @@ def changed_dates(found: DataFrame, older: DataFrame, entries: DataFrame) -> Dat
     return out.withColumn("changed", F.coalesce(F.col("marked"), F.lit(False)) | F.coalesce(moved, F.lit(False))).drop("marked", "timed", "was")
 
 
-def obligations_of(profiles: DataFrame, obligations: list[dict], key: str = "profile_id", dates: dict[str, str] | None = None, anchored: dict[str, str] | None = None) -> DataFrame:
+def obligations_of(profiles: DataFrame, obligations: list[dict], key: str = "profile_id", dates: dict[str, str] | None = None, anchored: dict[str, str] | None = None, scope: str | None = None) -> DataFrame:
     """key, as_of, id, effective (never before not_before; null where it depends), literal, routes, status (applicable, upcoming, depends),
     days until it applies (null where it depends). profiles hold roles (an array) and as_of (ISO string). One pass over the profiles, no
-    join. dates: of the rules that timings name; anchored: of the anchors' own rules, by entry."""
+    join. dates: of the rules that timings name; anchored: of the anchors' own rules, by entry; scope: a field that is false where nothing
+    applies at all."""
+    inside = F.coalesce(F.col(scope), F.lit(True)) if scope else F.lit(True)
 
     def entry(o: dict) -> Column:
         role = F.coalesce(F.arrays_overlap("roles", F.array(*map(F.lit, o["roles"]))), F.lit(False)) if o.get("roles") else F.lit(True)
@@ -157,7 +159,7 @@ def obligations_of(profiles: DataFrame, obligations: list[dict], key: str = "pro
         else:
             date = F.lit(o.get("effective")).cast("string")
             since, literal, routes = F.when(date.isNull(), date).otherwise(F.greatest(date, F.lit(o.get("not_before")).cast("string"))), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-        return F.when(role & condition(o.get("applies_if")), F.struct(F.lit(o["id"]).alias("id"), since.alias("effective"), literal.alias("literal"), routes.alias("routes")))
+        return F.when(inside & role & condition(o.get("applies_if")), F.struct(F.lit(o["id"]).alias("id"), since.alias("effective"), literal.alias("literal"), routes.alias("routes")))
 
     met = profiles.select(key, "as_of", F.explode(F.filter(F.array(*map(entry, obligations)), lambda e: e.isNotNull())).alias("e")).select(key, "as_of", "e.*")
     status = F.when(F.col("effective").isNull(), "depends").when(F.col("effective") <= F.col("as_of"), "applicable").otherwise("upcoming")

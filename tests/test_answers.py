@@ -119,6 +119,7 @@ def test_fields_dates_and_changes(spark):
     got = {(r.profile_id, r.id): (r.effective, r.literal, r.routes, r.status, r.days) for r in found.collect()}
     assert got[1, "both"] == ("2027-12-02", "2026-08-02", ["2027-12-02", "2028-08-02"], "upcoming", 423) and got[3, "both"][0] == "2028-08-02" and got[2, "both"][:3] == ("2026-08-02", None, None)
     assert got[1, "simple"][:3] == ("2027-12-02", None, None) and got[3, "simple"][0] == "2026-08-02" and got[1, "late"][0] == "2030-01-01" and got[1, "open"][3:] == ("depends", None)
+    assert {r.profile_id for r in E.obligations_of(profiles, rules_, dates=dates, scope="high_risk_annex_iii").collect()} == {1, 3}
     older = spark.createDataFrame([("n1", "2026-08-02"), ("n2", "2030-01-01")], "id string, applies_from string")
     entries = spark.createDataFrame([("both", "n1", False, True), ("simple", "gone", True, True), ("late", "n2", False, True), ("open", "n1", False, False)], "id string, anchor string, marked boolean, timed boolean")
     assert {r.id: r.changed for r in E.changed_dates(found.filter("profile_id = 1"), older, entries).collect()} == {"both": True, "simple": True, "late": False, "open": False}
