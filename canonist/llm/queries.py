@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, dedup, html, lines, packing, quality, secrets, toxicity
+from . import ann, chat, decontam, dedup, html, interplay, lines, packing, quality, repair, secrets, tokens, toxicity
 from .common import table
 
 
@@ -95,3 +95,66 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op6_line_dedup, op7_main_text, op8_quality, op9_toxicity, op10_secrets)}
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interplay.interplay(interplay.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES |= {f.__name__: f for f in (op11_token_counts, op12_filter_audit, op13_repair)}
+
+ORACLE_SQL |= {
+    "op12_filter_audit": r"""
+with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+low as (select t, min(doc_id) lowest from d group by t),
+lab as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by doc_id),
+m as (select part, coalesce(good, 0) good, coalesce(lab.toxic, 0) toxic,
+             map {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t),
+                  'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > lowest, false)} f
+      from d join low using (t) left join lab on lab.doc_id = d.doc_id),
+p as (select 'ABCDE'[a.i] a, 'ABCDE'[b.i] b, 'ABCDE'[c.i] c, 'ABCDE'[e.i] e, 'ABCDE'[g.i] g from range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) e(i), range(1, 6) g(i)
+      where len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5),
+o as (select a || b || c || e || g filter_order from p),
+s as (select filter_order, step, filter_order[step] own, filter_order[1 : step - 1] earlier from o, range(1, 6) r(step)),
+x as (select part, filter_order, step, own, f[own] fails, len(list_filter(map_keys(f), lambda k: f[k] and contains(earlier, k))) > 0 gone, len(list_filter(map_values(f), lambda v: v)) n, good, toxic from m, s),
+r as (select part, filter_order, step::int step, own, count(*) filter (not fails and not gone) kept, count(*) filter (fails and not gone) removed, count(*) filter (fails and gone) redundant, count(*) filter (fails and n = 1) unique_fails,
+             count(*) filter (fails and not gone and good = 1) good_lost, count(*) filter (fails and not gone and toxic = 1) toxic_lost from x group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint shapley from r""",
+    "op13_repair": r"""
+with recursive c as (select conv_id, turn, coalesce(conv_id::varchar, ' ') k, coalesce(role, ' ') role, coalesce(text, ' ') t, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') mark from conversations),
+-- the checksum, bit by bit
+b as (select mark, flatten(list_transform(string_split(mark, ''), lambda ch: list_transform(range(8), lambda j: (ascii(ch) >> j) & 1))) bits from (select distinct mark from c)),
+crc as (select mark, xor(list_reduce(list_prepend(4294967295::bigint, bits), lambda x, y: xor(x >> 1, 3988292384 * (xor(x, y) & 1))), 4294967295::bigint) % 20 fate from b),
+d as (select k, turn, case when fate = 4 then 'user' else role end role, case fate when 1 then '' when 2 then regexp_replace(t, '[.!?]', '', 'g') else t end t, unnest(case when fate = 3 then [1, 2] else [1] end) from c join crc using (mark) where fate <> 0),
+n as (select *, row_number() over (partition by k order by turn nulls first, role, sha256(t)) i, row_number() over (partition by k, role, t order by turn nulls first) nth, regexp_replace(t, '[\x20\x09-\x0D]+$', '') cut from d),
+g as (select *, case when cut = '' then 'blank' when nth > 1 then 'duplicate' when right(cut, 1) not in ('.', '!', '?') then 'truncated' else '' end fault, left(role, 1) r0 from n),
+p as (select *, coalesce(lag(r0) over (partition by k order by i) || r0 not in ('su', 'ua', 'au'), false) bad from g),
+-- for each state of the roles so far (nothing, system, user, assistant): cost, audit, repaired rows; the least of these is kept
+w as (select k, 0::bigint i, {'c': 0::bigint, 'a': '', 'o': []::varchar[]} e, {'c': 1000000000::bigint, 'a': '', 'o': []::varchar[]} s, {'c': 2::bigint, 'a': 'I', 'o': ['user:']} u, {'c': 4::bigint, 'a': 'II', 'o': ['user:', 'assistant:']} a from (select distinct k from c)
+      union all
+      select k, i, e, s,
+             least(u1, {'c': a1.c + 2, 'a': a1.a || 'I', 'o': list_append(a1.o, 'user:')}, {'c': e.c + 2, 'a': e.a || 'I', 'o': list_append(e.o, 'user:')}, {'c': s.c + 2, 'a': s.a || 'I', 'o': list_append(s.o, 'user:')}) u,
+             least(a1, {'c': u1.c + 2, 'a': u1.a || 'I', 'o': list_append(u1.o, 'assistant:')}, {'c': e.c + 4, 'a': e.a || 'II', 'o': e.o || ['user:', 'assistant:']}, {'c': s.c + 4, 'a': s.a || 'II', 'o': s.o || ['user:', 'assistant:']}) a
+      from (select w.k, p.i,
+                   {'c': e.c + 3, 'a': e.a || 'D', 'o': e.o} e,
+                   least({'c': s.c + 3, 'a': s.a || 'D', 'o': s.o}, {'c': e.c + late + if(r0 = 's', 0, never), 'a': e.a || 'K', 'o': list_append(e.o, role || ':' || t)}) s,
+                   least({'c': u.c + 3, 'a': u.a || 'D', 'o': u.o},
+                         {'c': e.c + late + if(r0 = 'u', 0, never), 'a': e.a || 'K', 'o': list_append(e.o, role || ':' || t)}, {'c': s.c + late + if(r0 = 'u', 0, never), 'a': s.a || 'K', 'o': list_append(s.o, role || ':' || t)},
+                         {'c': a.c + late + if(r0 = 'u', 0, never), 'a': a.a || 'K', 'o': list_append(a.o, role || ':' || t)},
+                         {'c': e.c + late + 2, 'a': e.a || 'R', 'o': list_append(e.o, 'user:' || t)}, {'c': s.c + late + 2, 'a': s.a || 'R', 'o': list_append(s.o, 'user:' || t)}, {'c': a.c + late + 2, 'a': a.a || 'R', 'o': list_append(a.o, 'user:' || t)}) u1,
+                   least({'c': a.c + 3, 'a': a.a || 'D', 'o': a.o}, {'c': u.c + late + if(r0 = 'a', 0, never), 'a': u.a || 'K', 'o': list_append(u.o, role || ':' || t)}, {'c': u.c + late + 2, 'a': u.a || 'R', 'o': list_append(u.o, 'assistant:' || t)}) a1
+            from w join (select *, 1000000000 never, case when fault in ('blank', 'duplicate') then 1000000000 when fault = 'truncated' then 1 else 0 end late from p) p on p.k = w.k and p.i = w.i + 1)),
+z as (select k, least(e, a) x from w qualify row_number() over (partition by k order by i desc) = 1),
+f as (select k, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint gaps, count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') duplicate, count(*) filter (fault = 'truncated') truncated, count(*) filter (bad) illegal from p group by k),
+ids as (select distinct conv_id, k from c)
+select conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, x.c cost, x.a audit, sha256(array_to_string(x.o, chr(10))) repaired_sha256
+from ids join z using (k) left join f using (k)""",
+}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from canonist.llm import ann, chat, decontam, dedup, html, lines, packing, quality, secrets, toxicity
+from canonist.llm import ann, chat, decontam, dedup, html, lines, packing, quality, secrets, tokens, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 CLASH = "__uid __row __n __component __keep __lines __cut __left __score uid node component keep cut piece start length ids place ws postings text_hash n_hit items blob found needs h votes doc score toxic set bands".split()
@@ -17,6 +17,7 @@ OPS = {
     "quality": lambda spark, d: quality.classify(d),
     "toxicity": lambda spark, d: toxicity.score(d, spark.createDataFrame([(3, 1), (5, 0), (None, 1), (99, None)], "doc_id long, toxic int")),
     "secrets": lambda spark, d: secrets.scan(d, rules=(1, 2))[0],
+    "tokens": lambda spark, d: tokens.count_tokens(d, P.path("byte_bpe_50k.json")),
 }
 
 
