@@ -79,7 +79,7 @@ class SentencePieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
         kept = self.model.decode(self.model.encode("a  b ")) == "a  b "
-        if any("\u2581" in piece.lstrip("\u2581") for piece in pieces) or not kept:
+        if any("\u2581" in piece.lstrip("\u2581") for piece in pieces) or not kept or self.model.piece_to_id("\u2581") == self.model.unk_id():
             raise ValueError(f"{path}: its pieces reach over white space")
         self.pattern = chunks(" ", "\u2581")
 
@@ -90,7 +90,7 @@ class SentencePieces:
         return [chunk]
 
     def pieces(self, word: str) -> int:
-        return len(self.model.encode(word[1:]))  # the model puts the space in front again
+        return len(self.model.encode(word[1:])) or 1  # the model puts the space in front again, but not before nothing
 
 
 @functools.cache
