@@ -54,7 +54,11 @@ def test_pretokens_are_those_of_the_library():
 def test_each_pretoken_is_counted_once(spark, tmp_path):
     docs = spark.createDataFrame([(i, "the same words here again") for i in range(50)], "doc_id long, text string").repartition(8)
     held = tokens.blocks(docs, P.path("byte_bpe_50k.json"), 60)
-    assert held.select(F.explode("words").alias("w")).groupBy("w").count().filter("count > 20").count() == 5  # blocks of two documents
+    held = held.persist()
+    words = [w for r in held.collect() for w in tokens.unpacked_words(r.words)]
+    assert len(set(words)) == 5 and all(words.count(w) == held.count() for w in words)
+    counted = tokens.piece_counts(tokens.ranges(held, 3), P.path("byte_bpe_50k.json"))
+    assert {r.nth for r in counted.collect()} == {0, 1, 2} and {r.n_words for r in held.collect()} == {5}
     assert held.count() > 20 and {r.n_tokens for r in tokens.count_tokens(docs, P.path("byte_bpe_50k.json"), size=60).collect()} == {5}
 
 
