@@ -117,10 +117,10 @@ def search_shown(spark, sf_dir):
 # Texts ----------------------------------------------------------------------------------------------------------------
 
 _FOLDED = "translate(nfc_normalize({0}), '‘’‚‛‹›“”„‟«»‐‑' || chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279), '" + "''" * 6 + '"' * 6 + "--')"
-_PLAIN = "array_to_string(list_filter(list_transform(string_split_regex(" + _FOLDED + r", '\r\n|\r|\n|\x{{2028}}|\x{{2029}}'), lambda x: trim(regexp_replace(x, '[\t\n\x0B\f\r \x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+PLAIN = "array_to_string(list_filter(list_transform(string_split_regex(" + _FOLDED + r", '\r\n|\r|\n|\x{{2028}}|\x{{2029}}'), lambda x: trim(regexp_replace(x, '[\t\n\x0B\f\r \x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
 
 
-@query("select doc_id, sha256(" + _PLAIN.format("text") + ") normal, length(" + _PLAIN.format("text") + ")::int n_chars from documents where text is not null")
+@query("select doc_id, sha256(" + PLAIN.format("text") + ") normal, length(" + PLAIN.format("text") + ")::int n_chars from documents where text is not null")
 def text_normalized(spark, sf_dir):
     """Digest and length of every text in its normal form."""
     normal = T.normalize(F.col("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import diff, eligibility, evalstats, rules, search, tree, verify, versions, worddiff
 from ..sources import io
-from . import audits, derive, logs  # noqa: F401  they register their own
+from . import acts, audits, derive, logs  # noqa: F401  they register their own
 from .derive import LOG_SQL, NODES_SQL, RESOLVED_SQL, table
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
@@ -268,7 +268,7 @@ def source_rejects(spark, sf_dir):
     return io.validate(given.unionByName(given.filter(d % 13 == 0)), "doc_id", rules_)[1]
 
 
-@query("select doc_id, sha256(text) hash, sha256(" + logs._PLAIN.format("lang") + " || chr(10) || " + logs._PLAIN.format("text") + ") node_hash from documents where text is not null and lang is not null")
+@query("select doc_id, sha256(text) hash, sha256(" + logs.PLAIN.format("lang") + " || chr(10) || " + logs.PLAIN.format("text") + ") node_hash from documents where text is not null and lang is not null")
 def text_hashes(spark, sf_dir):
     """Content hash, and the hash of normal heading and text."""
     return table(spark, sf_dir, "documents").filter("text is not null and lang is not null").select("doc_id", F.sha2("text", 256).alias("hash"), T.node_hash(F.col("lang"), F.col("text")).alias("node_hash"))
