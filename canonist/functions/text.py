@@ -79,10 +79,16 @@ def node_hash(heading: Column, text: Column, compose: bool = True) -> Column:
     return F.sha2(F.concat(normalize(F.coalesce(heading, F.lit("")), compose), F.lit("\n"), normalize(F.coalesce(text, F.lit("")), compose)), 256)
 
 
+MARK = "\uffff"
+
+
 def matches(s: Column, pattern: str) -> Column:
     """start, end (code points, end exclusive) and text of every match of a pattern, in order. The pattern matches no empty text.
-    What stands between the matches tells where they are, so no regex engine but the JVM's is needed."""
-    found, between = F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), F.split(s, pattern, -1)
+    What stands between the matches tells where they are, so no regex engine but the JVM's is needed. The matches are replaced by
+    one mark and the text is split there, since a split by the pattern itself would compile it anew for every text. Should the text
+    hold the mark, which is no character, it reads as U+FFFD."""
+    s = F.translate(s, MARK, "\ufffd")
+    found, between = F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), F.split(F.regexp_replace(s, pattern, MARK), MARK, -1)
     # one more stands between than is found: the last pair has no match
     pairs = F.zip_with(between, found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")))
     none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
