@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from decimal import Decimal
 from functools import reduce
 
 import pandas as pd
@@ -269,17 +271,52 @@ def claim_holds(claim: Column, answer: Column) -> Column:
     return F.coalesce(F.when(bare, fold(first(answer)) == wanted).otherwise(F.contains(F.lower(answer), F.lower(F.trim(claim)))), F.lit(False))
 
 
-def canonical_json(s: Column) -> Column:
-    """A JSON text with sorted keys, without white space, letters as they are; null where it is no JSON."""
+def es_number(x: float) -> str:
+    """A double as ECMAScript writes it: shortest digits, exponents from 1e21 on and below 1e-6."""
+    if x != x or x in (float("inf"), float("-inf")):
+        return "null"
+    if x == 0:
+        return "0"
+    _, digits, exponent = Decimal(repr(abs(x))).as_tuple()
+    s = "".join(map(str, digits)).lstrip("0")
+    point, s = len(s) + exponent, s.rstrip("0")
+    if point > 21 or point <= -6:
+        power = f"e{'+' if point > 0 else '-'}{abs(point - 1)}"
+        told = s[0] + ("." + s[1:] if len(s) > 1 else "") + power
+    elif point <= 0:
+        told = "0." + "0" * -point + s
+    else:
+        told = s.ljust(point, "0") if len(s) <= point else f"{s[:point]}.{s[point:]}"
+    return "-" * (x < 0) + told
+
+
+def _refused(name: str):
+    raise ValueError(name)
+
+
+def _decoder() -> json.JSONDecoder:
+    """Numbers are doubles, whatever they look like; NaN and its like are no JSON."""
+    return json.JSONDecoder(parse_int=float, parse_float=float, parse_constant=_refused)
 
-    def plain(x):
-        if isinstance(x, dict):
-            return {k: plain(v) for k, v in x.items()}
-        return [plain(v) for v in x] if isinstance(x, list) else int(x) if isinstance(x, float) and x.is_integer() else x
+
+def _canonical(x) -> str:
+    if isinstance(x, dict):
+        told = sorted(x.items(), key=lambda kv: kv[0].encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{_canonical(k)}:{_canonical(v)}" for k, v in told) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(_canonical, x)) + "]"
+    if isinstance(x, float):
+        return es_number(x)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(x, ensure_ascii=False))
+
+
+def canonical_json(s: Column) -> Column:
+    """A JSON text with keys sorted by UTF-16 units, without white space, letters as they are, numbers as ECMAScript writes them; null where it
+    is no JSON."""
 
     def one(t: str) -> str | None:
         try:
-            return json.dumps(plain(json.loads(t)), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+            return _canonical(_decoder().decode(t))
         except ValueError:
             return None
 
@@ -293,18 +330,15 @@ def parse_answer(s: Column) -> Column:
     """The fields of the first JSON object in a model's text (in a fence, if one holds any), as strings; null without an object."""
     told = ", ".join(f"{f} string" for f in ANSWER)
 
-    def refuse(name: str):
-        raise ValueError(name)
-
     def one(t: str | None) -> str | None:
         at = -1 if t is None else t.find("{")
         if at < 0:
             return None
         try:
-            value, _ = json.JSONDecoder(parse_constant=refuse).raw_decode(t, at)
+            value, _ = _decoder().raw_decode(t, at)
         except ValueError:
             return None
-        text = lambda v: v if isinstance(v, str) else json.dumps(v)
+        text = lambda v: v if isinstance(v, str) else _canonical(v)
         return json.dumps({f: text(value[f]) for f in ANSWER if isinstance(value.get(f), str | int | float | bool)})
 
     fence = F.regexp_extract(s, r"(?is)```(?:json)?[ \t]*\r?\n?(.*?)```", 1)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import verify
 from ..sources import markup
+from .audits import NORM
 from .derive import table
 from .logs import PLAIN
 from .registry import query
@@ -61,3 +64,41 @@ def source_acts_refused(spark, sf_dir):
     twice = F.concat(first, F.when(F.startswith(first, F.lit("<div id")), "</div>").otherwise(""))
     html = F.concat(F.substring_index("html", "</div></div></body>", 1), F.when(first != "", twice).otherwise(""), F.lit("</div></div></body></html>"))
     return markup.parse_acts(pages.withColumn("html", html))[1]
+
+
+_SMALL = "case when n <= -6 then s[1] || case when len(s) > 1 then '.' || s[2:] else '' end || 'e-' || (1 - n) else '0.' || repeat('0', (-n)::int) || s end"
+_BIG = "case when len(k) + 19 > 21 then s[1] || case when len(s) > 1 then '.' || s[2:] else '' end || 'e+' || (len(k) + 18) else k || repeat('0', 19) end"
+
+
+@query(f"""with k_ as (select o_orderkey, (o_orderkey + 1)::varchar k, rtrim((o_orderkey + 1)::varchar, '0') s, len((o_orderkey + 1)::varchar) - 9 n from orders)
+select o_orderkey k, case when o_orderkey % 7 = 3 then null else '{{"big":' || {_BIG} || ',"half":-' || k || '.5,"list":[0,' || k || ',null],"small":' || {_SMALL} || ',"' || chr(65536) || '":1,"' || chr(57344) || '":2}}' end canonical from k_""")
+def text_canonical_numbers(spark, sf_dir):
+    """JSON whose numbers are small, big, halves and whole ones written with fractions, with keys in and beyond the basic plane; every seventh holds
+    what is no JSON."""
+    k = (F.col("o_orderkey") + 1).cast("string")
+    parts = [F.lit('{"\ue000": 2.0, "\U00010000": 1e0, "small":'), k, F.lit('e-9, "list":[-0.0, '), k, F.lit(".000, "), F.when(F.col("o_orderkey") % 7 == 3, "NaN").otherwise("1e999"), F.lit('], "half":-'), k, F.lit('.50, "big":'), k, F.lit("e19}")]
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), T.canonical_json(F.concat(*parts)).alias("canonical"))
+
+
+@query(rf"""with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[A-Za-z0-9]')) l from documents where text is not null),
+q_ as (select doc_id, array_to_string(list_filter(string_split(l[1], ' '), lambda x: x <> '')[-6:], ' ') || ' ' || array_to_string(list_filter(string_split(l[2], ' '), lambda x: x <> '')[1:6], ' ') q from l where len(l) > 1),
+q as (select doc_id, {NORM.format("q")} n from q_), d as (select doc_id, {NORM.format("text")} n from documents where text is not null), one as (select {NORM.format("x")} n from (select unnest(l) x from l)),
+met as (select q.doc_id, min(d.doc_id) root from q join d on contains(d.n, q.n) group by q.doc_id), alone as (select q.doc_id, count(*) c from q join one on contains(one.n, q.n) group by q.doc_id)
+select q.doc_id quote_id, case when len(string_split(trim(n), ' ')) < 6 then 'too_short' when c > 1 then 'multiple_matches' when c = 1 then 'exact' else 'multi_node' end status,
+ case when len(string_split(trim(n), ' ')) >= 6 and c is null then root end root from q left join met using (doc_id) left join alone using (doc_id)""")
+def quotes_over_nodes(spark, sf_dir):
+    """The end of every document's first line and the beginning of its second one as a quotation: which document holds it over its lines?"""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x.rlike("[A-Za-z0-9]")).alias("l"))
+    words = lambda i: F.filter(F.split(F.get("l", F.lit(i)), " "), lambda w: w != "")
+    tail = F.when(F.size(words(0)) > 6, F.slice(words(0), -6, 6)).otherwise(words(0))
+    quotes = docs.filter(F.size("l") > 1).select(F.col("doc_id").alias("quote_id"), F.array_join(F.concat(tail, F.slice(words(1), 1, 6)), " ").alias("quote"))
+    at = F.col("doc_id").cast("long") * 100_000
+    fixed = [F.lit("v1").alias("version"), F.lit("en").alias("lang")]
+    lines = docs.select("doc_id", F.posexplode("l").alias("p", "text")).select(*fixed, F.concat_ws(".", "doc_id", "p").alias("id"), F.lit("paragraph").alias("type"), (at + F.col("p") + 1).alias("ord"), "text", F.col("doc_id").cast("string").alias("root"))
+    heads = docs.select(*fixed, F.col("doc_id").cast("string").alias("id"), F.lit("article").alias("type"), at.alias("ord"), F.lit("").alias("text"))
+    own = lambda df, up, far: df.select("version", "lang", "id", F.col(up).alias("ancestor"), F.lit(far).alias("distance"))
+    chain = own(heads, "id", 0).unionByName(own(lines, "id", 0)).unionByName(own(lines, "root", 1))
+    asked = quotes.withColumn("claimed", F.lit(None).cast("string")).withColumn("version", F.lit("v1")).withColumn("lang", F.lit("en"))
+    told = verify.verify(asked, lines.drop("root").unionByName(heads), chain)
+    root = F.when(F.col("status") == "multi_node", F.substring_index(F.col("candidates")[0]["id"], ".", 1).cast("long"))
+    return told.select("quote_id", "status", root.alias("root"))
