@@ -200,3 +200,14 @@ def test_quotes_verified_searches_every_passage_whole(spark, tmp_path):
     spark.createDataFrame([(0, text), (3, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.quote_id: r.status for r in queries.QUERIES["quotes_verified"](spark, str(tmp_path)).collect()}
     assert got == {0: "exact", 3: "exact", -4: "too_short"}
+
+
+def test_closure_of_a_long_chain_and_of_lost_parents(spark):
+    """300 nodes one below the other in ten rounds; a parent that is no node is an ancestor, but has no row of its own."""
+    rows = [("v", f"n{i}", f"n{i - 1}" if i else None) for i in range(300)] + [("v", "x", "lost"), ("w", "n1", "n0")]
+    got = [(r.version, r.id, r.ancestor, r.distance) for r in tree.closure(spark.createDataFrame(rows, "version string, id string, parent string")).collect()]
+    want = {("v", f"n{i}", f"n{j}", i - j) for i in range(300) for j in range(i + 1)} | {("v", "x", "x", 0), ("v", "x", "lost", 1), ("w", "n1", "n1", 0), ("w", "n1", "n0", 1)}
+    assert len(got) == len(want) and set(got) == want
+    with pytest.raises(ValueError, match="lead back"):
+        tree.closure(spark.createDataFrame([("v", "a", "c"), ("v", "b", "a"), ("v", "c", "b"), ("v", "d", "c")], "version string, id string, parent string"))
+    assert tree.closure(spark.createDataFrame([], "version string, id string, parent string")).count() == 0
