@@ -134,7 +134,8 @@ with recursive c as (select conv_id, turn, coalesce(conv_id::varchar, ' ') k, co
 b as (select mark, flatten(list_transform(string_split(mark, ''), lambda ch: list_transform(range(8), lambda j: (ascii(ch) >> j) & 1))) bits from (select distinct mark from c)),
 crc as (select mark, xor(list_reduce(list_prepend(4294967295::bigint, bits), lambda x, y: xor(x >> 1, 3988292384 * (xor(x, y) & 1))), 4294967295::bigint) % 20 fate from b),
 d as (select k, turn, case when fate = 4 then 'user' else role end role, case fate when 1 then '' when 2 then regexp_replace(t, '[.!?]', '', 'g') else t end t, unnest(case when fate = 3 then [1, 2] else [1] end) from c join crc using (mark) where fate <> 0),
-n as (select *, row_number() over (partition by k order by turn nulls first, role, sha256(t)) i, row_number() over (partition by k, role, t order by turn nulls first) nth, regexp_replace(t, '[\x20\x09-\x0D]+$', '') cut from d),
+m as (select *, row_number() over (partition by k order by turn nulls first, role, sha256(t)) i from d),
+n as (select *, row_number() over (partition by k, role, t order by i) nth, regexp_replace(t, '[\x20\x09-\x0D]+$', '') cut from m),
 g as (select *, case when cut = '' then 'blank' when nth > 1 then 'duplicate' when right(cut, 1) not in ('.', '!', '?') then 'truncated' else '' end fault, left(role, 1) r0 from n),
 p as (select *, coalesce(lag(r0) over (partition by k order by i) || r0 not in ('su', 'ua', 'au'), false) bad from g),
 -- for each state of the roles so far (nothing, system, user, assistant): cost, audit, repaired rows; the least of these is kept
