@@ -31,7 +31,7 @@ BLOCK = 8_000_000  # characters of a block; a longer text is a block of its own
 RANGE = 200_000  # pre-tokens of all blocks that meet in one range of the hash, on average
 LIMIT = 512
 #: Characters that every library takes for white space, and those that some of them do.
-SPACE, PERHAPS = r" \t\n\r\x0b\x0c", r"\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿"
+SPACE, PERHAPS = r" \t\n\r\x0b\x0c", r"\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
 BLOCKS = "block long, n_words long, words binary, doc_ids array<long>, bytes array<long>, upto array<long>, places binary, times binary"
 RANGES = "block long, nth long, words binary"
 COUNTED = "doc_id long, n_bytes long, n_tokens long"
