@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
+from .ranges import near
 
 
 def keys_of(nodes: DataFrame) -> list[str]:
@@ -90,23 +91,34 @@ ROOTS = ("article", "annex", "recital")
 
 def neighbours(nodes: DataFrame, other: DataFrame, most: int = 30) -> DataFrame:
     """version, id, before, after, children, siblings (how many), nearest (id and missing of the `most` nearest siblings by distance
-    of ord, ties to the earlier one, in document order), missing (not in the other version)."""
-    beside = Window.partitionBy("version", "parent", "type").orderBy("ord")
+    of ord, ties to the earlier one, in document order), missing (not in the other version). Nodes are laid out in order and dealt by
+    blocks of places, so no task holds all children of a parent, or all roots."""
     kids = nodes.filter("parent is not null").groupBy("version", F.col("parent").alias("id")).agg(F.count("id").alias("children"))
     there = other.select("id", F.lit(False).alias("gone")).distinct()
     root, number = F.col("type").isin(*ROOTS), F.nullif(F.regexp_extract("id", r"^([a-z]+_\d+)[a-z]*$", 1), F.lit(""))
     out = nodes.join(there, "id", "left").withColumn("missing", F.coalesce("gone", F.lit(True)))
-    out = out.select("version", "id", "parent", "type", "ord", "missing", F.struct("ord", "id", "missing").alias("self"), F.when(~root, F.col("parent")).alias("p"), F.when(root | F.col("parent").isNull(), F.col("type")).alias("t"), F.when(root, F.coalesce(number, F.col("id"))).alias("f"))
-    group, along = Window.partitionBy("version", "p", "t", "f"), Window.partitionBy("version", "type", "p").orderBy("ord")
-    out = out.withColumn("prev", F.when(root, F.lag("self").over(along))).withColumn("next", F.when(root, F.lead("self").over(along)))
+    out = out.select("version", "id", "parent", "type", "ord", "missing", F.when(~root, F.col("parent")).alias("p"), F.when(root | F.col("parent").isNull(), F.col("type")).alias("t"), F.when(root, F.coalesce(number, F.col("id"))).alias("f"))
+    own = F.struct("ord", "id", "missing")
+    out = near(out, ["version", "parent", "type"], ["ord", "id"], own, 1)
+    at = lambda step: F.get(F.filter("near", lambda x: x["place"] == F.col("place") + step), F.lit(0))["value"]
+    out = out.select(*[c for c in out.columns if c not in ("near", "place", "block")], at(-1).alias("prev"), at(1).alias("next"))
     # no sibling among the nearest is more than `most` places away
-    held = F.collect_list("self").over(group.orderBy("ord").rowsBetween(-most, most))
-    edges = F.array_compact(F.array(F.min_by("prev", "ord").over(group), F.max_by("next", "ord").over(group)))
-    out = out.select("version", "id", "ord", "missing", F.lag("id").over(beside).alias("before"), F.lead("id").over(beside).alias("after"), held.alias("held"), edges.alias("edges"), F.count("id").over(group).alias("n"))
-    far = F.transform(F.filter(F.concat("held", "edges"), lambda x: x["id"] != F.col("id")), lambda x: F.struct(F.abs(x["ord"] - F.col("ord")).alias("far"), x["ord"].alias("ord"), x["id"].alias("id"), x["missing"].alias("missing")))
-    near = F.array_sort(F.transform(F.slice(F.array_sort(far), 1, most), lambda x: F.struct(x["ord"].alias("ord"), x["id"].alias("id"), x["missing"].alias("missing"))))
-    nearest = F.transform(near, lambda x: F.struct(x["id"].alias("id"), x["missing"].alias("missing")))
-    return out.join(kids, ["version", "id"], "left").select("version", "id", "before", "after", F.coalesce("children", F.lit(0)).alias("children"), (F.col("n") - 1 + F.size("edges")).alias("siblings"), nearest.alias("nearest"), "missing")
+    group = ["version", "p", "t", "f"]
+    out = Scratch(nodes.sparkSession).stored(near(out, group, ["ord", "id"], own, most), "near")
+    known = out.groupBy(*group).agg(F.count("id").alias("n"), F.min_by(F.when(root, F.col("prev")), "ord").alias("first"), F.max_by(F.when(root, F.col("next")), "ord").alias("last"))
+    alike = lambda a, b: [a[c].eqNullSafe(b[c]) for c in group]
+    # what is known of a group goes to its blocks first, then to the rows of each: a large group is no hot key
+    spread = out.select(*group, "block").distinct().alias("s").join(known.alias("k"), alike(_of("s"), _of("k"))).select("s.*", "k.n", F.array_compact(F.array("k.first", "k.last")).alias("edges"))
+    out = out.alias("o").join(spread.alias("s"), [F.col("o.block") == F.col("s.block"), *alike(_of("o"), _of("s"))]).select("o.*", "s.n", "s.edges")
+    held = F.concat(F.transform("near", lambda x: x["value"]), "edges")
+    far = F.transform(F.filter(held, lambda x: x["id"] != F.col("id")), lambda x: F.struct(F.abs(x["ord"] - F.col("ord")).alias("far"), x["ord"].alias("ord"), x["id"].alias("id"), x["missing"].alias("missing")))
+    closest = F.array_sort(F.transform(F.slice(F.array_sort(far), 1, most), lambda x: F.struct(x["ord"].alias("ord"), x["id"].alias("id"), x["missing"].alias("missing"))))
+    told = F.transform(closest, lambda x: F.struct(x["id"].alias("id"), x["missing"].alias("missing")))
+    return out.join(kids, ["version", "id"], "left").select("version", "id", F.col("prev.id").alias("before"), F.col("next.id").alias("after"), F.coalesce("children", F.lit(0)).alias("children"), (F.col("n") - 1 + F.size("edges")).alias("siblings"), told.alias("nearest"), "missing")
+
+
+def _of(name: str) -> dict[str, Column]:
+    return {c: F.col(f"{name}.{c}") for c in ("version", "p", "t", "f")}
 
 
 def violations(nodes: DataFrame) -> DataFrame:

@@ -211,3 +211,17 @@ def test_closure_of_a_long_chain_and_of_lost_parents(spark):
     with pytest.raises(ValueError, match="lead back"):
         tree.closure(spark.createDataFrame([("v", "a", "c"), ("v", "b", "a"), ("v", "c", "b"), ("v", "d", "c")], "version string, id string, parent string"))
     assert tree.closure(spark.createDataFrame([], "version string, id string, parent string")).count() == 0
+
+
+def test_neighbours_over_many_blocks(spark):
+    """Blocks of 8 places: a parent of 100 children and 40 roots lie over many of them; against plain windows of each group."""
+    from canonist.operators.ranges import near
+
+    rows = [(g, i, f"{g}{i}") for g, n in (("a", 100), ("b", 1), ("c", 9), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, o int, id string").repartition(7)
+    got = {r.id: [x.value for x in r.near] for r in near(df, ["g"], ["o"], F.col("id"), 5, block=8).collect()}
+    members = {g: [r[2] for r in rows if r[0] == g] for g in ("a", "b", "c", None)}
+    assert got == {i: members[g][max(0, o - 5) : o + 6] for g, o, i in rows}
+    assert near(df.filter("false"), ["g"], ["o"], F.col("id"), 5, block=8).count() == 0
+    with pytest.raises(ValueError):
+        near(df, ["g"], ["o"], F.col("id"), 9, block=8)
