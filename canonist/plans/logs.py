@@ -191,14 +191,30 @@ def obligations_rejects(spark, sf_dir):
     return eligibility.normalized(profiles, FIELDS)[1].select("id", "field")
 
 
-@query(f"with {NODES_SQL} select id, true holds from nodes where version = 'v1' and type = 'document' and text is not null union all select id || '#', false from nodes where version = 'v1' and type = 'document'")
+ONE_LINE = r"trim(regexp_replace({0}, '[\t\n\x0B\f\r \x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', ' ', 'g'))"
+
+
+@query(f"""with {NODES_SQL}, t_ as (select id, parent, ord, type, {ONE_LINE.format("heading || ' ' || text")} t from nodes where version = 'v1' and type <> 'source'),
+s_ as (select anchor, string_agg(t, ' ' order by ord) s from (select case type when 'line' then parent else id end anchor, ord, t from t_) where t <> '' group by anchor),
+l_ as (select parent anchor, ord, string_split(t, ' ') w, t, lead(t) over (partition by parent order by ord) after, row_number() over (partition by parent order by ord) = 1 first, row_number() over (partition by parent order by ord desc) = 1 last from t_ where type = 'line'),
+q_ as (select anchor, '' k, t quote from l_ where first union all select anchor, '!', t from l_ where last union all select anchor, '#', 'words that stand nowhere' from l_ where first
+ union all select anchor, '~', trim(w[-1] || ' ' || w[1]) from l_ where first union all select anchor, '>', trim(w[-1] || ' ' || string_split(after, ' ')[1]) from l_ where first and after is not null)
+select anchor || k id, coalesce(contains(s, quote), false) holds from q_ left join s_ using (anchor)""")
 def obligations_quotes(spark, sf_dir):
-    """Is the quotation of an entry still in the text below its anchor? Of every document its first line, and one that is not there."""
+    """Is the quotation of an entry still in the text below its anchor? Of every document its first and last line, words that are not there, the
+    first line's last word before its first, and before the next line's first."""
     n = derive.nodes(spark, sf_dir).filter("version = 'v1'")
-    first = n.filter("type = 'line' and id like '%.p0'").select(F.col("parent").alias("anchor"), F.concat(F.lit("  "), F.regexp_replace("text", " ", "  ")).alias("quote"))
-    entries = first.select(F.col("anchor").alias("id"), "anchor", "quote").unionByName(first.select(F.concat("anchor", F.lit("#")).alias("id"), "anchor", F.lit("words that stand nowhere").alias("quote")))
+    lines = n.filter("type = 'line'").select(F.col("parent").alias("anchor"), "ord", F.trim(F.regexp_replace("text", T.SPACE, " ")).alias("t"))
+    word = lambda c, at: F.element_at(F.split(c, " "), at)
+    ends = lines.groupBy("anchor").agg(F.min(F.struct("ord", "t")).alias("a"), F.max(F.struct("ord", "t")).alias("z"))
+    # a document's lines follow each other by one
+    told = ends.select("anchor", (F.col("a.ord") + 1).alias("ord")).join(lines.select("anchor", "ord", F.col("t").alias("b")), ["anchor", "ord"]).select("anchor", "b")
+    of = lambda mark, quote: F.struct(F.concat("anchor", F.lit(mark)).alias("id"), quote.alias("quote"))
+    over = F.when(F.col("b").isNotNull(), of(">", F.trim(F.concat(word("a.t", -1), F.lit(" "), word("b", 1)))))
+    asked = [of("", F.col("a.t")), of("!", F.col("z.t")), of("#", F.lit("words that stand nowhere")), of("~", F.trim(F.concat(word("a.t", -1), F.lit(" "), word("a.t", 1)))), over]
+    entries = ends.join(told, "anchor", "left").select("anchor", F.explode(F.array_compact(F.array(*asked))).alias("e")).select("e.id", "anchor", "e.quote")
     docs = n.filter("type = 'document'").select("id")
-    return eligibility.quotes_hold(entries, tree.subtree_text(n, tree.closure(n)).join(docs, "id", "left_semi"))
+    return eligibility.quotes_hold(entries, tree.subtree_rows(n, tree.closure(n)).join(docs, "id", "left_semi"))
 
 
 # Pages and diffs -------------------------------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Readers, validation and manifests."""
+"""Readers and validation."""
 
 from __future__ import annotations
 
@@ -115,12 +115,6 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.col("html").cast("string").alias("html")).mapInPandas(run, f"page_id {kind}, id string, parent string, type string, heading string, text string, ord int")
 
 
-def write_nodes(nodes: DataFrame, path: str, by: tuple[str, ...] = ("version", "lang")) -> None:
-    """Nodes as Parquet, a folder for each version and language, sorted in each file: equal nodes give equal rows in equal order."""
-    keys = [c for c in by if c in nodes.columns]
-    nodes.repartitionByRange(*keys, "ord").sortWithinPartitions(*keys, "ord").write.partitionBy(*keys).mode("errorifexists").parquet(path)
-
-
 def acceptable(pages: DataFrame, anchor: str, least: int) -> DataFrame:
     """Pages that are long enough, look like markup, hold the anchor and are no error or redirect page."""
     html = F.col("html")
@@ -134,26 +128,3 @@ def validate(rows: DataFrame, key: str, rules: list[tuple[str, Column, str]]) ->
     twice = rows.groupBy(F.col(key).alias("id")).count().filter("count > 1").select("id", F.lit(key).alias("field"), F.lit("not unique").alias("why"))
     rejects = rejects.unionByName(twice)
     return rows.join(rejects.select(F.col("id").alias(key)).distinct(), key, "left_anti"), rejects
-
-
-def manifest(spark: SparkSession, folder: str, nodes: DataFrame | None = None) -> DataFrame:
-    """path (from the folder on), sha256, bytes, and nodes (how many a corpus file holds; nodes: path, a row for each) of every file below a
-    folder, sorted by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = F.element_at(F.split("path", folder.rstrip("/").rpartition("/")[2] + "/"), -1)
-    out = files.select(name.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
-    counts = nodes.groupBy("path").agg(F.count("*").alias("nodes")) if nodes is not None else out.select("path", F.lit(None).cast("long").alias("nodes"))
-    return out.join(counts, "path", "left").orderBy("path")
-
-
-def check_manifest(listed: DataFrame, found: DataFrame) -> DataFrame:
-    """path, listed, present, sha256_ok, bytes_ok."""
-    a, b = listed.select("path", F.col("sha256").alias("s1"), F.col("bytes").alias("b1")), found.select("path", F.col("sha256").alias("s2"), F.col("bytes").alias("b2"))
-    both = a.join(b, "path", "full")
-    return both.select("path", F.col("s1").isNotNull().alias("listed"), F.col("s2").isNotNull().alias("present"), F.coalesce(F.col("s1") == F.col("s2"), F.lit(False)).alias("sha256_ok"), F.coalesce(F.col("b1") == F.col("b2"), F.lit(False)).alias("bytes_ok"))
-
-
-def manifest_holds(checked: DataFrame) -> DataFrame:
-    """files, failed, ok: one row; every file is listed, there, and as it was."""
-    good = F.col("listed") & F.col("present") & F.col("sha256_ok") & F.col("bytes_ok")
-    return checked.agg(F.count("*").alias("files"), F.count_if(~good).alias("failed"), (F.count_if(~good) == 0).alias("ok"))

@@ -123,7 +123,7 @@ def test_fields_dates_and_changes(spark):
     older = spark.createDataFrame([("n1", "2026-08-02"), ("n2", "2030-01-01")], "id string, applies_from string")
     entries = spark.createDataFrame([("both", "n1", False, True), ("simple", "gone", True, True), ("late", "n2", False, True), ("open", "n1", False, False)], "id string, anchor string, marked boolean, timed boolean")
     assert {r.id: r.changed for r in E.changed_dates(found.filter("profile_id = 1"), older, entries).collect()} == {"both": True, "simple": True, "late": False, "open": False}
-    held = E.quotes_hold(spark.createDataFrame([("a", "x", "two  words"), ("b", "x", "other"), ("c", "y", "z")], "id string, anchor string, quote string"), spark.createDataFrame([("x", "has two\nwords")], "id string, text string"))
+    held = E.quotes_hold(spark.createDataFrame([("a", "x", "two  words"), ("b", "x", "other"), ("c", "y", "z")], "id string, anchor string, quote string"), spark.createDataFrame([("x", 1, "has two\nwords")], "id string, ord long, text string"))
     assert {r.id: r.holds for r in held.collect()} == {"a": True, "b": False, "c": False}
 
 
@@ -178,3 +178,18 @@ def test_closure_of_deep_trees_and_loops(spark):
     assert text["n42"] == "x42\nx43\nx44" and text["n0"] is None
     with pytest.raises(ValueError):
         tree.closure(spark.createDataFrame([("v", "a", "b", "t", "", "", 1), ("v", "b", "a", "t", "", "", 2)], NODE))
+
+
+def test_quotations_held_over_blocks_against_whole_texts(spark):
+    """Streams of up to 40 short rows in blocks of 7 characters, quotations of up to 30."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(a, i, rng.choice(["", " "]).join(rng.choices(["a", "b", " ", "\n", "ab"], k=rng.randint(0, 9)))) for a in "uvw" for i in range(40)]
+    rows += [("hot", i, "a b") for i in range(400)] + [("blank", 0, " \n"), ("null", 0, None)]
+    whole = {a: " ".join(" ".join(t for x, _, t in rows if x == a and t).split()) for a in {r[0] for r in rows}}
+    asked = [(f"{a}{n}", a, whole[a][(at := rng.randint(0, len(whole[a]) - 1)) : at + rng.randint(1, 30)][:: rng.choice([1, 1, -1])]) for a in ("u", "v", "w", "hot") for n in range(60)]
+    asked += [("none", "lost", "a"), ("q", "u", None), ("e", "u", ""), ("f", "blank", ""), ("g", "null", "a")]
+    got = {r.id: r.holds for r in E.quotes_hold(spark.createDataFrame(asked, "id string, anchor string, quote string"), spark.createDataFrame(rows, "id string, ord long, text string").repartition(5), least=7).collect()}
+    assert got == {i: q is not None and bool(whole.get(a)) and " ".join(q.split()) in whole[a] for i, a, q in asked}
+    assert {*got.values()} == {True, False}
