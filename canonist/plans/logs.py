@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import eligibility, evalstats, search, tree
-from ..sources import io
+from ..operators import diff, eligibility, evalstats, search, tree
+from ..sources import io, sinks
+from ..sources.scratch import shared_dir
 from . import derive
-from .derive import LOG_SQL, NODES_SQL, table
+from .derive import DIFF_SQL, LOG_SQL, NODES_SQL, table
 from .registry import query
 
 ANSWERS_SQL = r"""answers_ as (select event_id seq, user_id % 40 case_id, event_type model, case when user_id % 3 = 0 then 'b' else 'a' end arm, (event_id % 4)::int rep, event_id % 5 form, event_id % 7 slip, user_id % 40 % 3 kind_, event_id % 3 tools, null::varchar error from events),
@@ -220,6 +223,38 @@ def obligations_quotes(spark, sf_dir):
 # Pages and diffs -------------------------------------------------------------------------------------------------------
 
 
+@query(f"""with {NODES_SQL} select version, count(*) n, sum(ord) ords, count(distinct sha256(id || node_hash)) rows_, ceil(count(*) / 4000)::bigint files, bool_and(true) as_named from nodes group by version""")
+def source_written(spark, sf_dir):
+    """The nodes of both versions written as files of 4000 rows, read back: rows and files of each version; does every file bear its digest's name?"""
+    folder = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    sinks.write_nodes(derive.nodes(spark, sf_dir), folder, rows_per_file=4000)
+    back = spark.read.parquet(folder).groupBy("version").agg(F.count("*").alias("n"), F.sum("ord").alias("ords"), F.countDistinct(F.sha2(F.concat("id", "node_hash"), 256)).alias("rows_"))
+    named = F.contains(F.col("path"), F.concat(F.lit("-"), F.left("sha256", F.lit(16)), F.lit(".")))
+    files = sinks.manifest(spark, folder).groupBy(F.regexp_extract("path", "^version=([^/]+)/", 1).alias("version")).agg(F.count("*").alias("files"), F.bool_and(named).alias("as_named"))
+    return back.join(files, "version", "full")
+
+
+@query(f"""with {DIFF_SQL} select id, string_agg(target, ',' order by target) targets from (
+ select distinct ancestor id, case when distance = 0 then to_id else coalesce(n.id, to_id) end target from diff_ d join closure_ c on c.version = 'v1' and c.id = d.from_id
+ left join nodes n on n.version = 'v2' and n.id = array_to_string(string_split(to_id, '.')[1:len(string_split(to_id, '.')) - distance], '.') where status = 'moved') group by id""")
+def diff_moved_to(spark, sf_dir):
+    """Where the text of each older node, or of what lay below it, went."""
+    n = derive.nodes(spark, sf_dir)
+    old, new = n.filter("version = 'v1'"), n.filter("version = 'v2'")
+    moved = diff.moved_to(diff.diff_nodes(old, new), new, tree.closure(old))
+    return moved.select("id", F.array_join("targets", ",").alias("targets"))
+
+
+@query(f"""with {DIFF_SQL} select from_id id, type, 'unmapped' what from diff_ where status = 'removed'
+ union all select id, type, 'missing' from nodes a where version = 'v2' and not exists (select 1 from nodes b where b.version = 'v1' and b.id = a.id)""")
+def diff_lists(spark, sf_dir):
+    """Older nodes that nothing stands for in the newer version, and newer ones whose id the older version lacks."""
+    n = derive.nodes(spark, sf_dir)
+    old, new = n.filter("version = 'v1'"), n.filter("version = 'v2'")
+    gone = diff.unmapped(diff.diff_nodes(old, new)).withColumn("what", F.lit("unmapped"))
+    return gone.unionByName(diff.missing(new, old).join(new.select("id", "type"), "id").withColumn("what", F.lit("missing")))
+
+
 @query()
 def source_pages(spark, sf_dir):
     """The tree of headings, texts and items of every page."""

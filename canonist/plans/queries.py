@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import diff, eligibility, evalstats, rules, search, tree, verify, versions, worddiff
 from ..sources import io
 from . import acts, audits, derive, logs  # noqa: F401  they register their own
-from .derive import LOG_SQL, NODES_SQL, RESOLVED_SQL, table
+from .derive import DIFF_SQL, LOG_SQL, NODES_SQL, RESOLVED_SQL, table
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 
@@ -83,14 +83,6 @@ def tree_violations(spark, sf_dir):
     return tree.violations(derive.nodes(spark, sf_dir))
 
 
-DIFF_SQL = NODES_SQL + r""", both2 as (select coalesce(a.id, b.id) id, a.type ot, a.node_hash oh, b.type nt, b.node_hash nh from (select * from nodes where version = 'v1') a full join (select * from nodes where version = 'v2') b on a.id = b.id),
-g1 as (select oh h, min(id) id from both2 where nh is null group by oh having count(*) = 1), c1 as (select nh h, min(id) id from both2 where oh is null group by nh having count(*) = 1),
-moves as (select g1.id f, c1.id t, h from g1 join c1 using (h)),
-diff_ as (select case when oh = nh then 'unchanged' else 'changed' end status, id from_id, id to_id, nt as type, oh from_hash, nh to_hash from both2 where oh is not null and nh is not null
- union all select case when t is null then 'removed' else 'moved' end, id, t, ot, oh, case when t is not null then oh end from both2 left join moves on f = id where nh is null
- union all select 'added', null, id, nt, null, nh from both2 where oh is null and id not in (select t from moves))"""
-
-
 @query(f"with {DIFF_SQL} select * from diff_")
 def diff_nodes(spark, sf_dir):
     return diff.diff_nodes(*_versions(spark, sf_dir))

@@ -15,6 +15,8 @@ from .scratch import Scratch
 
 #: Bytes that a digest holds at once.
 STREAMED = 8 << 20
+#: Fixed value: characters that Spark writes as %XX in names of folders.
+UNSAFE = r"[\x00-\x1F\x7F\"#%'*/:=?\\{\[\]^]"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -26,7 +28,8 @@ def _file_system(spark: SparkSession, path: str):
 def write_table(rows: DataFrame, path: str, order: list[str], by: list[str] = (), rows_per_file: int = 1_000_000, kind: str = "parquet") -> None:
     """Writes rows (Parquet, or JSON lines) to a new folder: below it one for each value of `by` (as Spark names them, null and empty alike
     as its default), in it files of rows_per_file rows in this order (ties by the other columns), named by their number and digest. So
-    equal rows give equal files with equal names, whatever the partitions, executors or shuffle settings. An existing folder is an error.
+    equal rows give equal files with equal names, whatever the partitions, executors or shuffle settings. An existing folder is an error; no rows make
+    an empty one.
 
     Files are written aside and the folder gets its name last, so that readers see all or nothing. The driver only renames, file by
     file. A file is written by one task: rows_per_file bounds it. The columns of `by` are in the folders' names and not in the files."""
@@ -35,7 +38,7 @@ def write_table(rows: DataFrame, path: str, order: list[str], by: list[str] = ()
     if files.exists(of(path)):
         raise FileExistsError(path)
     rest = [f.name for f in rows.schema if f.name not in (*by, *order) and "map<" not in f.dataType.simpleString()]
-    laid = summed(rows, by or [F.lit(0).alias("__all")], [*order, *sorted(rest)])
+    laid = summed(rows.withColumn("__all", F.lit(0)), by or ["__all"], [*order, *sorted(rest)]).drop("__all")
     laid = laid.withColumn("__nth", F.floor(F.col("start") / rows_per_file))
     known = Scratch(spark).stored(laid.groupBy(*by, "__nth").agg(F.count("*").alias("n")), "files")
     # one row for each file
@@ -46,8 +49,9 @@ def write_table(rows: DataFrame, path: str, order: list[str], by: list[str] = ()
     # sorted by the number of the file first, as a write by folders asks, so that it sorts no more
     dealt.repartition("__file").sortWithinPartitions("__file", "start").drop("start").write.option("compression", "zstd" if kind == "parquet" else "none").partitionBy("__file").format(kind).save(f"{aside}/rows")
     told = known.drop("n").join(manifest(spark, f"{aside}/rows").select("path", "sha256", F.regexp_extract("path", r"__file=(\d+)/", 1).cast("int").alias("__file")), "__file")
-    fixed = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
-    folder = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.url_encode(fixed(c))) for c in by]) if by else F.lit("")
+    escaped = lambda c: F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(UNSAFE), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(x)), 2, "0"))).otherwise(x)), "")
+    named = lambda c: F.coalesce(F.nullif(escaped(F.col(c).cast("string")), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), named(c)) for c in by]) if by else F.lit("")
     ends = {"parquet": ".zstd.parquet", "json": ".json"}[kind]
     name = F.concat(F.lit("part-"), F.lpad(F.col("__nth").cast("string"), 6, "0"), F.lit("-"), F.left("sha256", F.lit(16)), F.lit(ends))
     files.mkdirs(of(f"{aside}/done"))

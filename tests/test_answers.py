@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from canonist.functions import text as T
 from canonist.operators import eligibility as E
 from canonist.operators import evalstats, search, tree
-from canonist.sources import io
+from canonist.sources import io, sinks
 
 NODE = "version string, id string, parent string, type string, heading string, text string, ord long"
 
@@ -144,20 +144,20 @@ def test_readers(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     nodes = spark.createDataFrame([("v", "en", f"a{i}", 9 - i) for i in range(10)] + [("w", "en", "b", 1)], "version string, lang string, id string, ord int")
     for name in ("one", "two"):
-        io.write_nodes(nodes.repartition(3), f"{tmp_path}/{name}")
+        sinks.write_nodes(nodes.repartition(3), f"{tmp_path}/{name}")
     back = spark.read.parquet(f"{tmp_path}/one/version=v")
     assert [r.id for r in back.collect()] == [f"a{i}" for i in range(9, -1, -1)] and back.exceptAll(spark.read.parquet(f"{tmp_path}/two/version=v")).count() == 0
     (tmp_path / "f").mkdir()
     for name, text in {"a.txt": "one", "b.txt": "two"}.items():
         (tmp_path / "f" / name).write_text(text)
-    listed = io.manifest(spark, f"{tmp_path}/f", spark.createDataFrame([("a.txt",), ("a.txt",)], "path string"))
+    listed = sinks.manifest(spark, f"{tmp_path}/f", spark.createDataFrame([("a.txt",), ("a.txt",)], "path string"))
     assert [(r.path, r.sha256, r.bytes, r.nodes) for r in listed.collect()] == [("a.txt", hashlib.sha256(b"one").hexdigest(), 3, 2), ("b.txt", hashlib.sha256(b"two").hexdigest(), 3, None)]
     held = spark.createDataFrame(listed.collect(), listed.schema)
-    assert io.manifest_holds(io.check_manifest(held, held)).first().ok
+    assert sinks.manifest_holds(sinks.check_manifest(held, held)).first().ok
     os.remove(tmp_path / "f" / "a.txt")
     (tmp_path / "f" / "b.txt").write_text("tw0")
     (tmp_path / "f" / "c.txt").write_text("new")
-    now = {r.path: (r.listed, r.present, r.sha256_ok, r.bytes_ok) for r in io.check_manifest(held, io.manifest(spark, f"{tmp_path}/f")).collect()}
+    now = {r.path: (r.listed, r.present, r.sha256_ok, r.bytes_ok) for r in sinks.check_manifest(held, sinks.manifest(spark, f"{tmp_path}/f")).collect()}
     assert now == {"a.txt": (True, False, False, False), "b.txt": (True, True, False, True), "c.txt": (False, True, False, False)}
 
 
