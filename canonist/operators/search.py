@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as T
+from ..sources.scratch import Scratch
 
 #: Fixed values of the ranking.
 K1, B, SYNONYM, DEFAULT_K, MOST_K = 1.2, 0.75, 0.4, 8, 20
@@ -110,7 +111,11 @@ def ask(queries: DataFrame, synonyms: DataFrame, lang: str = "en") -> DataFrame:
 
 def ranked(asked: DataFrame, postings: DataFrame, documents: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """query_id, rank, version, id, score (4 places), heading (own or nearest), text: the k best nodes of the version asked, ties in document
-    order."""
+    order.
+
+    A phrase only adds to a score, and only where a node holds all terms of the query. So of the nodes that don't, only the k best can be
+    among the results; content is read for those that do, and headings and texts for the results alone."""
+    scratch, k = Scratch(asked.sparkSession), max(1, min(MOST_K, k))
     size = postings.select("version", "id", "len").distinct().groupBy("version").agg(F.count("id").alias("n"), F.avg("len").alias("avg"))
     df = postings.groupBy("version", "term").agg(F.count("id").alias("df"))
     wanted = asked.select("query_id", "version", "terms", F.explode("weighed").alias("x")).select("query_id", "version", "x.term", "x.weight", F.array_contains("terms", F.col("x.term")).alias("own"))
@@ -118,16 +123,24 @@ def ranked(asked: DataFrame, postings: DataFrame, documents: DataFrame, k: int =
     wanted = wanted.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     bonus = wanted.filter("own").groupBy("query_id").agg((F.sum("idf") * PHRASE).alias("bonus"))
     part = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = postings.join(wanted.filter("df > 0").drop("own", "df"), ["version", "term"]).groupBy("query_id", "version", "id").agg(F.sum(part).alias("s"))
-    told = scored.join(documents, ["version", "id"]).join(asked.select("query_id", F.col("content").alias("phrase"), "topics"), "query_id").join(bonus, "query_id", "left")
-    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    phrased = F.when((F.size("phrase") >= 2) & F.contains(padded("content"), padded("phrase")), F.col("bonus")).otherwise(0.0)
+    scored = postings.join(wanted.filter("df > 0").drop("df"), ["version", "term"]).groupBy("query_id", "version", "id").agg(F.sum(part).alias("s"), F.count_if("own").alias("held"))
+    light = documents.select("version", "id", "type", "ord")
+    told = scored.join(light, ["version", "id"]).join(asked.select("query_id", F.size("terms").alias("asked"), "topics"), "query_id")
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TYPE_WEIGHT.items() for x in pair]), F.col("type")), F.lit(1.0))
     topical = F.when(F.exists("topics", lambda t: (F.col("id") == t) | F.startswith(F.col("id"), F.concat(t, F.lit(".")))), TOPIC).otherwise(1.0)
-    told = told.withColumn("score", F.floor((F.col("s") + phrased) * weight * topical * 1e4 + 0.5) / 1e4)
+    rounded = lambda s: F.floor(s * F.col("weight") * F.col("topical") * 1e4 + 0.5) / 1e4
+    told = told.select("query_id", "version", "id", "ord", "s", (F.col("held") == F.col("asked")).alias("whole"), weight.alias("weight"), topical.alias("topical")).withColumn("score", rounded(F.col("s")))
+    told = scratch.stored(told, "scored")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord", "id")
-    told = told.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max(1, min(MOST_K, k)))
-    return told.select("query_id", "rank", "version", "id", "score", F.when(F.col("heading") != "", F.col("heading")).otherwise(F.coalesce("context", F.lit(""))).alias("heading"), F.when(F.col("text") != "", F.col("text")).otherwise(F.col("heading")).alias("text"))
+    first = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    # plain scores of all nodes, those of phrases beside them: the better one of each node is its score
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    phrased = told.filter("whole").join(asked.filter("size(content) >= 2").select("query_id", F.col("content").alias("phrase")), "query_id").join(documents.select("version", "id", "content"), ["version", "id"])
+    phrased = phrased.filter(F.contains(padded(F.col("content")), padded(F.col("phrase")))).join(bonus, "query_id").withColumn("score", rounded(F.col("s") + F.col("bonus")))
+    both = first(told).drop("rank").select("query_id", "version", "id", "ord", "score").unionByName(phrased.select("query_id", "version", "id", "ord", "score"))
+    out = scratch.stored(first(both.groupBy("query_id", "version", "id", "ord").agg(F.max("score").alias("score"))), "ranked")
+    shown_ = documents.select("version", "id", F.when(F.col("heading") != "", F.col("heading")).otherwise(F.coalesce("context", F.lit(""))).alias("heading"), F.when(F.col("text") != "", F.col("text")).otherwise(F.col("heading")).alias("text"))
+    return out.join(shown_, ["version", "id"]).select("query_id", "rank", "version", "id", "score", "heading", "text")
 
 
 def shown(hits: DataFrame, asked: DataFrame, states: DataFrame | None = None, lang: str = "en") -> DataFrame:

@@ -110,6 +110,37 @@ def search_ranked(spark, sf_dir):
     return search.ranked(asked, postings, documents).select("query_id", "rank", "id", "score")
 
 
+def _synonyms(spark, sf_dir) -> DataFrame:
+    """term, synonyms, topics: the first term of each passage stands for the last one of the next passage too, and for a source of documents."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.stems(F.col("text"), "en", T.STOPWORDS).alias("c")).filter("size(c) > 0")
+    after = b.select((F.col("item_id") - 1).alias("item_id"), F.element_at("c", -1).alias("other"))
+    pairs = b.join(after, "item_id").select(F.element_at("c", 1).alias("term"), "other", F.concat(F.lit("src"), F.col("item_id") % 20).alias("topic"))
+    return pairs.groupBy("term").agg(F.array_distinct(F.concat(F.collect_set("other"), F.array("term"))).alias("synonyms"), F.collect_set("topic").alias("topics"))
+
+
+@query(rf"""with {NODES_SQL}, old_ as (select n.*, coalesce(p.heading, '') context from nodes n left join nodes p on p.version = 'v1' and p.id = n.parent and n.heading = '' where n.version = 'v1'),
+w_ as (select id, ord, type, {_STEMS("text")} t, {_STEMS("heading")} h, {_STEMS("context")} c, {_CONTENT("heading")} || {_CONTENT("text")} content from old_), d_ as (select *, len(t) + 3 * len(h) size from w_ where len(t) + len(h) > 0),
+p_ as (select id, size, term, sum(b) tf from (select id, size, unnest(t) term, 1 b from d_ union all select id, size, unnest(h), 3 from d_ union all select id, size, unnest(c), 2 from d_) group by all),
+z_ as (select count(*) n, avg(size) av from d_), f_ as (select term, count(*) df from p_ group by term),
+b_ as (select item_id query_id, {_CONTENT("text")} phrase from benchmark), own_ as (select distinct query_id, unnest(phrase) term from b_),
+y_ as (select a.phrase[1] term, z.phrase[-1] other, 'src' || a.query_id % 20 topic from b_ a join b_ z on z.query_id = a.query_id + 1 where len(a.phrase) > 0 and len(z.phrase) > 0),
+more_ as (select distinct query_id, other term from own_ join y_ using (term) where (query_id, other) not in (select (query_id, term) from own_)),
+topics_ as (select distinct query_id, topic from own_ join y_ using (term)),
+q_ as (select query_id, term, w, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) idf from (select query_id, term, 1.0::double w from own_ union all select query_id, term, 0.4::double from more_) left join f_ using (term), z_),
+s_ as (select query_id, id, sum(w * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / av))) s from q_ join p_ using (term), z_ group by all),
+r_ as (select query_id, id, ord, floor((s + case when len(phrase) > 1 and contains(' ' || array_to_string(content, ' ') || ' ', ' ' || array_to_string(phrase, ' ') || ' ') then (select sum(idf) / 2 from q_ where q_.query_id = s_.query_id and w = 1) else 0 end)
+  * case type when 'document' then 0.85::double when 'source' then 0.6::double else 1 end * case when exists (select 1 from topics_ t where t.query_id = s_.query_id and (id = topic or starts_with(id, topic || '.'))) then 1.5::double else 1 end * 1e4 + 0.5) / 1e4 score
+  from s_ join d_ using (id) join b_ using (query_id))
+select query_id, rank, id, score from (select *, row_number() over (partition by query_id order by score desc, ord, id)::int rank from r_) where rank <= 8""")
+def search_synonyms(spark, sf_dir):
+    """search_ranked with synonyms, topics and types that weigh: sources as chapters, documents as articles."""
+    n = derive.nodes(spark, sf_dir).filter("version = 'v1'")
+    n = n.withColumn("type", F.when(F.col("type") == "source", "chapter").when(F.col("type") == "document", "article").otherwise("paragraph"))
+    postings, documents = search.index_nodes(n, tree.closure(n))
+    asked = search.ask(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("v1").alias("version"), F.col("text").alias("query")), _synonyms(spark, sf_dir))
+    return search.ranked(asked, postings, documents).select("query_id", "rank", "id", "score")
+
+
 @query()
 def search_shown(spark, sf_dir):
     """search_ranked with citations, nearest headings and snippets."""

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["source_acts", "source_written", "diff_moved_to", "diff_lists", "obligations_quotes", "quotes_exact", "tree_subtree_text", "diff_nodes", "diff_rollup", "rules_state", "version_lookup", "eval_cells", "text_dates", "diff_words", "eval_projection", "obligations_ranked", "obligations_timeline", "obligations_open_questions", "text_citations", "text_hashes", "text_tokens", "audit_readings", "audit_dates", "provisions_found", "records_rechecked", "eval_scores", "eval_strata", "eval_rescored", "obligations_timed", "obligations_rejects", "tree_siblings", "search_ranked", "source_rejects", "quotes_verified"]
+SOME = ["source_acts", "search_synonyms", "source_written", "diff_moved_to", "diff_lists", "obligations_quotes", "quotes_exact", "tree_subtree_text", "diff_nodes", "diff_rollup", "rules_state", "version_lookup", "eval_cells", "text_dates", "diff_words", "eval_projection", "obligations_ranked", "obligations_timeline", "obligations_open_questions", "text_citations", "text_hashes", "text_tokens", "audit_readings", "audit_dates", "provisions_found", "records_rechecked", "eval_scores", "eval_strata", "eval_rescored", "obligations_timed", "obligations_rejects", "tree_siblings", "search_ranked", "source_rejects", "quotes_verified"]
 
 
 def rows(columns, values):
