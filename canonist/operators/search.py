@@ -86,12 +86,13 @@ def index_nodes(nodes: DataFrame, chain: DataFrame, lang: str = "en") -> tuple[D
     near = chain.filter("distance > 0").join(bare, ["version", "id"], "left_semi").join(above, ["version", "ancestor"]).groupBy("version", "id").agg(F.min_by("a", "distance").alias("a"))
     near = near.filter("a.type not in ('chapter', 'section')").select("version", "id", F.col("a.heading").alias("context"))
     told = own.join(near, ["version", "id"], "left").withColumns({"t": T.stems(F.col("text"), lang), "h": T.stems(F.col("heading"), lang), "c": T.stems(empty(F.col("context")), lang)})
-    told = told.filter("size(t) + size(h) > 0").withColumn("len", F.size("t") + HEADING * F.size("h"))
+    scratch = Scratch(nodes.sparkSession)
+    content = F.concat(T.stems(F.col("heading"), lang, T.STOPWORDS), T.stems(F.col("text"), lang, T.STOPWORDS))
+    told = scratch.stored(told.filter("size(t) + size(h) > 0").withColumn("len", F.size("t") + HEADING * F.size("h")).withColumn("content", content), "told")
     by = lambda c, n: F.transform(c, lambda w: F.struct(w.alias("term"), F.lit(n).alias("by")))
     weighed = F.concat(by("t", 1), by("h", HEADING), by("c", CONTEXT))
     postings = told.select("version", "id", "len", F.explode(weighed).alias("x")).groupBy("version", "id", "len", "x.term").agg(F.sum("x.by").cast("int").alias("tf"))
-    content = F.concat(T.stems(F.col("heading"), lang, T.STOPWORDS), T.stems(F.col("text"), lang, T.STOPWORDS))
-    return postings, told.select("version", "id", "type", "ord", "heading", "text", "context", content.alias("content"))
+    return scratch.stored(postings, "postings"), told.select("version", "id", "type", "ord", "heading", "text", "context", "content")
 
 
 def ask(queries: DataFrame, synonyms: DataFrame, lang: str = "en") -> DataFrame:
