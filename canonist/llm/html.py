@@ -15,6 +15,7 @@ Only page_id, url and html are read, so other columns can't clash.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,6 +30,9 @@ NEVER = frozenset("script style noscript template head title svg math iframe obj
 AROUND = frozenset("nav aside footer form menu dialog".split())
 #: Words of a class or id that mark what is not main text.
 MARKS = frozenset("nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement banner cookie cookies consent notice popup modal overlay promo sponsor sponsored comment comments disqus reply replies related share sharing social breadcrumb breadcrumbs newsletter subscribe signup login pagination pager toolbar masthead".split())
+#: Words in a name that make it say something else than its mark (no-comments, with-sidebar), and last words of layouts and states.
+OTHERWISE = frozenset("with without no not non has hide to from for and".split())
+LAYOUTS = frozenset("layout page grid template enabled disabled open closed on off".split())
 #: No end tag or implied end reaches out of these, but for the end tags of a page's large parts.
 SCOPE = frozenset("html table td th caption object template".split())
 LARGE = frozenset("html body main article section nav aside header footer".split())
@@ -47,11 +51,22 @@ CUT = re.compile(r"<(?:!--(?:(?!-->).)*|[a-zA-Z/!?][^<>]*)\Z", re.S)
 SIGMA = 2.0
 
 
+def marked(value: str, whole: bool = False) -> bool:
+    """Does a class, id or role say that an element is no main text? A name does as a whole or by one of its words (site-nav, ad-top), but not
+    where a word turns it round (no-comments, with-sidebar, reply-to-critics) or where it names a layout or state (sidebar-layout)."""
+    for name in value.split():
+        words = re.split(r"[^a-z0-9]+", name)
+        if name in MARKS or not whole and MARKS & {*words} and not OTHERWISE & {*words} and words[-1] not in LAYOUTS:
+            return True
+    return False
+
+
 class Lines(HTMLParser):
     """Collects (text, tags, number of the outermost article or 0) for each line of a page."""
 
-    def __init__(self):
+    def __init__(self, unclosed: frozenset = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.unclosed = unclosed  # tags that begin more often than they end on this page
         self.lines, self.parts, self.tags, self.articles = [], [], 0, 0
         self.open = []  # (tag, whether it is an article) from the root down
         self.skip = -1  # how many elements are open around the skipped one
@@ -87,7 +102,9 @@ class Lines(HTMLParser):
         skipped = self.open[self.skip][0] if self.skip >= 0 else ""
         if tag in BLOCKS:
             self.end_line()
-        if skipped and tag in ("article", "main", "body") and skipped not in NEVER - {"head", "title"} or skipped == "head" and tag not in IN_HEAD and len(self.open) == self.skip + 1:
+        # a skipped element that is never closed ends where the page's text begins; an article within a closed one is a teaser
+        ends = tag in ("main", "body") or tag == "article" and (skipped in self.unclosed or skipped in ("head", "title"))
+        if skipped and ends and skipped not in NEVER - {"head", "title"} or skipped == "head" and tag not in IN_HEAD and len(self.open) == self.skip + 1:
             self.close_to(self.skip)
         for starts, ends, stop in IMPLIED:
             if tag in starts and (n := self.find(ends, stop, True)) >= 0:
@@ -101,8 +118,9 @@ class Lines(HTMLParser):
         if self.skip < 0:
             told = [value.lower() for name, value in attrs if name in ("class", "id", "role") and value]
             # an article's class also lists its topics: there only a whole name is a mark
-            marks = {w for value in told for w in (value.split() if tag == "article" else re.split(r"[^a-z0-9]+", value))}
-            if tag not in ("html", "body", "main") and (tag in NEVER or tag in AROUND or marks & MARKS or not self.article and tag != "article" and (tag == "header" or "header" in marks)):
+            says = any(marked(value, tag == "article") for value in told)
+            header = any("header" in re.split(r"[^a-z0-9]+", value) for value in told)
+            if tag not in ("html", "body", "main") and (tag in NEVER or tag in AROUND or says or not self.article and tag != "article" and (tag == "header" or header)):
                 self.skip = len(self.open)
             elif tag in ("article", "main"):
                 article = True
@@ -156,7 +174,8 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parser = Lines()
+    begun, ended = (Counter(t.lower() for t in re.findall(p, html)) for p in (r"<([a-zA-Z][a-zA-Z0-9]*)", r"</([a-zA-Z][a-zA-Z0-9]*)"))
+    parser = Lines(frozenset(t for t, n in begun.items() if n > ended[t]))
     parser.feed(CUT.sub("", html))
     parser.close()
     parser.end_line()

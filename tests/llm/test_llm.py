@@ -264,3 +264,15 @@ def test_links_of_a_bucket_in_blocks(spark, members, shingles):
         return up
 
     assert 0 < len(true) < 1700 and joined(links) == joined(true)
+
+
+def test_main_text_names_and_teasers():
+    """Names that only hold a mark's word kill no page and no part of the article; articles in closed sidebars are teasers."""
+    p = lambda x: f"<p>{x} {'word and more of it ' * 12}</p>"
+    got = html.main_text(f'<body class="sidebar-layout comments-closed"><div class="content with-sidebar no-comments"><article>{p("A")}{p("B")}</article></div></body>')
+    assert got.startswith("A word") and " B word" in got
+    assert "Teaser" not in html.main_text(f'<body><article>{p("A")}</article><aside><article>{p("Teaser")}</article></aside></body>')
+    assert "Critics" in html.main_text(f'<body><article>{p("A")}<div class="reply-to-critics">{p("Critics")}</div></article></body>')
+    assert html.main_text(f"<body><nav><p>Nav</p><article>{p('A')}</article></body>").startswith("A word")
+    for name in ("site-nav", "comment-list", "ad", "cookie_notice", "related-posts", "js-ad-top", "sidebar"):
+        assert "Gone" not in html.main_text(f'<body><article>{p("A")}<div class="{name}">{p("Gone")}</div></article></body>'), name
