@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import Scratch, shared_dir  # noqa: F401
+from ..sources.scratch import Scratch, merge, shared_dir  # noqa: F401
 
 
 def numbered(df: DataFrame, *keep: str) -> DataFrame:
@@ -21,11 +21,5 @@ def restored(columns: list[str], results: dict[str, Column]) -> list[Column]:
     return out + [value.alias(name) for name, value in taken.values()]
 
 
-def merge(df: DataFrame) -> DataFrame:
-    """df as a side of a join that is sorted and merged at every size: what grows with the documents is never broadcast, even while
-    it happens to be small."""
-    return df.hint("merge")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
