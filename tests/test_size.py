@@ -12,6 +12,6 @@ def broadcasts(df) -> int:
     return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
 
 
-@pytest.mark.parametrize("name", ["tree_subtree_text", "diff_rollup"])
+@pytest.mark.parametrize("name", ["tree_subtree_text", "rules_coverage", "rules_descendant_dates", "rules_resolved", "rules_state", "diff_rollup"])
 def test_no_table_that_grows_with_the_documents_is_broadcast(spark, name):
     assert broadcasts(queries()[name](spark, SMALL)) == 0
