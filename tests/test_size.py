@@ -56,3 +56,19 @@ def test_terms_are_counted_within_their_row(spark):
     index = search.build_index(docs, F.col("w"))
     assert sorted(map(tuple, index.collect())) == [(1, "a", 1, 3), (1, "b", 2, 3), (3, "x", 1, 1)]
     assert "Exchange" not in index._jdf.queryExecution().sparkPlan().toString() and "Aggregate" not in index._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_keys_of_quotations_are_few_and_enough(spark):
+    """Of a short quotation one run is looked up, and none of its words alone; and of gaps between single tokens more are one edit than soft ones."""
+    from canonist.functions import text as T
+    from canonist.operators import align, verify
+
+    for n in range(6, 400):
+        k, e = align.allowed(n), n // 2
+        assert 2 * (n - e - 3 * k - 1) - e > k and n - k > (verify.GRAM - 1) * (k + 1)
+    words = "of the pilot on the pier may not leave at 7".split()
+    quotes = spark.createDataFrame([(1, words), (2, words[:6] + ["x", "y"]), (3, [f"w{i}" for i in range(25)])], "quote_id long, toks array<string>")
+    keys = verify.asked_keys(quotes, T.HARD).groupBy("quote_id", "kind").count().collect()
+    got = {(r.quote_id, r.kind): r["count"] for r in keys}
+    assert got[1, "runs"] == got[2, "runs"] == 1 and got[3, "runs"] == 21
+    assert got[1, "loose"] > 0 and (3, "loose") not in got
