@@ -67,7 +67,7 @@ def test_keys_of_quotations_are_few_and_enough(spark):
         k, e = align.allowed(n), n // 2
         assert 2 * (n - e - 3 * k - 1) - e > k and n - k > (verify.GRAM - 1) * (k + 1)
     words = "of the pilot on the pier may not leave at 7".split()
-    quotes = spark.createDataFrame([(1, words), (2, words[:6] + ["x", "y"]), (3, [f"w{i}" for i in range(25)])], "quote_id long, toks array<string>")
+    quotes = spark.createDataFrame([(1, words), (2, words[:6] + ["x", "y"]), (3, [f"w{chr(97 + i)}" for i in range(25)])], "quote_id long, toks array<string>")
     keys = verify.asked_keys(quotes, T.HARD).groupBy("quote_id", "kind").count().collect()
     got = {(r.quote_id, r.kind): r["count"] for r in keys}
     assert got[1, "runs"] == got[2, "runs"] == 1 and got[3, "runs"] == 21
