@@ -72,3 +72,28 @@ def test_keys_of_quotations_are_few_and_enough(spark):
     got = {(r.quote_id, r.kind): r["count"] for r in keys}
     assert got[1, "runs"] == got[2, "runs"] == 1 and got[3, "runs"] == 21
     assert got[1, "loose"] > 0 and (3, "loose") not in got
+
+
+def test_equal_documents_are_audited_once(spark):
+    from canonist.operators import audit
+    from canonist.sources.scratch import Scratch
+
+    text = "See Article 3(1) for the details."
+    rows = [(1, text, "v1"), (2, text, "v1"), (3, text, "v2"), (4, None, "v1"), (5, "", "v1"), (6, "Article 9 applies.", "v1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version string").withColumn("lang", F.lit("en"))
+    nodes = spark.createDataFrame([("v1", "en", "art_3.par_1"), ("v2", "en", "art_9")], "version string, lang string, id string")
+    different, copies = audit.once(docs)
+    told = audit.mentions(different, nodes, Scratch(spark))
+    assert told.count() == 4 and copies.count() == 6
+    found = audit.of_all(told.select("doc_id", F.explode("refs.id").alias("ref"), F.col("refs")[0]["node"].alias("node")), copies)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "art_3.par_1", "art_3.par_1"), (2, "art_3.par_1", "art_3.par_1"), (3, "art_3.par_1", None), (6, "art_9", None)]
+
+
+def test_law_makes_only_what_is_asked_for(spark, monkeypatch):
+    from canonist.plans import audits
+    from canonist.sources.scratch import Scratch
+
+    made, stored = [], Scratch.stored
+    monkeypatch.setattr(Scratch, "stored", lambda self, df, label: made.append(label) or stored(self, df, label))
+    held = audits.law(spark, SMALL, "moved")
+    assert set(held) == {"nodes", "order", "moved"} and "resolved" not in made and "closure" not in made
