@@ -97,3 +97,43 @@ def test_law_makes_only_what_is_asked_for(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "stored", lambda self, df, label: made.append(label) or stored(self, df, label))
     held = audits.law(spark, SMALL, "moved")
     assert set(held) == {"nodes", "order", "moved"} and "resolved" not in made and "closure" not in made
+
+
+def _tree(spark, version="v1", kids=3):
+    rows = [(version, "r", None, "source", "", 0)] + [(version, f"r.{i}", "r", "document", f"h{i}", i * 10) for i in range(1, kids + 1)] + [(version, f"r.{i}.p", f"r.{i}", "line", f"t{i}", i * 10 + 1) for i in range(1, kids + 1)]
+    return spark.createDataFrame(rows, "version string, id string, parent string, type string, hash string, ord long")
+
+
+def test_closure_ends_when_no_jump_is_left(spark, monkeypatch):
+    from canonist.operators import tree
+    from canonist.sources.scratch import Scratch
+
+    made, stored = [], Scratch.stored
+    monkeypatch.setattr(Scratch, "stored", lambda self, df, label: made.append(label) or stored(self, df, label))
+    got = tree.closure(_tree(spark)).groupBy("distance").count().collect()
+    assert {r.distance: r["count"] for r in got} == {0: 7, 1: 6, 2: 3}
+    assert made == ["parents", "jumps", "level", "jumps"]
+
+
+def test_versions_meet_once_and_only_counts_are_shuffled_by_ancestor(spark, monkeypatch):
+    from canonist.operators import diff, tree
+    from canonist.sources.scratch import Scratch
+
+    made, stored = [], Scratch.stored
+    old = _tree(spark)
+    new = old.withColumn("id", F.when(F.col("id") == "r.3.p", "r.2.q").otherwise(F.col("id"))).withColumn("parent", F.when(F.col("id") == "r.2.q", "r.2").otherwise(F.col("parent")))
+    chains = tree.closure(old), tree.closure(new)
+    monkeypatch.setattr(Scratch, "stored", lambda self, df, label: made.append(label) or stored(self, df, label))
+    out = diff.rollup_diff(diff.diff_nodes(old, new), *chains)
+    assert made == ["both"]
+    got = {r.ancestor: (r.unchanged, r.changed, r.moved, r.added, r.removed) for r in out.collect()}
+    assert got["r"] == (6, 0, 1, 0, 0) and got["r.2"] == (2, 0, 1, 0, 0) and got["r.3"] == (1, 0, 1, 0, 0) and got["r.2.q"] == got["r.3.p"] == (0, 0, 1, 0, 0)
+    assert "keys=[status" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_without_the_nearest(spark):
+    from canonist.operators import tree
+
+    every, none = tree.neighbours(_tree(spark, kids=40), _tree(spark, kids=30)), tree.neighbours(_tree(spark, kids=40), _tree(spark, kids=30), most=0)
+    assert sorted(map(str, every.drop("nearest").collect())) == sorted(map(str, none.drop("nearest").collect()))
+    assert none.filter("size(nearest) > 0").isEmpty() and every.filter("id = 'r.20' and size(nearest) = 30 and siblings = 39").count() == 1
