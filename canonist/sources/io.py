@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stream import told_of
+
 NODE = "id: string, type: string, parent: string, heading: string, text: string, hash: string, node_hash: string, order: int, source_anchor: string"
 
 
@@ -105,14 +105,7 @@ def page_nodes(html: str) -> list[tuple]:
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """page_id, id, parent, type, heading, text, ord: the tree of every page (page_id, html; null: a root alone)."""
-    kind = dict(pages.dtypes)["page_id"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(page, *node) for page, html in zip(batch["page_id"], batch["html"], strict=True) for node in page_nodes(html or "")]
-            yield pd.DataFrame(rows, columns=["page_id", "id", "parent", "type", "heading", "text", "ord"])
-
-    return pages.select("page_id", F.col("html").cast("string").alias("html")).mapInPandas(run, f"page_id {kind}, id string, parent string, type string, heading string, text string, ord int")
+    return told_of(pages, "page_id", "html", page_nodes, "id string, parent string, type string, heading string, text string, ord int")
 
 
 def acceptable(pages: DataFrame, anchor: str, least: int) -> DataFrame:

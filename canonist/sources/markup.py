@@ -11,10 +11,8 @@ with an error (an id twice, an annex heading of no known form) gives no nodes, o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +20,7 @@ from ..functions import citations as C
 from ..functions import text as T
 from ..operators import tree
 from .scratch import Scratch
+from .stream import told_of
 
 #: Classes, ids and labels of the two renditions.
 INLINE = frozenset("span a i b em strong sup sub u small abbr q font".split())
@@ -317,14 +316,7 @@ def blocks_of(html: str) -> list[tuple]:
 
 def page_blocks(pages: DataFrame) -> DataFrame:
     """page_id and ROWS of every page (page_id, html)."""
-    names = ["page_id", *(c.split()[0] for c in ROWS.split(", "))]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(page, *row) for page, html in zip(batch["page_id"], batch["html"], strict=True) for row in blocks_of(html or "")]
-            yield pd.DataFrame(rows, columns=names).astype({"up": "Int32"})
-
-    return pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("html").cast("string").alias("html")).mapInPandas(run, f"page_id string, {ROWS}")
+    return told_of(pages.select(F.col("page_id").cast("string").alias("page_id"), "html"), "page_id", "html", blocks_of, ROWS)
 
 
 def parse_acts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
