@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, is_iso_date
+from ..sources.scratch import Scratch, merge
 from .ranges import summed
 from .ranges import summed
 
@@ -130,25 +131,37 @@ def entry_date(timing: dict, dates: dict[str, str], anchored: str | None = None)
     return start, F.when(F.lit(bool(by_rule and by_text)) & (text(by_text) != start), text(by_text)), nowhere
 
 
-def quotes_hold(entries: DataFrame, rows: DataFrame, least: int = 4096) -> DataFrame:
+def quotes_hold(entries: DataFrame, rows: DataFrame, least: int = 4096, whole: int = 1 << 18) -> DataFrame:
     """id, holds: is an entry's quotation still in the text at or below its anchor, white space aside? entries: id, anchor, quote; rows: id,
     ord, text (tree.subtree_rows of one version). False for anchors without text and null quotations.
 
-    The texts of an anchor are one stream, cut into blocks of `least` characters, or of its longest quotation if that is longer; a
-    quotation begins in some block and ends in the next at the latest, so no task needs more than two blocks at once."""
+    Texts of an anchor that come to `whole` characters at most are joined. Longer ones are one stream, cut into blocks of
+    `least` characters, or of its longest quotation if that is longer; a quotation begins in some block and ends in the next at the latest, so
+    no task needs more than two blocks at once."""
     plain = lambda c: F.trim(F.regexp_replace(c, SPACE, " "))
-    told = entries.select("id", "anchor", plain(F.col("quote")).alias("quote"))
-    size = told.groupBy("anchor").agg(F.greatest(F.lit(least), F.max(F.length("quote"))).alias("block"))
-    texts = rows.select(F.col("id").alias("anchor"), "ord", plain(F.col("text")).alias("text")).filter("text != ''").join(size, "anchor")
+    scratch = Scratch(entries.sparkSession)
+    told = scratch.stored(entries.select("id", "anchor", plain(F.col("quote")).alias("quote")), "asked")
+    texts = scratch.stored(rows.select(F.col("id").alias("anchor"), "ord", plain(F.col("text")).alias("text")).filter("text != ''"), "texts")
+    sizes = texts.groupBy("anchor").agg(F.sum(F.length("text") + 1).alias("n")).join(merge(told.groupBy("anchor").agg(F.greatest(F.lit(least), F.max(F.length("quote"))).alias("block"))), "anchor")
+    sizes = scratch.stored(sizes, "sizes")
+    short = texts.join(merge(sizes.filter(F.col("n") <= whole).select("anchor")), "anchor", "left_semi")
+    joined = short.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x")).select("anchor", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("text"))
+    long = sizes.filter(F.col("n") > whole)
+    if not long.isEmpty():
+        joined = joined.unionByName(_pieces(texts.join(merge(long.select("anchor", "block")), "anchor")))
+    met = told.join(merge(joined), "anchor").filter(F.contains("text", "quote")).select("id", F.lit(True).alias("met")).distinct()
+    return told.join(merge(met), "id", "left").select("id", F.coalesce("met", F.lit(False)).alias("holds"))
+
+
+def _pieces(texts: DataFrame) -> DataFrame:
+    """anchor, text: of each block of an anchor's stream the text of it and the next one. texts: anchor, ord, text, block (how long)."""
     laid = summed(texts.withColumn("text", F.concat("text", F.lit(" "))), ["anchor"], ["ord"], F.length("text")).withColumn("end", F.col("start") + F.length("text"))
     over = F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block")))
     cut = laid.withColumn("b", F.explode(over)).withColumn("from", F.greatest("start", F.col("b") * F.col("block")))
     piece = F.substring("text", (F.col("from") - F.col("start") + 1).cast("int"), F.col("block"))
     piece = F.left(piece, ((F.col("b") + 1) * F.col("block") - F.col("from")).cast("int"))
     dealt = cut.select("anchor", "from", piece.alias("piece"), F.explode(F.array("b", F.col("b") - 1)).alias("b")).filter("b >= 0")
-    joined = dealt.groupBy("anchor", "b").agg(F.array_sort(F.collect_list(F.struct("from", "piece"))).alias("x")).select("anchor", F.array_join(F.transform("x", lambda x: x["piece"]), "").alias("text"))
-    met = told.join(joined, "anchor").filter(F.contains("text", "quote")).select("id", F.lit(True).alias("met")).distinct()
-    return told.join(met, "id", "left").select("id", F.coalesce("met", F.lit(False)).alias("holds"))
+    return dealt.groupBy("anchor", "b").agg(F.array_sort(F.collect_list(F.struct("from", "piece"))).alias("x")).select("anchor", F.array_join(F.transform("x", lambda x: x["piece"]), "").alias("text"))
 
 
 def changed_dates(found: DataFrame, older: DataFrame, entries: DataFrame) -> DataFrame:

@@ -152,3 +152,21 @@ def test_only_last_answers_are_parsed(spark, monkeypatch):
     assert seen == [{"last": True}]
     rates = lambda **k: sorted(map(tuple, evalstats.tool_use(logs.scored(spark, SMALL, **k), "a").collect()))
     assert rates(last=True) == rates()
+
+
+@pytest.mark.parametrize("whole", [0, 200, 1 << 18])
+def test_short_texts_are_joined_and_long_ones_cut(spark, monkeypatch, whole):
+    """The same answers whether texts are joined whole or cut into blocks; texts are laid out over ranges only where some are long."""
+    import random
+
+    from canonist.operators import eligibility as E
+    from canonist.sources.scratch import Scratch
+
+    rng, made, stored = random.Random(3), [], Scratch.stored
+    monkeypatch.setattr(Scratch, "stored", lambda self, df, label: made.append(label) or stored(self, df, label))
+    rows = [(a, i, rng.choice(["", " "]).join(rng.choices(["a", "b", " ", "ab"], k=rng.randint(0, 9)))) for a, n in (("u", 15), ("v", 15), ("w", 90)) for i in range(n)]
+    held = {a: " ".join(" ".join(t for x, _, t in rows if x == a).split()) for a in "uvw"}
+    asked = [(f"{a}{n}", a, held[a][(at := rng.randint(0, len(held[a]) - 1)) : at + rng.randint(1, 30)][:: rng.choice([1, 1, -1])]) for a in "uvw" for n in range(40)]
+    out = E.quotes_hold(spark.createDataFrame(asked, "id string, anchor string, quote string"), spark.createDataFrame(rows, "id string, ord long, text string").repartition(5), least=7, whole=whole)
+    assert {r.id: r.holds for r in out.collect()} == {i: " ".join(q.split()) in held[a] for i, a, q in asked}
+    assert ("laid" in made) == (whole < 1000) and len(held["u"]) < 200 < len(held["w"])
