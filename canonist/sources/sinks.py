@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranges import summed
+from ..operators.tree import positions
 from .scratch import Scratch
 
 #: Bytes that a digest holds at once.
@@ -38,17 +38,19 @@ def write_table(rows: DataFrame, path: str, order: list[str], by: list[str] = ()
     if files.exists(of(path)):
         raise FileExistsError(path)
     rest = [f.name for f in rows.schema if f.name not in (*by, *order) and "map<" not in f.dataType.simpleString()]
-    laid = summed(rows.withColumn("__all", F.lit(0)), by or ["__all"], [*order, *sorted(rest)]).drop("__all")
-    laid = laid.withColumn("__nth", F.floor(F.col("start") / rows_per_file))
-    known = Scratch(spark).stored(laid.groupBy(*by, "__nth").agg(F.count("*").alias("n")), "files")
-    # one row for each file
-    known = known.withColumn("__file", F.row_number().over(Window.orderBy(*by, "__nth")))
-    on = [*[F.col(f"l.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by], F.col("l.__nth") == F.col("k.__nth")]
-    dealt = laid.alias("l").join(known.alias("k"), on).select("l.*", "k.__file").drop(*by, "__nth")
+    keys = by or ["__all"]
+    laid = positions(rows.withColumn("__all", F.lit(0)), *keys, *order, *sorted(rest), named="__place")
+    # one row for each folder: its first place and the files before its own
+    folders = Scratch(spark).stored(laid.groupBy(*keys).agg(F.min("__place").alias("__first"), F.ceil(F.count("*") / rows_per_file).alias("__files")), "folders")
+    folders = folders.withColumn("__before", F.coalesce(F.sum("__files").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.floor((F.col("l.__place") - F.col("k.__first")) / rows_per_file)
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys]
+    dealt = laid.alias("l").join(F.broadcast(folders.alias("k")), on).select("l.*", (F.col("k.__before") + nth + 1).cast("int").alias("__file")).drop(*by, "__all")
+    known = folders.withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__files") - 1))).select(*by, "__nth", (F.col("__before") + F.col("__nth") + 1).cast("int").alias("__file"))
     aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     # sorted by the number of the file first, as a write by folders asks, so that it sorts no more
-    dealt.repartition("__file").sortWithinPartitions("__file", "start").drop("start").write.option("compression", "zstd" if kind == "parquet" else "none").partitionBy("__file").format(kind).save(f"{aside}/rows")
-    told = known.drop("n").join(manifest(spark, f"{aside}/rows").select("path", "sha256", F.regexp_extract("path", r"__file=(\d+)/", 1).cast("int").alias("__file")), "__file")
+    dealt.repartition("__file").sortWithinPartitions("__file", "__place").drop("__place").write.option("compression", "zstd" if kind == "parquet" else "none").partitionBy("__file").format(kind).save(f"{aside}/rows")
+    told = known.join(manifest(spark, f"{aside}/rows").select("path", "sha256", F.regexp_extract("path", r"__file=(\d+)/", 1).cast("int").alias("__file")), "__file")
     escaped = lambda c: F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(UNSAFE), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(x)), 2, "0"))).otherwise(x)), "")
     named = lambda c: F.coalesce(F.nullif(escaped(F.col(c).cast("string")), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
     folder = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), named(c)) for c in by]) if by else F.lit("")

@@ -67,3 +67,18 @@ def test_digest_of_a_file_over_two_gigabytes(spark, tmp_path):
         digest.update(zeros)
     digest.update(bytes(5))
     assert _held(spark, str(tmp_path)) == {"la rge": (digest.hexdigest(), size)}
+
+
+def test_rows_are_shuffled_twice_and_keep_their_columns(spark, tmp_path, monkeypatch):
+    """Once into order and once to their files; what numbers them is no window over the rows. Columns of any name are kept."""
+    seen, kind = [], type(spark.range(1))
+    rows = spark.range(100).select((F.col("id") % 3).cast("string").alias("k"), "id", (F.col("id") * 7).alias("start"), F.lit("x").alias("pos"))
+    rows = rows.withColumn("k", F.when(F.col("k") != "2", F.col("k")))
+    monkeypatch.setattr(kind, "repartition", lambda self, *a, f=kind.repartition: seen.append(self) or f(self, *a))
+    sinks.write_table(rows, f"{tmp_path}/w", ["id"], ["k"], rows_per_file=10)
+    # what is shuffled before are the counts of the ranges
+    assert len(seen) == 1 and seen[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    back = spark.read.parquet(f"{tmp_path}/w")
+    assert sorted((r.id, r.start, r.pos, r.k) for r in back.collect()) == [(i, i * 7, "x", (0, 1, None)[i % 3]) for i in range(100)]
+    sizes = back.groupBy(F.input_file_name()).agg(F.count("*").alias("n"), (F.max("id") - F.min("id")).alias("d")).collect()
+    assert sorted(r.n for r in sizes) == [3, 3, 4] + [10] * 9 and all(r.d == 3 * (r.n - 1) for r in sizes)
