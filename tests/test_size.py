@@ -170,3 +170,44 @@ def test_short_texts_are_joined_and_long_ones_cut(spark, monkeypatch, whole):
     out = E.quotes_hold(spark.createDataFrame(asked, "id string, anchor string, quote string"), spark.createDataFrame(rows, "id string, ord long, text string").repartition(5), least=7, whole=whole)
     assert {r.id: r.holds for r in out.collect()} == {i: " ".join(q.split()) in held[a] for i, a, q in asked}
     assert ("laid" in made) == (whole < 1000) and len(held["u"]) < 200 < len(held["w"])
+
+
+def test_chance_pairs_at_hard_tokens_are_no_stretches(spark, monkeypatch):
+    """Common words around a number in every text: only texts that hold enough of a quotation are cut out; a number written over a word is still found."""
+    import random
+
+    from canonist.operators import verify
+
+    rng, cut, seen = random.Random(2), verify.cut, []
+
+    def counted(places, streams):
+        seen.append(places.select("quote_id", "sid").distinct().count())
+        return cut(places, streams)
+
+    monkeypatch.setattr(verify, "cut", counted)
+    words = "of the and to in that is by on it for at".split()
+    texts = {f"t{i}": [*rng.choices(words, k=20), str(i), *rng.choices(words, k=20)] for i in range(60)}
+    quotes = {i: rng.choices(words, k=12) for i in range(60)} | {90: texts["t7"][14:20] + ["of"] + texts["t7"][21:26]}
+    streams = spark.createDataFrame([(k, k, 0, runs) for k, runs in texts.items()], "stream string, part string, first long, runs array<string>")
+    asked = spark.createDataFrame([(k, [(" ".join(q), q)], len(q)) for k, q in quotes.items()], "quote_id long, segments array<struct<text:string,toks:array<string>>>, total int")
+    got = {(r.quote_id, r.stream): r.hard for r in verify.found(asked, streams).select("quote_id", "stream", "hard").collect()}
+    assert got[90, "t7"] == 1 and sum(seen) < 60
+
+
+def test_quotations_that_stand_there_are_not_looked_up_again(spark, monkeypatch):
+    """Of those found without an edit nobody asks for places with edits; one that is edited, and one that is not there, are looked up by all keys."""
+    from canonist.operators import verify
+
+    found, seen = verify.found, []
+
+    def told(quotes, *rest):
+        seen.append({r.quote_id for r in quotes.select("quote_id").collect()})
+        return found(quotes, *rest)
+
+    monkeypatch.setattr(verify, "found", told)
+    a, b = [f"a{chr(97 + i)}" for i in range(25)], [f"b{chr(97 + i)}" for i in range(25)]
+    texts = spark.createDataFrame([("x", a), ("y", a[:9] + ["7"] + a[10:]), ("z", b)], "part string, runs array<string>")
+    quotes = {1: a, 2: b[:9] + ["q"] + b[10:], 3: b[:9] + ["8"] + b[10:], 4: ["none", "of", "these", "words", "is", "there"]}
+    asked = spark.createDataFrame([(k, [(" ".join(q), q)], len(q)) for k, q in quotes.items()], "quote_id long, segments array<struct<text:string,toks:array<string>>>, total int")
+    got = {(r.quote_id, r.stream): (r.soft, r["hard"]) for r in verify.searched(asked, None, verify.T.HARD, texts).collect()}
+    assert got == {(1, "x"): (0, 0), (2, "z"): (1, 0), (3, "z"): (0, 1)} and seen == [{1, 2, 3, 4}, {2, 3, 4}]
