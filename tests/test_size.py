@@ -211,3 +211,16 @@ def test_quotations_that_stand_there_are_not_looked_up_again(spark, monkeypatch)
     asked = spark.createDataFrame([(k, [(" ".join(q), q)], len(q)) for k, q in quotes.items()], "quote_id long, segments array<struct<text:string,toks:array<string>>>, total int")
     got = {(r.quote_id, r.stream): (r.soft, r["hard"]) for r in verify.searched(asked, None, verify.T.HARD, texts).collect()}
     assert got == {(1, "x"): (0, 0), (2, "z"): (1, 0), (3, "z"): (0, 1)} and seen == [{1, 2, 3, 4}, {2, 3, 4}]
+
+
+def test_texts_are_copied_only_to_ancestors_whose_cell_is_filled(spark):
+    """A cell beyond the limit is null, and no text goes to it; a text that is alone isn't grouped; an ancestor's order is that of the document."""
+    from canonist.operators import tree
+
+    rows = [("v", "s", None, "", 0), ("v", "s.a", "s", "", 1), ("v", "s.a.1", "s.a", "y" * 9, 2), ("v", "s.a.2", "s.a", "x" * 9, 3), ("v", "s.b", "s", "z" * 30, 4), ("v", "s.c", "s", "", 5)]
+    nodes = spark.createDataFrame(rows, "version string, id string, parent string, text string, ord long")
+    out = tree.subtree_text(nodes, tree.closure(nodes), most=40)
+    assert {r.id: r.text for r in out.collect()} == {"s": None, "s.a": "y" * 9 + "\n" + "x" * 9, "s.a.1": "y" * 9, "s.a.2": "x" * 9, "s.b": "z" * 30}
+    # lengths choose the ancestors before any text is joined; texts are not thrown away afterwards
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(n#" in plan and "LeftSemi" not in plan
